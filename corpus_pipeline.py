@@ -1,5 +1,61 @@
-"""The corpus pipeline (stages follow)."""
-STAGES = []
+"""The corpus pipeline: quality rules, near-dedup, benchmark decontamination, mixing, sharding.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and calls one operator of
+sieveline.llm. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from sieveline.llm import decontaminate, mixing, quality, sharding, simhash
+from sieveline.storage import read, write_out
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules, and those of rejected hosts, go."""
+    return quality.keep_good(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id stays of each group of near-duplicates."""
+    return simhash.keep_first(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are brought to their target weights: a row for each time that a document is taken."""
+    return mixing.mixed_documents(docs)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row gets its shard and its bytes."""
+    return sharding.assign(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixture", mixture),
+    ("shards", shards),
+]
+
+#: XXH64 majority votes and string tiling can't be said in SQL; tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; between stages rows are written to the shared folder and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = write_out(docs)
+    return docs
