@@ -26,7 +26,7 @@ from sieveline.storage import join_small, settle, write_out
 #: The golden ratio's fraction of 2**32, which makes points from slots without overflow (slots are fewer than 2**31).
 GOLDEN, POINTS = 2654435769, 1 << 32
 #: Points are matched to sources by grid cell; ranks are summed by chunk of slots.
-CELLS, CHUNK = 4096, 1 << 16
+CELLS, CHUNK = 4096, 1 << 12
 
 
 @dataclass(frozen=True)
