@@ -133,7 +133,7 @@ def taken(placed: DataFrame, sources: DataFrame, plan: Plan, ties: list[str]) ->
     before = sums.select("__src", "__bucket", (F.sum("__n").over(W.partitionBy("__src").orderBy("__bucket")) - F.col("__n")).alias("__before"))
     here = F.sum("__size").over(W.partitionBy("__src", "__bucket").orderBy("__at", "__size", *ties).rowsBetween(W.unboundedPreceding, 0))
     rows = bucketed.withColumn("__here", here - F.col("__size"))
-    rows = join_small(rows, settle(before), ["__src", "__bucket"])
+    rows = rows.join(before.hint("merge"), ["__src", "__bucket"])  # dealt as the windows are
     rows = join_small(rows, table, ["__src"]).withColumn("__start", F.col("__before") + F.col("__here"))
     inside = lambda x: F.greatest(F.lit(0), F.least(F.col("__start") + F.col("__size"), x.reach) - F.col("__start"))
     return rows.withColumn("__passes", F.coalesce(F.transform("__reach", inside), F.array().cast("array<bigint>")))
