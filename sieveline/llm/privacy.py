@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from sieveline.llm.common import per_batch, sha, span_text, texts
-from sieveline.storage import BROADCAST_ROWS, join_small, settle
+from sieveline.storage import BROADCAST_ROWS, fits_broadcast, join_small, settle
 
 BASE_KINDS = ["email", "ip", "card", "phone"]
 KINDS = [*BASE_KINDS, "term"]
@@ -160,10 +160,10 @@ def find(docs: DataFrame, rule: Disclosure, id_col: str = "doc_id", text_col: st
 def document_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text", limit: int = BROADCAST_ROWS, flush: int = 300_000) -> DataFrame:
     """``term, n_docs``: in how many rows of ``docs`` each of ``terms`` stands, over whole texts.
 
-    Up to ``limit`` terms are counted by workers that know them; beyond, all terms are counted and joined.
+    Terms that measure up to ``limit`` rows and a bounded size are sent to the workers; if more, all terms are counted and joined.
     """
     wanted = None
-    if terms.limit(limit + 1).count() <= limit:
+    if fits_broadcast(terms, limit):
         wanted = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in terms.toLocalIterator()))
     schema = "term string, n long"
     out = to_arrow_schema(StructType.fromDDL(schema))
