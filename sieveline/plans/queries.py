@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from sieveline.functions import text as tx
 from sieveline.functions import vectors as vx
 from sieveline.operators import evaluation as ev
-from sieveline.operators import joins, labelling, neighbours, profiling, sampling, splitting
+from sieveline.operators import features, heads, joins, labelling, neighbours, profiling, reports, sampling, splitting
 from sieveline.plans.frames import ITEMS_SQL, LABELS_SQL, SCORED_SQL, items, scored
 from sieveline.schemas import ABSTAIN, ALL_LABELS, MAIN_SET, VALID_STATUS
+from sieveline.sources import files
 from sieveline.storage import read, settle
 from sieveline.streaming import monitor
 
@@ -725,3 +726,81 @@ def spine_fill(spark, sf_dir):
 SELECT min(window_start) AS run_start, max(window_start) AS run_end, count(*) AS n_windows, count(*) >= 3 AS alerted FROM i WHERE on_ GROUP BY island""")
 def alert_runs(spark, sf_dir):
     return monitor.alert_runs(_spine(spark, sf_dir), F.col("n_hit") >= 1, 3)
+
+
+# ---------------------------------------------------------------- features and heads
+
+PADDED = "WITH w AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '')) AS w FROM benchmark), p AS (SELECT item_id, ' ' || w || ' ' AS w FROM w)"
+NGRAM_SQL = f"""{PADDED}, g AS (SELECT item_id, w, k, unnest(generate_series(1, greatest(length(w) - k + 1, 1))) AS i FROM p, (VALUES (3), (4), (5)) AS o(k) WHERE k = 3 OR length(w) >= k),
+c AS (SELECT item_id, substr(w, i, k) AS term, count(*) AS tf FROM g GROUP BY ALL), n AS (SELECT count(*) AS n FROM benchmark),
+v AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM c GROUP BY term HAVING count(*) >= 5)"""
+
+
+@query(f"{NGRAM_SQL} SELECT term, df, round(ln((1.0::DOUBLE + n) / (1.0::DOUBLE + df)) + 1, 9) AS idf FROM v, n")
+def tfidf_vocabulary(spark, sf_dir):
+    b = read(spark, sf_dir, "benchmark")
+    counts = features.term_counts(b, "item_id", features.char_ngrams(F.col("text")))
+    return features.vocabulary(counts, b.count()).select("term", "df", F.round("idf", 9).alias("idf"))
+
+
+@query(f"""{NGRAM_SQL}, t AS (SELECT item_id, term, (1 + ln(tf::DOUBLE)) * (ln((1.0::DOUBLE + n) / (1.0::DOUBLE + df)) + 1) AS w FROM c JOIN v USING (term), n)
+SELECT item_id, count(*) AS n_terms, round(sum(w) / sqrt(sum(w * w)), 6) AS weight_sum FROM t GROUP BY item_id""")
+def tfidf_weights(spark, sf_dir):
+    b = read(spark, sf_dir, "benchmark")
+    counts = settle(features.term_counts(b, "item_id", features.char_ngrams(F.col("text"))))
+    weights = features.tfidf(counts, features.vocabulary(counts, b.count()), "item_id")
+    return weights.groupBy("item_id").agg(F.count("*").alias("n_terms"), F.round(F.sum("weight"), 6).alias("weight_sum"))
+
+
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), m AS (SELECT avg(e[1]) AS m1, stddev_pop(e[1]) AS s1, avg(e[2]) AS m2, stddev_pop(e[2]) AS s2 FROM e WHERE vec_id % 5 <> 0)
+SELECT vec_id, round((e[1] - m1) / s1, 6) AS z1, round((e[2] - m2) / s2, 6) AS z2 FROM e, m""")
+def standard_scale(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    fitted = features.population_scale(e.where("vec_id % 5 <> 0"), "embedding", 2)
+    z = features.scaled("two", *fitted)
+    return e.select("vec_id", F.slice("embedding", 1, 2).alias("two")).select("vec_id", F.round(z[0], 6).alias("z1"), F.round(z[1], 6).alias("z2"))
+
+
+def _block(spark, sf_dir) -> DataFrame:
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding", F.element_at(F.array(*[F.lit(x) for x in ALL_LABELS]), (F.pmod("label", F.lit(6)) + 1).cast("int")).alias("truth"))
+    e = e.withColumn("user_id", F.col("item_id") % 97).withColumn("split", F.when(F.col("item_id") % 5 == 0, "val").otherwise("train"))
+    return settle(features.assembler(["embedding_block"]).transform(features.with_block(e, e, "embedding", 64)).drop("embedding", "embedding_block"))
+
+
+@query()
+def fit_logreg(spark, sf_dir):
+    rows = _block(spark, sf_dir)
+    model = heads.fit(rows.where("split = 'train'"), "truth")
+    scored_rows = heads.probabilities(model, rows.where("split = 'val'"))
+    pred = heads.as_predictions(scored_rows).join(rows.select("item_id", "truth"), "item_id")
+    return reports.raw_and_decided(pred, pred.withColumn("pred_label", ev.with_abstention(F.col("pred_label"), F.col("confidence"), 0.3)))
+
+
+@query()
+def fit_cascade(spark, sf_dir):
+    rows = _block(spark, sf_dir)
+    apply = heads.fit_cascade(rows.where("split = 'train'"), "truth")
+    return ev.contract_violations(heads.as_predictions(apply(rows.where("split = 'val'"))))
+
+
+@query()
+def out_of_fold(spark, sf_dir):
+    rows = _block(spark, sf_dir)
+    got = heads.out_of_fold(rows, "user_id", "truth", head=heads.Head(max_iter=20), k=3)
+    return ev.business_metrics(heads.as_predictions(got).join(rows.select("item_id", "truth"), "item_id"))
+
+
+@query(f"""WITH {SCORED_SQL}, u AS (SELECT 'base' AS scheme, 'proxy' AS projection, truth, pred_label FROM scored UNION ALL SELECT 'strict', 'proxy', truth, CASE WHEN confidence >= 0.35::DOUBLE THEN pred_label ELSE '{ABSTAIN}' END FROM scored
+UNION ALL SELECT 'base', 'audit', truth, pred_label FROM scored WHERE item_id % 4 = 0 UNION ALL SELECT 'strict', 'audit', truth, CASE WHEN confidence >= 0.35::DOUBLE THEN pred_label ELSE '{ABSTAIN}' END FROM scored WHERE item_id % 4 = 0),
+c AS (SELECT scheme, projection, {COUNTS} FROM u GROUP BY ALL) SELECT scheme, projection, {business_sql()} FROM c""")
+def scheme_comparison(spark, sf_dir):
+    s = scored(spark, sf_dir)
+    strict = s.withColumn("pred_label", ev.with_abstention(F.col("pred_label"), F.col("confidence"), 0.35))
+    audit = F.col("item_id") % 4 == 0
+    return reports.compare({("base", "proxy"): s, ("strict", "proxy"): strict, ("base", "audit"): s.where(audit), ("strict", "audit"): strict.where(audit)})
+
+
+@query()
+def table_manifest(spark, sf_dir):
+    n, r = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
+    return files.manifest({"region": (r, "r_regionkey", ["r_name"], []), "nation": (n, "n_nationkey", ["n_name", "n_regionkey"], ["region"])})

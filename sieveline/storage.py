@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only if it was counted and has at most so many rows.
+#: A side is broadcast only if it was measured and has at most so many rows and, written as JSON, so many bytes.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,14 +42,16 @@ def write_out(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join to a side that is usually small: broadcast if it has ``limit`` rows or fewer, else a shuffle join.
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a table is small enough to be sent to every executor; reads rows + 1 rows of it at most."""
+    head = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return head[0] <= rows and head[1] <= size
 
-    ``small`` should be settled, as it is counted first. The shuffle join relies on adaptive skew
+
+def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Join to a side that is usually small: broadcast if it was measured to be, else a shuffle join.
+
+    ``small`` should be settled, as it is read for its size first. The shuffle join relies on adaptive skew
     handling, so a hot key of ``big`` is split.
     """
-    if small.limit(limit + 1).count() <= limit:
-        small = F.broadcast(small)
-    else:
-        small = small.hint("merge")
-    return big.join(small, on, how)
+    return big.join(F.broadcast(small) if fits_broadcast(small) else small.hint("merge"), on, how)

@@ -14,7 +14,8 @@ from sieveline.functions.stats import share
 
 
 def watermarked(events: DataFrame, delay: str = "10 minutes", ts: str = "ts") -> DataFrame:
-    return events.withWatermark(ts, delay) if events.isStreaming else events
+    """A stream with a watermark, which needs a time with a zone; a table as it is."""
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay) if events.isStreaming else events
 
 
 def rates(events: DataFrame, width: str, seconds: int, by: str = "event_type", ts: str = "ts") -> DataFrame:
