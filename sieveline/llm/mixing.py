@@ -160,14 +160,16 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     The one document of a source in which its last pass ends is cut to the words taken, joined by spaces; rows of
     which nothing is taken are left out. A column n_chars, if any, is brought up to date for cut texts.
     """
-    placed = write_out(with_place(docs, F.col(id_col), F.col(source_col), F.col(text_col), plan))
+    # the row travels as one column, so none of its names can meet those used here
+    rows = docs.select(F.struct("*").alias("__row"), F.col(id_col).alias("__id"), F.col(source_col).alias("__of"), F.col(text_col).alias("__text"))
+    placed = with_place(rows, F.col("__id"), F.col("__of"), F.col("__text"), plan).withColumn("__tie", F.xxhash64("__text")).drop("__id", "__of", "__text")
+    placed = write_out(placed)
     sources = settle(targets(placed, plan))
-    rows = taken(placed.withColumn("__tie", F.xxhash64(F.col(text_col))), sources, plan, ["__tie"])
-    rows = rows.withColumn("__take", F.explode(F.filter("__passes", lambda x: x > 0)))
+    rows = taken(placed, sources, plan, ["__tie"]).withColumn("__take", F.explode(F.filter("__passes", lambda x: x > 0)))
     cut = F.col("__take") < F.col("__size")
-    short = F.array_join(F.slice(words_of(F.col(text_col)), F.lit(1), F.col("__take").cast("int")), " ")
-    rows = rows.withColumn(text_col, F.when(cut, short).otherwise(F.col(text_col)))
+    text = F.col("__row")[text_col]
+    short = F.array_join(F.slice(words_of(text), F.lit(1), F.col("__take").cast("int")), " ")
+    new = {text_col: F.when(cut, short).otherwise(text)}
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        rows = rows.withColumn("n_chars", F.when(cut, F.char_length(text_col)).otherwise(F.col("n_chars")).cast(kind))
-    return rows.select(*[f"`{c}`" for c in docs.columns])
+        new["n_chars"] = F.when(cut, F.char_length(short)).otherwise(F.col("__row")["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[new.get(c, F.col("__row")[c]).alias(c) for c in docs.columns])

@@ -139,5 +139,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", tex
 
 def keep_good(docs: DataFrame, host_col: str = "source", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with their columns. Texts are measured once and not shuffled."""
-    measured = write_out(measure(docs, text_col))
-    return _judged(measured, host_col, limits).where("__kept").select(*[f"`{c}`" for c in docs.columns])
+    # the row travels as one column, so none of its names can meet those used here
+    rows = docs.select(F.struct("*").alias("__row"), F.col(text_col).alias("__text"), F.col(host_col).alias("__of"))
+    measured = write_out(measure(rows, "__text").drop("__text"))
+    return _judged(measured, "__of", limits).where("__kept").select("__row.*")

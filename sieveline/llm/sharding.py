@@ -76,7 +76,9 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limi
     hash and fill pages where they are too many for one shard; columns named shard or bytes are replaced; an
     empty table gives an empty result.
     """
-    rows = docs.withColumns({"__h": place(F.col(id_col)), "bytes": F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long")})
+    # the row travels as one column, so none of its names can meet those used here
+    size = F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long")
+    rows = docs.select(F.struct("*").alias("row"), place(F.col(id_col)).alias("__h"), size.alias("bytes"))
     narrow = settle(rows.select("__h", F.col("bytes").alias("__bytes")))
     rounds = directories(narrow, limit)
     out = rows.withColumns({"__at": F.lit(None).cast("int"), "__more": F.lit(True)})
@@ -88,14 +90,14 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limi
     out = out.withColumn("shard", F.when(F.col("__at") == 0, F.lit("root")).otherwise(name))
     if rounds[-1][2]:
         full = out.where("__more").withColumn("__big", F.col("bytes") > limit // 2)
-        order = W.partitionBy("__h", "__big").orderBy("bytes", F.xxhash64(F.col(text_col))).rowsBetween(W.unboundedPreceding, 0)
+        order = W.partitionBy("__h", "__big").orderBy("bytes", F.xxhash64(F.col("row")[text_col])).rowsBetween(W.unboundedPreceding, 0)
         page = F.when(F.col("__big"), F.concat(F.lit("b"), F.count(F.lit(1)).over(order).cast("string")))
         half = max(1, limit // 2)
         page = page.otherwise(F.floor((F.sum("bytes").over(order) - F.col("bytes")) / half).cast("string"))
         full = full.withColumn("shard", F.concat(F.col("shard"), F.lit("+"), page)).drop("__big")
         out = out.where(~F.col("__more")).unionByName(full)
     keep = [c for c in docs.columns if c not in ("shard", "bytes")]
-    return out.select(*[f"`{c}`" for c in keep], "shard", "bytes")
+    return out.select(*[F.col("row")[c].alias(c) for c in keep], "shard", "bytes")
 
 
 def manifest(assigned: DataFrame) -> DataFrame:

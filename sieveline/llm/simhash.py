@@ -139,11 +139,11 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     its text. A row with a null id stays only if no row of its component has an id, under a stand-in id
     above 2**62 made from its text.
     """
-    key, rank, stay_key = "__stay_key", "__stay_rank", "__stay_with"
     stand_in = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.col(text_col)), 3)
-    keyed = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), stand_in))
-    found = near_duplicates(keyed, key, text_col, pair_limit)
-    stay = found.select(F.col("component_id").alias(stay_key)).distinct()
-    kept = keyed.join(stay, F.col(key) == F.col(stay_key), "left_semi")
-    order = W.partitionBy(key).orderBy(F.xxhash64(F.col(text_col)))
-    return kept.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).select(*[f"`{c}`" for c in docs.columns])
+    # the row travels as one column, so none of its names can meet those used here
+    keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), stand_in).alias("key"), F.xxhash64(F.col(text_col)).alias("tie"))
+    found = near_duplicates(keyed, "key", f"row.{text_col}", pair_limit)
+    stay = found.select(F.col("component_id").alias("stay")).distinct()
+    kept = keyed.join(stay, F.col("key") == F.col("stay"), "left_semi")
+    order = W.partitionBy("key").orderBy("tie")
+    return kept.withColumn("rank", F.row_number().over(order)).where("rank = 1").select("row.*")

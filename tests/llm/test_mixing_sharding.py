@@ -40,7 +40,7 @@ def test_schedule_is_even_and_whole(spark):
     docs = spark.createDataFrame([(i, "w " * (1 + i % 9), f"s{i % 3}") for i in range(600)], "doc_id long, text string, source string")
     placed = mixing.with_place(docs, F.col("doc_id"), F.col("source"), F.col("text"), plan)
     sources = mixing.settle(mixing.targets(placed, plan))
-    want = {r.__src: r for r in sources.collect()} if False else {r["__src"]: r for r in sources.collect()}
+    want = {r["__src"]: r for r in sources.collect()}
     slots = mixing.schedule(sources, plan).orderBy("slot").collect()
     total = Counter()
     for r in slots:
@@ -70,6 +70,18 @@ def test_mixed_documents_carry_the_words_taken(spark):
     assert mixing.mixed_documents(docs).columns == docs.columns
 
 
+def test_clashing_names_keep_their_values(spark):
+    schema = "doc_id long, text string, source string, n_chars int, __src string, __at string, __size int, __row string, row string, key int, rank string, tie string, fp int, __h int, __q string, __kept string, bytes string"
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(60)), "s", 7, "a", "b", 3, "c", "d", 4, "e", "f", 5, 6, "g", "h", "i") for i in range(5)], schema)
+    want = sorted(map(tuple, docs.collect()))
+    from sieveline.llm import quality, simhash
+
+    for kept in (quality.keep_good(docs), simhash.keep_first(docs), mixing.mixed_documents(docs)):
+        assert kept.schema.names == docs.columns and sorted(map(tuple, kept.collect())) == want
+    out = sharding.assign(docs).collect()
+    assert sorted(tuple(r)[:16] for r in out) == [w[:16] for w in want] and all(isinstance(r.bytes, int) for r in out)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], DOCS)
     assert mixing.mix(docs).count() == mixing.mixed_documents(docs).count() == sharding.assign(docs).count() == 0
