@@ -70,7 +70,7 @@ def normalise_name(name: Column) -> Column:
     of a one-letter token to the script of the rest of the text; letters and digits are parted; Roman one to three
     become digits. Not idempotent: a second pass may vote otherwise.
     """
-    flat = F.regexp_replace(F.translate(F.lower(name), "ёэ", "ее"), "[^a-zа-я0-9]+", " ")
+    flat = F.regexp_replace(F.regexp_replace(F.lower(name), "[ёэ]", "е"), "[^a-zа-я0-9]+", " ")
 
     def voted(text: Column) -> Column:
         return bound(F.struct(*script_counts(text)), lambda whole: F.array_join(F.transform(F.array_remove(F.split(text, " "), ""), lambda t: vote(t, whole["col1"], whole["col2"])), " "))
@@ -97,8 +97,7 @@ def duplicate_form(text: Column) -> Column:
 
 def text_key(title: Column, description: Column, min_chars: int = MIN_KEY_CHARS) -> Column:
     """Key under which texts count as equal; null if the description is too short to tell."""
-    d = duplicate_form(description)
-    return F.when(F.char_length(d) >= min_chars, F.concat(duplicate_form(title), F.lit("\u0000"), d))
+    return bound(duplicate_form(description), lambda d: F.when(F.char_length(d) >= min_chars, F.concat(duplicate_form(title), F.lit("\u0000"), d)))
 
 
 def joined_text(title: Column, description: Column) -> Column:

@@ -88,7 +88,10 @@ def invariant_reason(status: Column, body: Column, label: Column) -> Column:
 
 def parse_response(raw: Column) -> Column:
     """Struct of the answer's fields, parsed_ok, biz_ok, biz_reason and error_msg (200 characters at most)."""
-    r = F.from_json(raw, RESPONSE, {"mode": "PERMISSIVE"})
+    return bound(F.struct(raw.alias("raw"), F.from_json(raw, RESPONSE, {"mode": "PERMISSIVE"}).alias("r")), lambda x: _checked(x["raw"], x["r"]))
+
+
+def _checked(raw: Column, r: Column) -> Column:
     status, body, label, conf = (r[f] for f in ("object_status", "body_type", "final_label", "confidence"))
     error = (
         F.when(raw.isNull(), F.lit("no answer"))

@@ -94,10 +94,7 @@ def budget_prefix(df: DataFrame, order: list[str], cost: Column, cap: float, cel
     priced = df.withColumn("__cost", cost)
     cut = priced.stat.approxQuantile(first, [i / cells for i in range(1, cells)], 0.5 / cells) if cells > 1 else []
     edges = sorted(set(cut))
-    cell = F.lit(0)
-    if edges:
-        cell = F.size(F.filter(F.array(*[F.lit(x) for x in edges]), lambda x: x <= F.col(first)))
-    parted = priced.withColumn("__cell", cell)
+    parted = priced.withColumn("__cell", _cell(F.col(first), edges))
     sums = parted.groupBy("__cell").agg(F.sum("__cost").alias("__sum"))
     before = sums.select("__cell", F.coalesce(F.sum("__sum").over(W.orderBy("__cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("__before"))
     here = F.sum("__cost").over(W.partitionBy("__cell").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
@@ -105,6 +102,15 @@ def budget_prefix(df: DataFrame, order: list[str], cost: Column, cap: float, cel
     return rows.where(F.col("running") - F.col("__cost") <= cap).drop("__cost", "__cell", "__before")
 
 
+def _cell(x: Column, edges: list[float]) -> Column:
+    """How many of the ascending edges x reaches, by halving."""
+    if not edges:
+        return F.lit(0)
+    table, steps = F.array(*[F.lit(e) for e in edges]), [1 << i for i in reversed(range(len(edges).bit_length()))]
+    further = lambda at, step: F.when((at + step <= len(edges)) & (F.get(table, at + step - 1) <= x), at + step).otherwise(at)
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), further)
+
+
 def token_cost(cached: Column, fresh: Column, written: Column, prices: tuple[float, float, float], extra: float = 0.0) -> Column:
     """Price of a call from its tokens by kind; prices are for a million tokens."""
     return (cached * prices[0] + fresh * prices[1] + written * prices[2]) / 1e6 + extra
