@@ -804,3 +804,88 @@ def scheme_comparison(spark, sf_dir):
 def table_manifest(spark, sf_dir):
     n, r = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
     return files.manifest({"region": (r, "r_regionkey", ["r_name"], []), "nation": (n, "n_nationkey", ["n_name", "n_regionkey"], ["region"])})
+
+
+@query("""WITH n AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL), m AS (SELECT source, arg_max(lang, (n, lang)) AS main FROM n GROUP BY source)
+SELECT source, ((row_number() OVER (PARTITION BY main ORDER BY md5(source || '-42'), source) - 1) % 5)::INT AS fold FROM m""")
+def fold_assignment(spark, sf_dir):
+    return splitting.folds(read(spark, sf_dir, "documents").select("source", "lang"), "source", "lang")
+
+
+@query(f"""WITH {SCORED_SQL}, g AS (SELECT item_id, 1 - p[6] AS pc, [p[1], p[2], p[3], p[4], p[5]] AS k FROM scored)
+SELECT item_id, round(k[1] * pc, 9) AS first, round(1 - pc, 9) AS other, round(k[3] + k[4] + k[5] + 1 - pc, 9) AS tail FROM g""")
+def cascade_probabilities(spark, sf_dir):
+    s = scored(spark, sf_dir)
+    p = F.col("p")
+    composed = vx.cascade(1 - p[5], F.slice(p, 1, 5))
+    rows = s.select("item_id", composed.alias("c"), vx.merge_tail(p, 2).alias("m"))
+    return rows.select("item_id", F.round(F.col("c")[0], 9).alias("first"), F.round(F.col("c")[5], 9).alias("other"), F.round(F.col("m")[2], 9).alias("tail"))
+
+
+@query("""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.vec_id AS query_id, a.label AS truth, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.e, b.e), 12) DESC, b.vec_id) AS r FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+c AS (SELECT query_id, truth, label, count(*) AS n FROM s WHERE r <= 5 GROUP BY ALL), w AS (SELECT query_id, truth, label AS vote, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, label) AS r FROM c),
+x AS (SELECT truth, (query_id // 20) % 10 AS pred, vote FROM w WHERE r = 1)
+SELECT CASE WHEN pred = truth THEN 'correct' WHEN truth = 0 THEN 'should_abstain' ELSE 'wrong_type' END AS kind, CASE WHEN vote = pred THEN 'confirm' WHEN vote = truth THEN 'fix' WHEN vote = 0 THEN 'to_abstain' ELSE 'other' END AS outcome, count(*) AS n FROM x GROUP BY ALL""")
+def knn_probe(spark, sf_dir):
+    e = settle(read(spark, sf_dir, "embeddings"))
+    q = e.where("vec_id % 20 = 0")
+    voted = neighbours.vote(neighbours.nearest(q, e, 5), e)
+    rows = voted.join(q.select(F.col("vec_id").alias("query_id"), F.col("label").alias("truth")), "query_id").withColumn("pred", F.pmod(F.floor(F.col("query_id") / 20), F.lit(10)))
+    return neighbours.probe_accounting(rows, "truth", "pred", "vote", F.lit(0))
+
+
+STRICT_SQL = f"CASE WHEN confidence >= 0.35::DOUBLE THEN pred_label ELSE '{ABSTAIN}' END"
+
+
+@query(f"""WITH {SCORED_SQL}, {REPORT_SQL}, z AS (SELECT truth, {STRICT_SQL} AS pred_label FROM scored), c AS (SELECT {COUNTS} FROM z), b AS (SELECT {business_sql()} FROM c)
+SELECT 'raw' AS stage, 'accuracy' AS metric, round((SELECT avg((truth = pred_label)::INT) FROM scored), 9) AS value UNION ALL SELECT 'raw', 'macro_f1', round(avg(f1), 9) FROM report
+UNION ALL SELECT 'decided', unnest(['coverage', 'CAR', 'AER', 'AER_hi']), unnest([coverage, "CAR", "AER", "AER_hi"]) FROM b""")
+def raw_and_decided(spark, sf_dir):
+    s = scored(spark, sf_dir)
+    return reports.raw_and_decided(s, s.withColumn("pred_label", ev.with_abstention(F.col("pred_label"), F.col("confidence"), 0.35)))
+
+
+@query(f"""WITH {SCORED_SQL}, u AS (SELECT 'base' AS scheme, truth, pred_label, item_id % 4 = 0 AS audit FROM scored UNION ALL SELECT 'strict', truth, {STRICT_SQL}, item_id % 4 = 0 FROM scored),
+c AS (SELECT scheme, audit, {COUNTS} FROM u GROUP BY ALL), p AS (SELECT scheme, audit, {business_sql()} FROM c), w AS (SELECT a.scheme, a."CAR" AS cp, b."CAR" AS ca, b."AER_hi" AS hi FROM p a JOIN p b ON a.scheme = b.scheme WHERE NOT a.audit AND b.audit),
+d AS (SELECT w.scheme, w.cp - x.cp AS dp, w.ca - x.ca AS da, coalesce(w.hi, 1) <= 0.05 AS passes FROM w, w x WHERE x.scheme = 'base')
+SELECT scheme, round(dp, 9) AS d_proxy, round(da, 9) AS d_audit, passes, CASE WHEN dp > 1e-9 AND da <= 1e-9 THEN 'teacher_overfit' WHEN da > 1e-9 AND passes THEN 'better' WHEN da < -1e-9 THEN 'worse' ELSE 'no_change' END AS verdict FROM d""")
+def scheme_verdicts(spark, sf_dir):
+    s = scored(spark, sf_dir)
+    strict = s.withColumn("pred_label", ev.with_abstention(F.col("pred_label"), F.col("confidence"), 0.35))
+    audit = F.col("item_id") % 4 == 0
+    found = reports.compare({("base", "proxy"): s.where(~audit), ("strict", "proxy"): strict.where(~audit), ("base", "audit"): s.where(audit), ("strict", "audit"): strict.where(audit)})
+    return reports.verdicts(found, "base", "proxy", "audit")
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_id % 3 <> 0 UNION ALL SELECT event_id, 'new' FROM events WHERE event_id % 3 = 0 AND event_id % 2 = 0 UNION ALL SELECT event_id, event_type FROM events WHERE event_id % 3 = 0 AND event_id % 2 <> 0")
+def upsert_rows(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("event_id", "event_type")
+    return sampling.upsert(e, e.where("event_id % 6 = 0").withColumn("event_type", F.lit("new")), "event_id")
+
+
+@query("SELECT doc_id, CASE lang WHEN 'en' THEN 2.0 WHEN 'fr' THEN 0.5 ELSE 1.0 END::DOUBLE AS weight FROM documents")
+def lookup_default(spark, sf_dir):
+    table = spark.createDataFrame([("en", 2.0), ("fr", 0.5)], "key string, value double")
+    return joins.lookup(read(spark, sf_dir, "documents").select("doc_id", "lang"), table, "lang", "weight", 1.0).select("doc_id", "weight")
+
+
+@query("""SELECT doc_id, regexp_matches(lower(text), 'the |and ')::TINYINT AS lot, regexp_matches(lower(text), 'token')::TINYINT AS parts, length(text)::BIGINT AS text_len, (n_chars >= 50)::INT AS has_key,
+CASE WHEN n_chars >= 5000 THEN 'large' WHEN n_chars >= 500 THEN 'medium' ELSE 'small' END AS bucket FROM documents""")
+def text_features(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    found = tx.flags(F.col("text"), {"lot": "the |and ", "parts": "token"})
+    return d.select("doc_id", *[v.alias(k) for k, v in found.items()], F.char_length("text").cast("long").alias("text_len"), (F.col("n_chars") >= 50).cast("int").alias("has_key"), tx.size_bucket(F.col("n_chars") / 100).alias("bucket"))
+
+
+@query("""WITH b AS (SELECT doc_id, text, source FROM documents) SELECT doc_id, (lower(translate(substr(text, 1, 40), 'ё', 'е'))) IN ('fotik') AS generic,
+CASE WHEN n <= 0 THEN 'no_kb' WHEN n <= 20 THEN 'rare_kb' ELSE 'popular_kb' END AS popularity FROM b LEFT JOIN (SELECT source, count(*) AS n FROM documents GROUP BY source) USING (source)""")
+def popularity_slices(spark, sf_dir):
+    d = profiling.group_size(read(spark, sf_dir, "documents").select("doc_id", "text", "source"), "source", "n")
+    return d.select("doc_id", tx.is_generic_title(F.substring("text", 1, 40)).alias("generic"), tx.popularity_bucket(F.col("n")).alias("popularity"))
+
+
+@query("WITH w AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\pL\\pN_]{2,}') AS w FROM benchmark), g AS (SELECT item_id, unnest(w) AS term FROM w UNION ALL SELECT item_id, a || ' ' || b FROM (SELECT item_id, unnest(w[:-2]) AS a, unnest(w[2:]) AS b FROM w WHERE len(w) > 1)) SELECT term, count(DISTINCT item_id) AS df, count(*) AS cf FROM g GROUP BY term HAVING count(DISTINCT item_id) >= 2")
+def word_vocabulary(spark, sf_dir):
+    b = read(spark, sf_dir, "benchmark")
+    counts = features.term_counts(b, "item_id", features.word_ngrams(F.col("text")))
+    return counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where("df >= 2")
