@@ -88,7 +88,7 @@ def unfinished(todo: DataFrame, done: DataFrame, key: str, finished: Column) ->
 def budget_prefix(df: DataFrame, order: list[str], cost: Column, cap: float, cells: int = 1024) -> DataFrame:
     """The rows, in order, up to and with the one whose cost passes the cap; with ``running``, the sum so far.
 
-    The order's first column parts the rows into ranges, of which the sums before are added up first.
+    The first column of the order, a number, parts the rows into ranges; the sums of earlier ranges are added up first.
     """
     first = order[0]
     priced = df.withColumn("__cost", cost)
