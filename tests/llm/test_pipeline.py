@@ -69,3 +69,36 @@ def test_every_stage_keeps_the_columns(spark, sf):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns, name
         assert stage(spark, docs.where(F.lit(False)), sf).count() == 0
+
+
+def test_stages_on_odd_rows(spark, sf):
+    """Nulls in any column, blank and long texts, repeated rows, extra and clashing columns, through all stages."""
+    words = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [
+        (None, None, None, None, None, None, None),
+        (1, None, "en", "a", 0, "x", 1),
+        (2, "", "en", "a", 0, None, None),
+        (3, " \n\t", None, None, 3, "x", 1),
+        (4, words(4, 60), None, None, 1, "x", 1),
+        (4, words(4, 60), None, None, 1, "x", 1),
+        (None, words(5, 80), "fr", "b", 2, "x", None),
+        (None, words(5, 80), "fr", "b", 2, "x", None),
+        (6, words(6, 40000), "fr", "b", 2, "x", None),
+        (7, words(7, 49), "fr", "b", 2, "x", None),
+        (8, "same " * 100, "fr", "c", 2, "x", None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, shard string, kept int")
+    seen = []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.write_out(stage(spark, docs, sf))
+        seen.append((name, docs.columns, docs.collect()))
+    names = ["doc_id", "text", "lang", "source", "n_chars", "shard", "kept"]
+    assert all(cols == names for _, cols, _ in seen[:-1])
+    assert sorted(str(r.doc_id) for r in seen[0][2]) == ["4", "4", "6", "None", "None"]
+    assert sorted(str(r.doc_id) for r in seen[1][2]) == sorted(str(r.doc_id) for r in seen[2][2]) == ["4", "6", "None"]
+    taken = Counter()
+    for r in seen[3][2]:
+        taken[r.doc_id] += len(r.text.split())
+    assert taken[4] == 180 and taken[None] + taken[6] == 60 + 80 + 40000 - 180  # the small source is full, the other takes the rest
+    assert {r.kept for r in seen[3][2] if r.doc_id == 4} == {1}
+    assert all(r.shard == "root" and r.bytes == len(r.text) for r in seen[4][2])
