@@ -12,8 +12,9 @@ and Running Karp-Rabin Matching").
 
 from __future__ import annotations
 
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -35,7 +36,7 @@ class Rule:
 
     min_match: int = 5
     min_cover: float = 0.5
-    block_words: int = 2_000_000
+    block_words: int = 500_000
 
 
 def words(text: str) -> list[str]:
@@ -90,16 +91,27 @@ def tiles(item: list[int], doc: list[int], min_match: int) -> list[tuple[int, in
 
 
 class Benchmark:
-    """Items with the seeds that they share with documents."""
+    """Items with the seeds that they share with documents. A seed takes some 200 bytes, as words are shared."""
 
     def __init__(self, items: list[tuple[int, str]], rule: Rule):
-        self.rule, self.items, self.seeds = rule, {}, defaultdict(set)
+        self.rule, self.items, self.least = rule, {}, {}
+        self.seeds: dict[tuple[str, ...], int | list[int]] = {}
+        one: dict[str, str] = {}
         for k, (item_id, text) in enumerate(items):
-            w = words(text or "")
-            if len(w) >= rule.min_match:
-                self.items[k] = item_id, w
-                for g in self.shingles(w):
-                    self.seeds[g].add(k)
+            w = [one.setdefault(x, x) for x in words(text or "")]
+            if len(w) < rule.min_match:
+                continue
+            self.items[k] = item_id, w
+            own = set(self.shingles(w))
+            for g in own:
+                at = self.seeds.setdefault(g, k)
+                if isinstance(at, list):
+                    at.append(k)
+                elif at != k:
+                    self.seeds[g] = [at, k]
+            # a tile of n words has n - min_match + 1 seeds, so words that are covered have a min_match-th as many; repeated seeds count once
+            windows = len(w) - rule.min_match + 1
+            self.least[k] = math.ceil(rule.min_cover * len(w) / rule.min_match) if len(own) == windows else 1
 
     def shingles(self, w: list[str]):
         return zip(*[w[k:] for k in range(self.rule.min_match)])
@@ -109,11 +121,15 @@ class Benchmark:
         w = words(text)
         if not self.seeds or self.seeds.keys().isdisjoint(self.shingles(w)):
             return []
-        at, candidates = [], set()
+        at, shared = [], set()
         for j, g in enumerate(self.shingles(w)):
             if g in self.seeds:
                 at.append(j)
-                candidates |= self.seeds[g]
+                shared.add(g)
+        hits: Counter = Counter()
+        for g in shared:
+            k = self.seeds[g]
+            hits.update(k if isinstance(k, list) else (k,))
         # outside seeds no tile is long enough: what stands between them is one token that matches nothing
         kept: list[str | None] = []
         last = -1
@@ -123,7 +139,7 @@ class Benchmark:
             kept += w[max(j, last) : j + self.rule.min_match]
             last = max(last, j + self.rule.min_match)
         out = []
-        for k in sorted(candidates):
+        for k in sorted(k for k, n in hits.items() if n >= self.least[k]):
             item_id, iw = self.items[k]
             number = {x: n + 2 for n, x in enumerate(dict.fromkeys(iw))}
             got = tiles([number[x] for x in iw], [number.get(x, 1) for x in kept], self.rule.min_match)
