@@ -579,7 +579,7 @@ def cosine_prompts(spark, sf_dir):
 
 def _with_prompts(e: DataFrame, prompts: DataFrame) -> DataFrame:
     """Every vector with every prompt; the prompts are a constant of the plan, as they are few."""
-    fixed = F.array(*[F.struct(F.lit(x["prompt_id"]).alias("prompt_id"), F.array(*[F.lit(float(v)) for v in x["q"]]).alias("q")) for x in prompts.first()["prompts"]])
+    fixed = F.array(*[F.struct(F.lit(x["prompt_id"]).cast("long").alias("prompt_id"), F.array(*[F.lit(float(v)) for v in x["q"]]).alias("q")) for x in prompts.first()["prompts"]])
     return e.select("vec_id", "embedding", F.explode(fixed).alias("x")).select("vec_id", "embedding", "x.*")
 
 
