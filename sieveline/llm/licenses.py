@@ -99,13 +99,13 @@ class Matcher:
                 have, common = begins[full[n]], 0
                 for m in range(n, len(full)):
                     size = ends[m] - begins[full[n]] - 1
+                    if size > t.most:  # before its words are looked at, as a line may be very long
+                        break
                     for i in range(have, ends[m] - 1):
                         p = flat[i], flat[i + 1]
                         grams[p] += 1
                         common += grams[p] <= t.grams[p]
                     have = max(have, ends[m] - 1)
-                    if size > t.most:
-                        break
                     if size >= t.least:
                         score = 2 * common / (size + sum(t.grams.values()))
                         if score >= self.threshold and score > best[0]:
