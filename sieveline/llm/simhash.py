@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sieveline.llm import resemblance
 from sieveline.llm.common import per_batch, texts
 from sieveline.operators.graph import connected_components
 from sieveline.storage import settle
@@ -132,9 +133,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pair_limit: int = PAIR_LIMIT) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay if one document of each component does, with their columns.
 
+    Components are those of ``resemblance.near_duplicates``: two differing bits of a fingerprint would let most edited copies pass.
     The document with the component's id stays; of repeated rows with that id one stays, by the hash of
     its text. A row with a null id stays only if no row of its component has an id, under a stand-in id
     above 2**62 made from its text.
@@ -142,7 +144,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stand_in = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.col(text_col)), 3)
     # the row travels as one column, so none of its names can meet those used here
     keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), stand_in).alias("key"), F.xxhash64(F.col(text_col)).alias("tie"))
-    found = near_duplicates(keyed, "key", f"row.{text_col}", pair_limit)
+    found = resemblance.near_duplicates(keyed, "key", f"row.{text_col}")
     stay = found.select(F.col("component_id").alias("stay")).distinct()
     kept = keyed.join(stay, F.col("key") == F.col("stay"), "left_semi")
     order = W.partitionBy("key").orderBy("tie")
