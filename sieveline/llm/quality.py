@@ -23,14 +23,17 @@ PLACES, MANY_PLACES = 1 << 20, 1 << 28
 
 @dataclass(frozen=True)
 class Limits:
-    """Limits of the document rules, and of a host's shrunk failure rate by rule."""
+    """Limits of the document rules, and of a host's shrunk failure rate by rule.
+
+    With host_min_docs hosts of fewer documents get no verdict and no say in the prior: the rule of OP5's SQL.
+    """
 
     min_words: int = 50
     max_repeat_percent: int = 50
     max_symbols_per_word: float = 0.5
     max_dup_lines_share: float = 0.6
     host_rate: float = 0.6
-    host_min_docs: int = 20
+    host_min_docs: int = 0
 
 
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -93,17 +96,23 @@ def host_verdicts(measured: DataFrame, host_col: str, limits: Limits) -> DataFra
 
     For each rule the hosts' rates give a beta prior by the method of moments: with their mean m and
     variance v, ``a + b = m (1 - m) / v - 1``. The shrunk rate is ``(failures + a) / (documents + a + b)``.
-    If rates don't vary, the prior outweighs everything and every host has the rate m.
+    If rates don't vary, the prior outweighs everything and every host has the rate m. All hosts make the prior,
+    weighted by their documents; only with ``host_min_docs`` it is made by those that have as many, with equal weights.
     """
     rules = failures(limits)
     hosts = settle(
         measured.groupBy(F.col(host_col).alias("__host")).agg(F.count("*").alias("__n"), *[F.sum(rule.cast("long")).alias(f"__f_{k}") for k, rule in rules.items()])
     )
-    # the moments come from hosts with enough documents for a rate; where none has, from all hosts together
-    enough = F.col("__n") >= limits.host_min_docs
-    moments = [F.avg(F.when(enough, F.col(f"__f_{k}") / F.col("__n"))).alias(f"__m_{k}") for k in rules]
-    moments += [F.var_pop(F.when(enough, F.col(f"__f_{k}") / F.col("__n"))).alias(f"__v_{k}") for k in rules]
-    moments += [F.try_divide(F.sum(f"__f_{k}"), F.sum("__n")).alias(f"__all_{k}") for k in rules]
+    moments = [F.try_divide(F.sum(f"__f_{k}"), F.sum("__n")).alias(f"__all_{k}") for k in rules]
+    if limits.host_min_docs:
+        # where no host has enough documents for a rate, the mean is that of all hosts together
+        enough = F.col("__n") >= limits.host_min_docs
+        moments += [F.avg(F.when(enough, F.col(f"__f_{k}") / F.col("__n"))).alias(f"__m_{k}") for k in rules]
+        moments += [F.var_pop(F.when(enough, F.col(f"__f_{k}") / F.col("__n"))).alias(f"__v_{k}") for k in rules]
+    else:
+        mean = {k: F.try_divide(F.sum(f"__f_{k}"), F.sum("__n")) for k in rules}
+        moments += [m.alias(f"__m_{k}") for k, m in mean.items()]
+        moments += [(F.try_divide(F.sum(F.col(f"__f_{k}") * F.col(f"__f_{k}") / F.col("__n")), F.sum("__n")) - m * m).alias(f"__v_{k}") for k, m in mean.items()]
     found = hosts.agg(*moments).first()
     failed = F.lit(False)
     for k in rules:

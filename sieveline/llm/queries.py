@@ -29,7 +29,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.judge(read(spark, sf_dir, "documents"))
+    found = quality.judge(read(spark, sf_dir, "documents"), limits=quality.Limits(host_min_docs=20))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

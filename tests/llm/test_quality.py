@@ -74,6 +74,19 @@ def test_shrinkage(spark):
     assert got == {h: (f[h] + m * w) / (n[h] + w) > 0.5 for h in got}
 
 
+def test_small_hosts_of_junk(spark):
+    """Junk that only the host rules know goes with its host, however few documents that has."""
+    good = " ".join(f"w{i}" for i in range(60))
+    junk = {"symbols": " ".join(f"w{i} # $" for i in range(60)), "lines": "\n".join(["a b c d e", *(f"x{i} y{i}" for i in range(30)), *["same"] * 60])}
+    rows = [(i, good, f"host{i % 40}") for i in range(400)] + [(1000, good, "one")]
+    rows += [(2000 + 100 * n + i, t, f"{k}{n}") for n in (5, 19, 20) for k, t in junk.items() for i in range(n)]
+    rows = [(k, *r[1:], "x", 1) for k, r in enumerate(rows)]
+    got = quality.judge(spark.createDataFrame(rows, DOCS)).collect()
+    assert not any(r.base_failed for r in got if rows[r.doc_id][1] in (good, junk["symbols"]))
+    assert {r.doc_id for r in got if r.kept} == {r[0] for r in rows if r[1] == good}
+    assert quality.keep_good(spark.createDataFrame(rows, DOCS)).count() == 401
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], DOCS)
     assert quality.judge(docs).count() == quality.keep_good(docs).count() == 0
