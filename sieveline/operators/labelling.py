@@ -31,27 +31,41 @@ def dictionary_find(text: Column, names: list[str]) -> Column:
     return F.when(found != "", found)
 
 
-def find_by_join(texts: DataFrame, key: str, text: str, dictionary: DataFrame, longest: int = 8) -> DataFrame:
-    """``key, name`` as by ``dictionary_find``, for dictionaries too large for a pattern.
-
-    Runs of up to ``longest`` words are joined with the names; the leftmost and then longest one stays.
-    """
+def hits_by_join(texts: DataFrame, key: str, text: str, dictionary: DataFrame, longest: int | None = None) -> DataFrame:
+    """``key, pos, n, name``: every run of words of a text that is a name; runs are as long as names are, or ``longest`` at most."""
+    sizes = [r[0] for r in dictionary.select(F.size(F.split("name", " "))).distinct().collect()] if longest is None else list(range(1, longest + 1))
+    if not sizes:
+        sizes = [1]
     w = F.split(text, " ")
 
     def from_word(words: Column) -> Column:
         """The runs of a text as (place, words, name). Only they leave the row, not the text with each of them."""
         return F.flatten(
             F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(longest), F.size(words))),
+                F.filter(F.array(*[F.lit(n) for n in sorted(sizes)]), lambda n: n <= F.size(words)),
                 lambda n: F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.struct(i.alias("pos"), n.alias("n"), F.array_join(F.slice(words, i + 1, n), " ").alias("name"))),
             )
         )
 
     runs = texts.select(key, F.explode(bound(w, from_word)).alias("x")).select(key, "x.*")
-    hit = runs.join(dictionary.select("name"), "name")
+    return runs.join(dictionary.select("name"), "name")
+
+
+def find_by_join(texts: DataFrame, key: str, text: str, dictionary: DataFrame, longest: int | None = None) -> DataFrame:
+    """``key, name`` as by ``dictionary_find``, for dictionaries too large for a pattern.
+
+    Runs of words are joined with the names; the leftmost and then longest one stays.
+    """
+    hit = hits_by_join(texts, key, text, dictionary, longest)
     return hit.groupBy(key).agg(F.min_by("name", F.struct("pos", (-F.col("n")).alias("n"))).alias("name"))
 
 
+def many_by_join(texts: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
+    """``key`` of the texts in which ``dictionary_hits`` would count more than one name: another begins past the end of the first."""
+    hit = hits_by_join(texts, key, text, dictionary).groupBy(key).agg(F.min(F.struct("pos", (-F.col("n")).alias("n"))).alias("first"), F.max("pos").alias("last"))
+    return hit.where(F.col("last") >= F.col("first.pos") - F.col("first.n")).select(key)
+
+
 def apply_dictionary(items: DataFrame, dictionary: DataFrame, key: str = "item_id", title: str = "title", description: str = "description") -> DataFrame:
     """``key, kb_model, kb_label, label_source, confidence``: dictionary labels of items.
 
@@ -68,7 +82,9 @@ def apply_dictionary(items: DataFrame, dictionary: DataFrame, key: str = "item_i
         found = rows.withColumn("__text", text).select(key, dictionary_find(F.col("__text"), names).alias("kb_model"))
         found = found.join(F.broadcast(dictionary.select(F.col("name").alias("kb_model"), F.col("label").alias("kb_label"))), "kb_model", "left")
     else:
-        words = rows.withColumn("__text", normalise_name(F.when(is_ruled_out(F.col("__t")), F.lit("")).otherwise(F.concat("__t", F.lit(" "), "__d"))))
+        many = many_by_join(rows, key, "__nt", dictionary).withColumn("__many", F.lit(True))
+        skip = is_ruled_out(F.col("__t")) | F.coalesce("__many", F.lit(False))
+        words = rows.join(many, key, "left").withColumn("__text", normalise_name(F.when(skip, F.lit("")).otherwise(F.concat("__t", F.lit(" "), "__d"))))
         hit = find_by_join(words, key, "__text", dictionary).withColumnRenamed("name", "kb_model")
         found = rows.select(key).join(hit, key, "left").join(dictionary.select(F.col("name").alias("kb_model"), F.col("label").alias("kb_label")), "kb_model", "left")
     known = F.col("kb_label").isNotNull()
