@@ -1,7 +1,7 @@
 """Secret scans with a token-efficiency test.
 
 A BPE vocabulary spells ordinary words with few tokens and random strings with many. A run of characters that a key
-could consist of is reported as ``random`` if it has few characters for each token, after digests of known
+could consist of is reported as ``random`` if it, or a part of it, has few characters for each token, after digests of known
 lengths, UUIDs and numbers have been set aside. Patterns find what keys look like whatever their tokens.
 """
 
@@ -25,7 +25,9 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 #: Runs of what keys are made of.
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
+_RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+_SEPARATOR = re.compile("[/_=+-]+")
 _DIGIT = re.compile("[0-9]")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}")
 _HEX_ONLY = re.compile(r"[0-9a-f]+|[0-9A-F]+")
@@ -35,9 +37,10 @@ DIGESTS = {32, 40, 56, 64, 96, 128}
 
 @dataclass(frozen=True)
 class Test:
-    """A run is random if it has at most max_ratio characters a token. Long runs are tested in windows and take their mean."""
+    """A run is random if it has at most max_ratio characters a token, without a digit max_ratio_letters, in any of its windows or as a whole."""
 
     max_ratio: float = 2.2
+    max_ratio_letters: float = 2.0
     window: int = 256
 
 
@@ -53,15 +56,11 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def known(run: str) -> bool:
-    """Digests of known lengths, UUIDs, and identifiers: numbers, words and names without a mix of kinds."""
+    """Digests of known lengths, UUIDs, and numbers with few letters or none, such as dates."""
     if _HEX_ONLY.fullmatch(run) and len(run) in DIGESTS or _UUID.fullmatch(run):
         return True
-    kinds = any(c.isdigit() for c in run), any("a" <= c <= "z" for c in run), any("A" <= c <= "Z" for c in run)
-    if not kinds[0] or not (kinds[1] or kinds[2]):
-        return True
-    # few changes between letters and digits: names such as user_2024_report, paths, or numbered things
-    changes = sum(a.isdigit() != b.isdigit() for a, b in zip(run, run[1:]))
-    return changes < 3
+    letters, digits = sum(c.isalpha() for c in run), sum(c.isdigit() for c in run)
+    return 5 * letters <= letters + digits
 
 
 def ratio(run: str, encode, window: int) -> float:
@@ -69,10 +68,33 @@ def ratio(run: str, encode, window: int) -> float:
     return len(run) / max(1, sum(len(encode(run[i : i + window])) for i in range(0, len(run), window)))
 
 
+def is_random(run: str, encode, test: Test) -> bool:
+    """Whether the run, one of its parts between separators, or all parts put together pass the test in any window.
+
+    Parts put together say what short ones are made of: names in a path stay words, groups of a random key don't.
+    """
+    if known(run):
+        return False
+    run = _UUID.sub("/", run)
+    every = _SEPARATOR.split(run)
+    parts = [p for p in every if not (_HEX_ONLY.fullmatch(p) and len(p) in DIGESTS)]
+    together = "".join(parts)
+    # separators are tokens of their own, so a run counts with them only if letters and digits are mixed in it
+    mixed = len(parts) == len(every) and sum(a.isdigit() != b.isdigit() for a, b in zip(run, run[1:])) >= 3
+    for s in {*parts, together, *([run] if mixed else [])}:
+        if len(s) >= LEAST and not known(s):
+            limit = test.max_ratio if _DIGIT.search(s) else test.max_ratio_letters
+            # a last window that is too short to tell goes with the one before
+            starts = range(0, max(1, len(s) - LEAST + 1), test.window)
+            if any(ratio(s[i : i + test.window] if i != starts[-1] else s[i:], encode, test.window + LEAST) <= limit for i in starts):
+                return True
+            if ratio(s, encode, test.window) <= limit:
+                return True
+    return False
+
+
 def random_spans(text: str, encode, test: Test) -> list[tuple[str, int, int]]:
-    if not _DIGIT.search(text):  # then every run is a word
-        return []
-    return [("random", *m.span()) for m in _RUN.finditer(text) if not known(m[0]) and ratio(m[0], encode, test.window) <= test.max_ratio]
+    return [("random", *m.span()) for m in _RUN.finditer(text) if is_random(m[0], encode, test)]
 
 
 def read_vocabulary(path: str = VOCABULARY) -> bytes:

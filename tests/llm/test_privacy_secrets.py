@@ -134,3 +134,17 @@ def test_token_efficiency(spark):
     assert [got[i].n_random for i in range(len(keys))] == [1] * len(keys)
     assert [got[len(keys) + i].n_random for i in range(len(harmless))] == [0] * len(harmless)
     assert f"random:5:{5 + 40}" in got[0].spans
+
+
+def test_keys_without_digits_and_in_paths():
+    rng = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    encode, test = secrets.encoder(secrets.read_vocabulary()), secrets.Test()
+    found = lambda keys: sum(len(secrets.random_spans(f"here {k} there", encode, test)) == 1 for k in keys)
+    make = lambda alphabet, n: ["".join(rng.choice(alphabet) for _ in range(n)) for _ in range(300)]
+    for n in (16, 20, 24, 40):
+        assert found(make(letters, n)) >= 295 and found(make(letters + "0123456789", n)) >= 295
+    assert found(f"services/production/config/database/password/{k}" for k in make(letters + "0123456789", 32)) >= 298
+    assert found("word" * 100 + k + "word" * 100 for k in make(letters, 300)) >= 295
+    harmless = ["services/production/config/database/password", "getElementsByTagNameNS", "Donaudampfschifffahrtsgesellschaft", "2024-01-02T03-04-05Z", "user_2024_report_final", "----------------------", hashlib.sha1(b"x").hexdigest(), f"files/{hashlib.md5(b'y').hexdigest()}/index"]
+    assert found(harmless) == 0
