@@ -18,6 +18,7 @@ def get_session(app: str = "sieveline", cpus: int | None = None, **extra: str) -
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | {k.replace("__", "."): v for k, v in extra.items()}
     builder = SparkSession.builder.master(f"local[{n}]").appName(app)
     for k, v in conf.items():

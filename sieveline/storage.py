@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -21,11 +24,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (tests, notebooks on one machine) is a folder made here.
+    Where that is unset and everything runs in one process (tests, notebooks) a folder is made here, and removed at the end.
+    On a cluster it is an error, as executors don't see the driver's folders.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sieveline-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {sc.master} share")
+            path = tempfile.mkdtemp(prefix="sieveline-")
+            atexit.register(shutil.rmtree, path, ignore_errors=True)
+        sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
 
 
@@ -42,6 +52,17 @@ def write_out(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete what ``write_out`` wrote for a table that is read no more. Tables from elsewhere are left alone."""
+    spark = df.sparkSession
+    jvm, top = spark._jvm, shared_dir(spark).rstrip("/")
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        here = jvm.org.apache.hadoop.fs.Path(top).toUri().getPath()
+        if path.getParent().toUri().getPath() == here and re.fullmatch(r"[0-9a-f]{32}\.parquet", path.getName()):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
     """Whether a table is small enough to be sent to every executor; reads rows + 1 rows of it at most."""
     head = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
