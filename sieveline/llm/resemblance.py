@@ -1,25 +1,27 @@
 """Near-duplicates by Jaccard similarity of five-word shingles, found without missing a pair.
 
-Texts link if their shingle sets have a Jaccard coefficient of at least four fifths; a component is what
-links reach. Under any one order of all shingles, two sets of a and b members with that coefficient share one
-among the first ``a // 5 + 1`` of the one and the first ``b // 5 + 1`` of the other. Only these are indexed, rare
-ones first (by counts in ``BUCKETS`` hash buckets), so what many texts have in common seldom is.
-
-The texts that share an indexed shingle are compared with the least of them, the hub. Pairs of others are compared
-only if their hub left them in different components and, Jaccard distance being a metric, their distances to it
-differ by no more than the radius. So a large group of near copies costs a comparison a member, not one a pair;
-a shingle that stands in the prefixes of many texts that are unlike, but equally far from the hub, still costs
-their pairs. Every link is confirmed on the whole sets.
-
-Shingles and sets are known by 64-bit hashes. Texts of fewer than five words are a shingle of their own; texts
-without words are alike.
+Texts link if their shingle sets have a Jaccard coefficient of at least four fifths; a component is what links reach.
+
+Candidates. Under any one order of all shingles, two sets of a and b members with that coefficient share one
+among the first ``a // 5 + 1`` of the one and the first ``b // 5 + 1`` of the other. Only these are indexed, rare ones
+first (by counts in ``1 << BITS`` hash buckets), so what many texts have in common seldom is. The order changes the work
+only, never the result.
+
+Pivots. Every set has a wide SimHash fingerprint. Of the sets that share an indexed shingle the least is the reference,
+the hub. The others' Hamming distances to their hub are the table: the hub itself is compared with those within ``REACH``,
+and two others only if their distances to it differ by no more than that, their own distance passes, and the hub left
+them in different components. At a coefficient of 0.8 a bit differs with odds of 0.19 at most, so ``REACH`` bits of
+``LANES * 64`` are seven standard deviations away. Of a large group of near copies all but the strays are compared once.
+
+Every link is verified on the whole sets. Shingles and sets are known by 64-bit hashes. Texts of fewer than five words are a
+shingle of their own; texts without words are alike.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm.common import per_batch, texts
@@ -30,9 +32,13 @@ SHINGLE = 5
 SEED = 42
 #: Log2 of the buckets by which shingles are counted for their order.
 BITS = 18
-RADIUS = 0.2
-#: Odd multipliers that tell the places of a shingle's words apart, and one that mixes the sum.
+#: Words of 64 bits in a fingerprint, and the most bits in which fingerprints of linked sets differ.
+LANES, REACH = 4, 96
+#: Shingles whose bits are unpacked at a time.
+UNPACK = 1 << 14
+#: Odd multipliers that tell the places of a shingle's words apart, those of a fingerprint's words, and one that mixes the sum.
 _PLACES = [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
+_LANES = [0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0xD1342543DE82EF95]
 _MIX = np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -59,6 +65,22 @@ def node(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), SEED)).astype(np.int64))
 
 
+def fingerprint(s: np.ndarray) -> list[int]:
+    """Majority votes of a set's members on ``LANES * 64`` bits, as signed longs."""
+    ones = np.zeros(LANES * 64, dtype=np.int64)
+    for k in range(0, len(s), UNPACK):
+        h = s[k : k + UNPACK].view(np.uint64)
+        x = np.stack([h * np.uint64(p) for p in _LANES], axis=1)
+        x ^= x >> np.uint64(31)
+        ones += np.unpackbits(x.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(s)).view(np.int64).tolist()
+
+
+def apart(a: Column, b: Column) -> Column:
+    """Bits in which two fingerprints differ."""
+    return sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(1, LANES)), F.bit_count(a[0].bitwiseXOR(b[0])))
+
+
 def _bucket(s: np.ndarray) -> np.ndarray:
     return (s.view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)
 
@@ -76,27 +98,31 @@ def bucket_counts(docs: DataFrame) -> np.ndarray:
     return counts
 
 
+FOUND = "key long, tie long, node long, n int, fp array<long>, tokens array<long>"
+
+
 def marked(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """``key, node, n, tokens``: the set of each text, its size, and the shingles it is indexed by."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    """``key, tie, node, n, fp, tokens``: the set of each text, its size, its fingerprint, and the shingles it is indexed by."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 32) - 1).astype(np.uint32))
 
     def run(batch):
-        nodes, sizes, firsts = [], [], []
+        nodes, sizes, fps, firsts = [], [], [], []
         for t in texts(batch, "text"):
             s = shingles(t)
             order = np.lexsort((s, shared.value[_bucket(s)]))
             nodes.append(node(s))
             sizes.append(len(s))
+            fps.append(fingerprint(s))
             firsts.append(s[order[: len(s) // 5 + 1]])
-        return batch.column(0), nodes, sizes, firsts
+        return batch.column(0), batch.column(1), nodes, sizes, fps, firsts
 
-    return per_batch(docs, run, "key long, node long, n long, tokens array<long>")
+    return per_batch(docs.select("key", "tie", "text"), run, FOUND)
 
 
 def sets_of(docs: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node, s``: the sets of ``nodes``, made again from one text of each."""
-    keys = found.select("key", "node").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
-    picked = join_small(docs, settle(keys.select("key").distinct()), ["key"], "left_semi")
+    keys = found.select("key", "tie", "node").join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("key", "tie")).alias("k"))
+    picked = join_small(docs, settle(keys.select("k.*").distinct()), ["key", "tie"], "left_semi").select("text")
 
     def run(batch):
         sets = [shingles(t) for t in texts(batch, "text")]
@@ -105,56 +131,70 @@ def sets_of(docs: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
     return per_batch(picked, run, "node long, s array<long>").groupBy("node").agg(F.first("s").alias("s"))
 
 
-def distances(docs: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``a, b, d, linked`` of ``pairs(a, b)``: their Jaccard distance, and whether it is within the radius, in whole numbers."""
-    sets = write_out(sets_of(docs, found, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+def linked(docs: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``pairs(a, b)`` whose sets have a coefficient of four fifths, in whole numbers; ``pairs`` is settled."""
+    sets = sets_of(docs, found, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    x = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("both"), (F.size("sa") + F.size("sb")).alias("total"))
-    return settle(x.select("a", "b", (1 - F.col("both") / (F.col("total") - F.col("both"))).alias("d"), (9 * F.col("both") >= 4 * F.col("total")).alias("linked")))
+    common = F.size(F.array_intersect("sa", "sb"))
+    return settle(both.where(9 * common >= 4 * (F.size("sa") + F.size("sb"))).select(*pairs.columns))
+
+
+def _fits(m: Column, n: Column) -> Column:
+    return 5 * F.least(m, n) >= 4 * F.greatest(m, n)
 
 
 def components(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``node, root`` of the sets that link with another; ``found`` is what ``marked`` gives, settled."""
-    fits = lambda m, n: 5 * F.least(m, n) >= 4 * F.greatest(m, n)
-    index = found.select("node", "n", F.explode("tokens").alias("token"))
-    hubs = index.groupBy("token").agg(F.min(F.struct("node", "n")).alias("h"), F.max("node").alias("last")).where("h.node <> last")
-    hubs = settle(hubs.select("token", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n")))
-    index = settle(join_small(index, hubs, ["token"], "inner").where("node <> hub").distinct())
-    star = index.where(fits(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    near = distances(docs, found, settle(star))
-    roots = connected_components(near.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst")))
-
-    left = index.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    left = left.join(near.select(F.col("a").alias("hub"), F.col("b").alias("node"), "d"), ["hub", "node"], "left").select("token", "node", "n", "root", "d")
-    left = settle(left)
-    split = left.groupBy("token").agg((F.min("root") != F.max("root")).alias("split")).where("split").select("token")
-    left = settle(left.join(split, "token", "left_semi"))
-    x, y = left.alias("x"), left.alias("y")
-    apart = F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) > RADIUS + 1e-9, F.lit(False))
-    more = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & fits(F.col("x.n"), F.col("y.n")) & ~apart)
-    more = settle(more.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb")).distinct())
-    if more.isEmpty():
+    """``node, root`` of the sets that link with another; ``found`` is what ``marked`` gives, written out."""
+    nodes = settle(found.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp")))
+    index = found.select("node", F.explode("tokens").alias("token"))
+    hubs = index.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("token", "hub")
+    index = settle(join_small(index, settle(hubs), ["token"], "inner").where("node <> hub").distinct())
+
+    # the table of distances to the hubs
+    hub = nodes.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("fp").alias("hub_fp"))
+    table = index.select("hub", "node").distinct().join(nodes, "node").join(hub, "hub")
+    table = settle(table.select("hub", "node", "n", "fp", apart(F.col("fp"), F.col("hub_fp")).alias("d"), _fits(F.col("n"), F.col("hub_n")).alias("fits")))
+    star = linked(docs, found, settle(table.where((F.col("d") <= REACH) & F.col("fits")).select(F.col("hub").alias("a"), F.col("node").alias("b"))))
+    roots = connected_components(star.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+
+    # pairs of others: those outside a shingle's main component against all of its sets
+    left = index.join(table.drop("fits"), ["hub", "node"]).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    left = settle(left.select("token", "node", "n", "fp", "d", "root"))
+    main = left.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("c"))
+    left = left.join(main.where("c > 1").select("token", "main"), "token")
+    x, y = left.where("root <> main").alias("x"), left.alias("y")
+    once = (F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
+    close = (F.abs(F.col("x.d") - F.col("y.d")) <= REACH) & (apart(F.col("x.fp"), F.col("y.fp")) <= REACH)
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & once & _fits(F.col("x.n"), F.col("y.n")) & close)
+    pairs = settle(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb")).distinct())
+    if pairs.isEmpty():
         return roots
-    late = distances(docs, found, more.select("a", "b")).where("linked").join(more, ["a", "b"]).select("a", "b", "ra", "rb")
-    late = settle(late)
+    late = linked(docs, found, pairs)
     joined = connected_components(late.select(F.col("ra").alias("src"), F.col("rb").alias("dst")))
     ends = late.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ra").alias("root")), F.struct(F.col("b").alias("node"), F.col("rb").alias("root")))).alias("e")).select("e.*")
-    every = roots.unionByName(ends).distinct()
     up = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    return settle(every.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+    return settle(roots.unionByName(ends).distinct().join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """``key, tie, first_key, first_tie`` for each row of ``docs(key, tie, text)``: the least row that links reach, itself included."""
+    found = write_out(marked(docs, bucket_counts(docs)))
+    roots = components(docs, found)
+    sets = found.groupBy("node").agg(F.min(F.struct("key", "tie")).alias("k")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sets = settle(sets)
+    least = sets.groupBy("root").agg(F.min("k").alias("first"))
+    named = settle(sets.join(least, "root").select("node", F.col("first.key").alias("first_key"), F.col("first.tie").alias("first_tie")))
+    return found.select("key", "tie", "node").join(named, "node").drop("node")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, component_id`` for each row of ``docs``: the smallest doc_id that links reach, itself included.
 
-    Null and blank texts are alike; a row with a null id gets the component of its text; repeated rows are
-    returned as often as they stand; an empty table gives an empty result.
+    Defined cases: null and blank texts are alike; a row with a null id gets the component of its text, null if no row of
+    it has an id; rows with the same id and repeated rows are returned as often as they stand; texts of any length are compared
+    whole; other columns aren't looked at, whatever their names; an empty table gives an empty result.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
-    found = write_out(marked(docs, bucket_counts(docs)))
-    roots = components(docs, found)
-    sets = found.groupBy("node").agg(F.min("key").alias("key")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sets = settle(sets)
-    least = sets.groupBy("root").agg(F.min("key").alias("component_id"))
-    named = settle(sets.join(least, "root").select("node", "component_id"))
-    return found.select(F.col("key").alias("doc_id"), "node").join(named, "node").select("doc_id", "component_id")
+    last = F.lit((1 << 63) - 1)
+    text = F.col(text_col).cast("string")
+    found = groups(docs.select(F.coalesce(F.col(id_col).cast("long"), last).alias("key"), F.xxhash64(text).alias("tie"), text.alias("text")))
+    return found.select(F.nullif("key", last).alias("doc_id"), F.nullif("first_key", last).alias("component_id"))

@@ -15,8 +15,8 @@ can't link. Two sets of pivots are used:
 * ``PIVOTS`` well-spread fingerprints. Their distances stand in a table beside each fingerprint; pairs that
   met are discarded by maximum coordinate difference, and the rest are verified by their differing bits.
 
-A meeting point of over ``PAIR_LIMIT`` fingerprints isn't compared in pairs. Its members go to an exact
-way without pairs: each is sent to its 65 fingerprints of one changed bit or none. Two that share such a
+A meeting point of over ``PAIR_LIMIT`` fingerprints, for which pairs would be more work, isn't compared in pairs. Its members go to an
+exact way without pairs: each is sent to its 65 fingerprints of one changed bit or none. Two that share such a
 fingerprint differ in two bits or fewer, and all that do share one; so linking those in a group to its
 least member finds the same components. Such a group never has over 65 members.
 """
@@ -26,20 +26,20 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sieveline.llm import resemblance
 from sieveline.llm.common import per_batch, texts
 from sieveline.operators.graph import connected_components
-from sieveline.storage import settle
+from sieveline.storage import join_small, settle
 
 SHINGLE = 3
 SEED = 42
 RADIUS = 2
-#: Reference fingerprints of the distance table, and the most fingerprints that are compared in pairs.
+#: Reference fingerprints of the distance table.
 PIVOTS = 16
-PAIR_LIMIT = 12
+#: With n members there are n (n - 1) / 2 pairs, but 65 n fingerprints of one changed bit or none: pairs are fewer up to here.
+PAIR_LIMIT = 131
 #: Shingles whose bits are unpacked at a time.
 UNPACK = 1 << 16
 
@@ -136,16 +136,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay if one document of each component does, with their columns.
 
-    Components are those of ``resemblance.near_duplicates``: two differing bits of a fingerprint would let most edited copies pass.
-    The document with the component's id stays; of repeated rows with that id one stays, by the hash of
-    its text. A row with a null id stays only if no row of its component has an id, under a stand-in id
-    above 2**62 made from its text.
+    Components are those of ``resemblance.groups``: two differing bits of a fingerprint would let most edited copies pass.
+    The row with the least id stays, of rows with that id the one with the least hash of its text, and of repeated rows one.
+    Rows with a null id come after all others. Defined cases: null and blank texts are alike, so one row of all these stays;
+    texts of any length are compared whole; extra columns keep their values, whatever their names; an empty table
+    stays empty. Texts are only moved if the list of rows that go is too large for a broadcast.
     """
-    stand_in = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.col(text_col)), 3)
-    # the row travels as one column, so none of its names can meet those used here
-    keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), stand_in).alias("key"), F.xxhash64(F.col(text_col)).alias("tie"))
-    found = resemblance.near_duplicates(keyed, "key", f"row.{text_col}")
-    stay = found.select(F.col("component_id").alias("stay")).distinct()
-    kept = keyed.join(stay, F.col("key") == F.col("stay"), "left_semi")
-    order = W.partitionBy("key").orderBy("tie")
-    return kept.withColumn("rank", F.row_number().over(order)).where("rank = 1").select("row.*")
+    text = F.col(text_col).cast("string")
+    keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("key"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    found = resemblance.groups(keyed.drop("row"))
+    stays = (F.col("key") == F.col("first_key")) & (F.col("tie") == F.col("first_tie"))
+    rows = settle(found.groupBy("key", "tie").agg(F.bool_and(stays).alias("stays"), F.count("*").alias("n")))
+    keyed = keyed.drop("text")
+    left = join_small(keyed, settle(rows.where(~F.col("stays")).select("key", "tie")), ["key", "tie"], "left_anti")
+    again = settle(rows.where("stays AND n > 1").select("key", "tie"))
+    if again.isEmpty():
+        return left.select("row.*")
+    once = join_small(left, again, ["key", "tie"], "left_semi").groupBy("key", "tie").agg(F.first("row").alias("row"))
+    return join_small(left, again, ["key", "tie"], "left_anti").select("row.*").unionByName(once.select("row.*"))

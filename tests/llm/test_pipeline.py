@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from test_decontaminate_licenses import plain_tiles
 from test_mixing_sharding import plain_shards
 from test_quality import plain
-from test_simhash import plain_components, plain_fingerprint
+from test_resemblance import plain_components
 
 from sieveline.llm import decontaminate as dc
 from sieveline.llm.sharding import SHARD_BYTES
@@ -24,8 +24,8 @@ def test_run_against_brute_force(spark, sf):
         n, _, _, _, repeated = plain(d["text"])
         if n >= 50 and 100 * repeated <= 50 * n:
             good.append(d)
-    components = plain_components([(d["doc_id"], plain_fingerprint(d["text"])) for d in good])
-    first = [d for d, c in zip(good, components) if d["doc_id"] == c]
+    components = plain_components([(d["doc_id"], d["text"]) for d in good])
+    first = [d for d in good if components[d["doc_id"]] == d["doc_id"]]
     bench = [dc.words(r.text) for r in read(spark, sf, "benchmark").collect()]
     clean = []
     for d in first:

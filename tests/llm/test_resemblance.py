@@ -2,7 +2,6 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
-import test_pipeline
 
 from sieveline.llm import resemblance
 from sieveline.storage import read
@@ -75,10 +74,3 @@ def test_stage_drops_edited_copies(spark, sf):
     assert all(0.8 <= len(a[0] & s) / len(a[0] | s) < 1 for s in a[1:5])
     kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf)
     assert sorted(r.doc_id for r in kept.collect()) == [0, 9]
-
-
-def test_run_against_brute_force_of_this_rule(spark, sf, monkeypatch):
-    """The pipeline's brute-force version, with five-word similarity for its two-bit rule."""
-    monkeypatch.setattr(test_pipeline, "plain_fingerprint", lambda text: text)
-    monkeypatch.setattr(test_pipeline, "plain_components", lambda rows: list(plain_components(rows).values()))
-    test_pipeline.test_run_against_brute_force(spark, sf)
