@@ -26,11 +26,12 @@ WITH d AS (
   SELECT source, count(*)::DOUBLE AS n, sum(r1::INT)::DOUBLE AS f1, sum(r2::INT)::DOUBLE AS f2, sum(r3::INT)::DOUBLE AS f3, sum(r4::INT)::DOUBLE AS f4 FROM f GROUP BY source
 ), long AS (
   SELECT source, n, r, x FROM (SELECT source, n, unnest([1, 2, 3, 4]) AS r, unnest([f1, f2, f3, f4]) AS x FROM h)
+), mean AS (
+  SELECT r, sum(x) / sum(n) AS m, sum(x * x / n) / sum(n) AS m2 FROM long GROUP BY r
 ), prior AS (
-  SELECT r, coalesce(avg(x / n) FILTER (n >= 20), sum(x) / sum(n)) AS m, greatest(coalesce(var_pop(x / n) FILTER (n >= 20), 0), 1e-9) AS v FROM long GROUP BY r
+  SELECT r, m, greatest(1.0, m * (1 - m) / greatest(m2 - m * m, 1e-9) - 1) AS weight FROM mean
 ), verdict AS (
-  SELECT source, bool_or(n >= 20 AND (x + m * greatest(1.0, m * (1 - m) / v - 1)) / (n + greatest(1.0, m * (1 - m) / v - 1)) > 0.6) AS bad
-  FROM long JOIN prior USING (r) GROUP BY source
+  SELECT source, bool_or((x + m * weight) / (n + weight) > 0.6) AS bad FROM long JOIN prior USING (r) GROUP BY source
 )
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (r1 OR r2) AS base_failed, NOT (r1 OR r2) AND NOT verdict.bad AS kept
 FROM f JOIN verdict ON f.source IS NOT DISTINCT FROM verdict.source
@@ -50,7 +51,7 @@ SELECT doc_id, CASE WHEN depth = 0 THEN 'root' ELSE substr(lpad(bin(h), 60, '0')
 
 OP10 = f"""
 WITH d AS (
-  SELECT doc_id, source, len({WORDS})::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS place FROM documents
+  SELECT row_number() OVER () AS rid, doc_id, source, len({WORDS})::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS place FROM documents
 ), s AS (
   SELECT source, source_size, 3 * source_size AS cap, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w, row_number() OVER (ORDER BY source NULLS LAST) AS no
   FROM (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source)
@@ -59,13 +60,36 @@ WITH d AS (
     / sum(w) OVER (p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS lev
   FROM s WINDOW p AS (ORDER BY cap::DOUBLE / w, no)
 ), t AS (
-  SELECT source, source_size, least(cap::DOUBLE, max(lev) OVER () * w) AS target, least(cap, floor(least(cap::DOUBLE, max(lev) OVER () * w) + 0.5)::BIGINT) AS want FROM l
+  SELECT source, no, source_size, least(cap::DOUBLE, max(lev) OVER () * w) AS target, least(cap, floor(least(cap::DOUBLE, max(lev) OVER () * w) + 0.5)::BIGINT) AS want FROM l
+), q AS (
+  SELECT *, (source_size + 255) // 256 AS blocks, CASE WHEN source_size = 0 THEN 0 ELSE (want // source_size) * ((source_size + 255) // 256) + (want % source_size + 255) // 256 END::BIGINT AS need FROM t
+), share AS (
+  SELECT *, floor((c - need)::DOUBLE / total::DOUBLE * 2147483648)::BIGINT AS lo, floor(c::DOUBLE / total::DOUBLE * 2147483648)::BIGINT AS hi
+  FROM (SELECT *, sum(need) OVER (ORDER BY no) AS c, sum(need) OVER () AS total FROM q WHERE need > 0)
+), point AS (
+  SELECT slot, (slot % 2147483648) * 1327217885 % 2147483648 AS p FROM (SELECT unnest(range((SELECT coalesce(sum(need), 0)::BIGINT FROM q))) AS slot)
+), ranked AS (
+  SELECT slot, no, need, row_number() OVER (PARTITION BY no ORDER BY slot) - 1 AS rank FROM point JOIN share ON p >= lo AND p < hi
+), free AS (
+  SELECT slot, row_number() OVER (ORDER BY slot) AS k FROM ranked WHERE rank >= need
+), short AS (
+  SELECT no, rank, row_number() OVER (ORDER BY rank, no) AS k
+  FROM (SELECT no, unnest(range(coalesce(got, 0), need)) AS rank FROM share LEFT JOIN (SELECT no, count(*) AS got FROM ranked GROUP BY no) USING (no))
+), mix AS (
+  SELECT slot, no, rank FROM ranked WHERE rank < need UNION ALL SELECT slot, no, rank FROM free JOIN short USING (k)
+), blocks AS (
+  SELECT slot, no, rank % blocks AS block, least(256, source_size - rank % blocks * 256, want - rank // blocks * source_size - rank % blocks * 256) AS words FROM mix JOIN q USING (no)
 ), r AS (
-  SELECT doc_id, source, size, (sum(size) OVER (PARTITION BY source ORDER BY place, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start FROM d
+  SELECT rid, source, size, (sum(size) OVER (PARTITION BY source ORDER BY place, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start FROM d
+), parts AS (
+  SELECT rid, no, start, size, unnest(range(start // 256, (start + size - 1) // 256 + 1)) AS block FROM r JOIN q ON r.source IS NOT DISTINCT FROM q.source WHERE size > 0
+), given AS (
+  SELECT rid, slot, least(start + size, block * 256 + words) - greatest(start, block * 256) AS part FROM parts JOIN blocks USING (no, block)
+), sums AS (
+  SELECT rid, sum(part)::BIGINT AS taken, min(slot)::BIGINT AS slot, count(*) AS n_slots FROM given WHERE part > 0 GROUP BY rid
 )
-SELECT doc_id, size, source_size, target,
-  CASE WHEN source_size = 0 THEN 0 ELSE (want // source_size) * size + greatest(0, least(size, want % source_size - start)) END::BIGINT AS taken
-FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, slot, coalesce(n_slots, 0)::BIGINT AS n_slots
+FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN sums USING (rid)
 """
 
 SQL = {"op5_host_quality": OP5, "op8_extendible_sharding": OP8, "op10_mixing": OP10}

@@ -14,26 +14,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm.common import words_of
-from sieveline.storage import join_small, settle, write_out
+from sieveline.storage import join_small, settle
 
 WINDOW = 3
-#: In a window's key its position takes the low bits and a hash the rest: few bits for texts of under so many words, else more.
-PLACES, MANY_PLACES = 1 << 20, 1 << 28
+#: In a window's key its position takes the low bits and a hash the rest: 20 bits for texts of under so many words, else 31, which hold any.
+FEW, MANY = 1 << 20, 1 << 31
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Limits of the document rules, and of a host's shrunk failure rate by rule.
-
-    With host_min_docs hosts of fewer documents get no verdict and no say in the prior: the rule of OP5's SQL.
-    """
+    """Limits of the document rules, and of a host's shrunk failure rate by rule."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
     max_symbols_per_word: float = 0.5
     max_dup_lines_share: float = 0.6
     host_rate: float = 0.6
-    host_min_docs: int = 0
 
 
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -42,29 +38,25 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     df = docs.withColumn("__words", words_of(F.col(text_col).cast("string")))
     w = F.col("__words")
-    window = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
     last = F.size(w) - WINDOW
-    places = F.when(F.size(w) < PLACES, F.lit(PLACES - 1).cast("long")).otherwise(F.lit(MANY_PLACES - 1).cast("long"))
-    df = df.withColumn("__low", places)
+    df = df.withColumn("__low", F.when(F.size(w) < FEW, F.lit(FEW - 1).cast("long")).otherwise(F.lit(MANY - 1).cast("long")))
     low = F.col("__low")
     # where windows are equal, so are their hashes, and they are neighbours when the keys are sorted
-    keys = F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: window(i).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long"))))
+    key = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long"))
+    keys = F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), key))
     df = df.withColumn("__keys", F.when(last > 0, keys)).withColumn("__lines", lines)
     k = F.col("__keys")
-    place = lambda x: x.bitwiseAND(low).cast("int")
-
-    def equal(a: Column, b: Column) -> Column:
-        words = [F.get(w, place(a) + j) == F.get(w, place(b) + j) for j in range(WINDOW)]
-        return (a.bitwiseOR(low) == b.bitwiseOR(low)) & words[0] & words[1] & words[2]
-
-    def repeated(x: Column, i: Column) -> Column:
-        return F.coalesce(equal(x, F.get(k, i + 1)), F.lit(False)) | F.coalesce(equal(x, F.get(k, i - 1)), F.lit(False))
-
-    df = df.withColumn("__spots", F.sort_array(F.transform(F.filter(k, repeated), place)))
-    s = F.col("__spots")
+    same = lambda a, b: F.coalesce(a.bitwiseOR(low) == b.bitwiseOR(low), F.lit(False))
+    df = df.withColumn("__alike", F.filter(k, lambda x, i: same(x, F.get(k, i + 1)) | same(x, F.get(k, i - 1))))
+    # these are all the repeated windows, and by chance others of equal hash: their words decide
+    said = lambda x: F.struct(F.concat_ws(" ", *[F.get(w, x.bitwiseAND(low).cast("int") + j) for j in range(WINDOW)]).alias("said"), x.bitwiseAND(low).cast("int").alias("at"))
+    df = df.withColumn("__said", F.when(F.size("__alike") > 0, F.sort_array(F.transform("__alike", said))))
+    p = F.col("__said")
+    again = lambda x, i: F.coalesce(x.said == F.get(p, i + 1).said, F.lit(False)) | F.coalesce(x.said == F.get(p, i - 1).said, F.lit(False))
+    df = df.withColumn("__spots", F.sort_array(F.transform(F.filter(p, again), lambda x: x.at)))
     # a window covers three words, or as many as there are before the next one begins
     cover = F.aggregate(
-        s,
+        "__spots",
         F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("at")),
         lambda acc, x: F.struct((acc.n + F.least(F.lit(WINDOW), x - acc.at)).alias("n"), x.alias("at")),
         lambda acc: acc.n,
@@ -77,7 +69,8 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.coalesce(cover, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("__lines").cast("long").alias("n_lines"),
     )
-    return df.withColumn("__q", q).drop("__words", "__keys", "__lines", "__spots", "__low")
+    # a generator, as a filter on what it makes isn't pushed into it: that would write all of the above out once for each use of a column
+    return df.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array(q)).alias("__q"))
 
 
 def failures(limits: Limits) -> dict[str, Column]:
@@ -94,40 +87,29 @@ def failures(limits: Limits) -> dict[str, Column]:
 def host_verdicts(measured: DataFrame, host_col: str, limits: Limits) -> DataFrame:
     """``__host, __host_failed`` for each host, null included.
 
-    For each rule the hosts' rates give a beta prior by the method of moments: with their mean m and
-    variance v, ``a + b = m (1 - m) / v - 1``. The shrunk rate is ``(failures + a) / (documents + a + b)``.
-    If rates don't vary, the prior outweighs everything and every host has the rate m. All hosts make the prior,
-    weighted by their documents; only with ``host_min_docs`` it is made by those that have as many, with equal weights.
+    For each rule the hosts' rates, weighted by their documents, give a beta prior by the method of moments: with their mean m
+    and variance v, ``a + b = m (1 - m) / v - 1``, and 1 at least. The shrunk rate is ``(failures + a) / (documents + a + b)``.
+    If rates don't vary, the prior outweighs everything and every host has the rate m. Hosts of any size are judged.
     """
     rules = failures(limits)
     hosts = settle(
         measured.groupBy(F.col(host_col).alias("__host")).agg(F.count("*").alias("__n"), *[F.sum(rule.cast("long")).alias(f"__f_{k}") for k, rule in rules.items()])
     )
-    moments = [F.try_divide(F.sum(f"__f_{k}"), F.sum("__n")).alias(f"__all_{k}") for k in rules]
-    if limits.host_min_docs:
-        # where no host has enough documents for a rate, the mean is that of all hosts together
-        enough = F.col("__n") >= limits.host_min_docs
-        moments += [F.avg(F.when(enough, F.col(f"__f_{k}") / F.col("__n"))).alias(f"__m_{k}") for k in rules]
-        moments += [F.var_pop(F.when(enough, F.col(f"__f_{k}") / F.col("__n"))).alias(f"__v_{k}") for k in rules]
-    else:
-        mean = {k: F.try_divide(F.sum(f"__f_{k}"), F.sum("__n")) for k in rules}
-        moments += [m.alias(f"__m_{k}") for k, m in mean.items()]
-        moments += [(F.try_divide(F.sum(F.col(f"__f_{k}") * F.col(f"__f_{k}") / F.col("__n")), F.sum("__n")) - m * m).alias(f"__v_{k}") for k, m in mean.items()]
+    moments = [F.try_divide(F.sum(f"__f_{k}"), F.sum("__n")).alias(f"__m_{k}") for k in rules]
+    moments += [F.try_divide(F.sum(F.col(f"__f_{k}") * F.col(f"__f_{k}") / F.col("__n")), F.sum("__n")).alias(f"__s_{k}") for k in rules]
     found = hosts.agg(*moments).first()
     failed = F.lit(False)
     for k in rules:
-        m = next((x for x in (found[f"__m_{k}"], found[f"__all_{k}"]) if x is not None), 0.0)
-        weight = max(1.0, m * (1 - m) / max(found[f"__v_{k}"] or 0.0, 1e-9) - 1)
-        rate = (F.col(f"__f_{k}") + m * weight) / (F.col("__n") + weight)
-        failed = failed | ((F.col("__n") >= limits.host_min_docs) & (rate > limits.host_rate))
+        m = found[f"__m_{k}"] or 0.0
+        weight = max(1.0, m * (1 - m) / max((found[f"__s_{k}"] or 0.0) - m * m, 1e-9) - 1)
+        failed = failed | ((F.col(f"__f_{k}") + m * weight) / (F.col("__n") + weight) > limits.host_rate)
     return hosts.select("__host", failed.alias("__host_failed"))
 
 
-def _judged(measured: DataFrame, host_col: str, limits: Limits) -> DataFrame:
+def _judged(measured: DataFrame, verdicts: DataFrame, host_col: str, limits: Limits) -> DataFrame:
     rules = failures(limits)
-    verdicts = settle(host_verdicts(measured, host_col, limits))
     name = lambda c: F.coalesce(F.concat(F.lit("h"), F.col(c).cast("string")), F.lit(""))  # noqa: E731  null is a host as well
-    verdicts = verdicts.select(name("__host").alias("__host_key"), "__host_failed")
+    verdicts = settle(verdicts.select(name("__host").alias("__host_key"), "__host_failed"))
     joined = join_small(measured.withColumn("__host_key", name(host_col)), verdicts, ["__host_key"])
     base = rules["short"] | rules["repeats"]
     return joined.withColumns({"__base_failed": base, "__kept": ~base & ~F.coalesce(F.col("__host_failed"), F.lit(False))})
@@ -137,18 +119,23 @@ def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", tex
     """``doc_id``, the measures, base_failed and kept for each row of ``docs``, which is measured once.
 
     kept is false if the document fails a base rule, or if its host's verdict is against it. Defined cases:
-    a null or blank text has no words and fails; a null host is a host of its own; rows with a null id
-    and repeated rows are measured and counted as often as they stand; other columns aren't looked
-    at; an empty table gives an empty result.
+    a null or blank text has no words and fails; a text of any length is measured whole; a null host is a host of its own; rows with a null id
+    and repeated rows are measured and counted as often as they stand; hosts of equal rates get equal verdicts; other columns aren't
+    looked at, whatever their names; an empty table gives an empty result.
     """
     needed = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("__of"), F.col(text_col).alias("__text"))
     measured = settle(measure(needed, "__text").drop("__text"))
-    return _judged(measured, "__of", limits).select("doc_id", "__q.*", F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
+    found = _judged(measured, host_verdicts(measured, "__of", limits), "__of", limits)
+    return found.select("doc_id", "__q.*", F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
 
 
 def keep_good(docs: DataFrame, host_col: str = "source", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with their columns. Texts are measured once and not shuffled."""
+    """The rows of ``docs`` that ``judge`` keeps, with their columns.
+
+    Texts are neither shuffled nor written: they are measured once for the verdicts on hosts, and again where the rows are kept. Defined cases are
+    those of ``judge``; extra columns keep their values, whatever their names.
+    """
     # the row travels as one column, so none of its names can meet those used here
     rows = docs.select(F.struct("*").alias("__row"), F.col(text_col).alias("__text"), F.col(host_col).alias("__of"))
-    measured = write_out(measure(rows, "__text").drop("__text"))
-    return _judged(measured, "__of", limits).where("__kept").select("__row.*")
+    verdicts = host_verdicts(measure(rows.drop("__row"), "__text").drop("__text"), "__of", limits)
+    return _judged(measure(rows, "__text").drop("__text"), verdicts, "__of", limits).where("__kept").select("__row.*")

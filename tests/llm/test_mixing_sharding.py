@@ -1,4 +1,5 @@
 import hashlib
+import math
 from collections import Counter, defaultdict
 
 import pytest
@@ -36,26 +37,88 @@ def test_mix_meets_targets_and_limits(spark):
 
 
 def test_schedule_is_even_and_whole(spark):
-    plan = mixing.Plan(min_block=4)
-    docs = spark.createDataFrame([(i, "w " * (1 + i % 9), f"s{i % 3}") for i in range(600)], "doc_id long, text string, source string")
+    plan = mixing.Plan(block=4)
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 9), f"s{i % 3}") for i in range(600)] + [(1000, "tiny source", "t")], "doc_id long, text string, source string")
     placed = mixing.with_place(docs, F.col("doc_id"), F.col("source"), F.col("text"), plan)
-    sources = mixing.settle(mixing.targets(placed, plan))
-    want = {r["__src"]: r for r in sources.collect()}
-    slots = mixing.schedule(sources, plan).orderBy("slot").collect()
+    quota = mixing.settle(mixing.quotas(mixing.targets(placed, plan), plan))
+    want = {r["__src"]: r for r in quota.collect()}
+    slots = mixing.schedule(quota, plan).orderBy("slot").collect()
+    assert [r.slot for r in slots] == list(range(sum(r["__need"] for r in want.values())))
     total = Counter()
     for r in slots:
         total[r["__src"]] += r["words"]
     assert {k: abs(total[k] - r["__target"]) <= 0.5 for k, r in want.items()} == dict.fromkeys(want, True)
-    for k in want:  # blocks come in order, pass after pass, without a gap
-        mine = [(r["pass"], r["block"]) for r in slots if r["__src"] == k]
+    for k in want:  # every block of every pass, once
+        mine = sorted((r["pass"], r["block"]) for r in slots if r["__src"] == k)
         blocks = -(-want[k]["__words"] // 4)
-        assert sorted(mine) == [(i // blocks, i % blocks) for i in range(len(mine))]
+        assert mine == [(i // blocks, i % blocks) for i in range(want[k]["__need"])]
     # at any point of the mix each source is close to its share
-    n, seen, everything = 0, Counter(), sum(total.values())
-    for r in slots:
-        n += r["words"]
-        seen[r["__src"]] += r["words"]
-        assert all(abs(seen[k] - n * want[k]["__target"] / everything) <= 4 * 12 for k in want)
+    seen = Counter()
+    for n, r in enumerate(slots, 1):
+        seen[r["__src"]] += 1
+        assert all(abs(seen[k] - n * want[k]["__need"] / len(slots)) <= 4 for k in want)
+
+
+def plain_mix(data, block, golden):
+    """(row, slots that take words of it) by laying out streams and slots word by word. data: (doc_id, words, source)."""
+    sources = sorted({s for *_, s in data})
+    size = {s: sum(n for _, n, x in data if x == s) for s in sources}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sources)}
+    level, open_ = 0, set(sources)
+    while True:
+        level = (sum(size.values()) - sum(3 * size[s] for s in sources if s not in open_)) / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] > 3 * size[s]}
+        if not full:
+            break
+        open_ -= full
+    want = {s: math.floor(level * weight[s] + 0.5) if s in open_ else 3 * size[s] for s in sources}
+    ranks = {}
+    for s in sources:
+        stream = [d for d in sorted((d for d in data if d[2] == s), key=lambda d: hashlib.md5(f"mix:{d[0]}".encode()).hexdigest()) for _ in range(d[1])]
+        cut = [stream[i : i + block] for i in range(0, len(stream), block)]
+        ranks[s], left = [], want[s]
+        while left > 0:
+            ranks[s].append(cut[len(ranks[s]) % len(cut)][:left])
+            left -= len(ranks[s][-1])
+    n, upto, ends = sum(map(len, ranks.values())), 0, []
+    for s in sources:
+        upto += len(ranks[s])
+        ends.append((math.floor(upto / n * 2**31), s))
+    slots, free, used = {}, [], Counter()
+    for i in range(n):
+        s = next(s for end, s in ends if i * golden % 2**31 < end)
+        if used[s] < len(ranks[s]):
+            slots[i] = ranks[s][used[s]]
+            used[s] += 1
+        else:
+            free.append(i)
+    rest = sorted((r, k, s) for k, s in enumerate(sources) for r in range(used[s], len(ranks[s])))
+    slots |= {i: ranks[s][r] for i, (r, _, s) in zip(free, rest, strict=True)}
+    by = defaultdict(list)
+    for i in sorted(slots):
+        for d, words in Counter(slots[i]).items():
+            by[d].append((i, words))
+    return by
+
+
+@pytest.mark.parametrize("golden", [mixing.GOLDEN, 1])
+def test_mix_against_brute_force(spark, monkeypatch, golden):
+    """Slots are those of the sequence; another multiplier, which spoils it, gives other ones."""
+    monkeypatch.setattr(mixing, "GOLDEN", golden)
+    data = [(i, 1 + i * 37 % 90, f"s{i * i % 7 % 4}") for i in range(300)]
+    docs = spark.createDataFrame([(d, "w " * n, s) for d, n, s in data], "doc_id long, text string, source string")
+    got = {r.doc_id: (r.taken, r.slot, r.n_slots) for r in mixing.mix(docs, plan=mixing.Plan(block=16)).collect()}
+    want, other = plain_mix(data, 16, golden), plain_mix(data, 16, 442405961)
+    row = lambda by, d: (sum(w for _, w in by[d]), by[d][0][0] if by[d] else None, len(by[d]))
+    assert got == {d[0]: row(want, d) for d in data} != {d[0]: row(other, d) for d in data}
+
+
+def test_mixed_documents_are_in_the_order_of_slots(spark):
+    docs = spark.createDataFrame([(i, f"d{i} " * (1 + i * 37 % 90), f"s{i % 3}") for i in range(300)], "doc_id long, text string, source string")
+    first = {r.doc_id: r.slot for r in mixing.mix(docs, plan=mixing.Plan(block=16)).collect()}
+    out = [r.doc_id for r in mixing.mixed_documents(docs, plan=mixing.Plan(block=16)).collect()]
+    seen = list(dict.fromkeys(out))
+    assert [first[d] for d in seen] == sorted(first[d] for d in seen) and len({d % 3 for d in out[:20]}) == 3
 
 
 def test_mixed_documents_carry_the_words_taken(spark):
@@ -86,7 +149,7 @@ def test_empty(spark):
     docs = spark.createDataFrame([], DOCS)
     assert mixing.mix(docs).count() == mixing.mixed_documents(docs).count() == sharding.assign(docs).count() == 0
     nulls = spark.createDataFrame([(1, None, None)], "doc_id long, text string, source string")
-    assert [tuple(r) for r in mixing.mix(nulls).collect()] == [(1, 0, 0, 0.0, 0)]
+    assert [tuple(r) for r in mixing.mix(nulls).collect()] == [(1, 0, 0, 0.0, 0, None, 0)]
 
 
 def place(doc_id):
