@@ -112,13 +112,21 @@ def _best(curve: DataFrame, order: list[Column], cap: float, use_bound: bool) ->
     return found.select(F.coalesce("threshold", F.lit(1.0)).alias("tau"), F.col("threshold").isNotNull().alias("feasible"), "CAR", "AER", "AER_hi", "coverage")
 
 
-def class_curves(df: DataFrame, truth: str = "truth", pred: str = "pred_label", conf: str = "confidence", main: Sequence[str] = MAIN_SET) -> DataFrame:
-    """``pred, threshold, A, W`` for each main label and confidence that occurs: filled and wrong rows from there up."""
+def class_curves(df: DataFrame, truth: str = "truth", pred: str = "pred_label", conf: str = "confidence", main: Sequence[str] = MAIN_SET, cells: int = 1024) -> DataFrame:
+    """``pred, threshold, A, W`` for each main label and confidence that occurs: filled and wrong rows from there up.
+
+    As in ``exact_sweep`` sums run from above in two levels, over cells of confidence and within each of them.
+    """
     rows = df.where(F.col(pred).isin(list(main)) & F.col(conf).isNotNull())
     wrong = (~F.coalesce(F.col(truth) == F.col(pred), F.lit(False))).cast("long")
     each = rows.groupBy(F.col(pred).alias("pred"), F.col(conf).alias("threshold")).agg(F.count("*").alias("a"), F.sum(wrong).alias("w"))
-    up = W.partitionBy("pred").orderBy("threshold").rangeBetween(W.currentRow, W.unboundedFollowing)
-    return each.select("pred", "threshold", F.sum("a").over(up).alias("A"), F.sum("w").over(up).alias("W"))
+    each = each.withColumn("cell", F.least(F.greatest(F.floor(F.col("threshold") * cells), F.lit(-1)), F.lit(cells)))
+    sums = each.groupBy("pred", "cell").agg(F.sum("a").alias("s_a"), F.sum("w").alias("s_w"))
+    higher = W.partitionBy("pred").orderBy(F.desc("cell")).rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select("pred", "cell", *[F.coalesce(F.sum(f"s_{x}").over(higher), F.lit(0)).alias(f"h_{x}") for x in "aw"])
+    here = W.partitionBy("pred", "cell").orderBy(F.desc("threshold")).rowsBetween(W.unboundedPreceding, 0)
+    joined = each.join(F.broadcast(sums), ["pred", "cell"])  # cells + 2 rows a label at most
+    return joined.select("pred", "threshold", *[(F.sum(x).over(here) + F.col(f"h_{x}")).alias(x.upper()) for x in "aw"])
 
 
 def capped_thresholds(curves: DataFrame, cap: float = AER_CAP) -> DataFrame:
@@ -128,44 +136,64 @@ def capped_thresholds(curves: DataFrame, cap: float = AER_CAP) -> DataFrame:
     return fits.groupBy("pred").agg(best.alias("b")).select("pred", F.col("b.threshold").alias("threshold"), F.col("b.A").alias("A"), F.col("b.W").alias("W"))
 
 
-def pooled_thresholds(curves: DataFrame, n_rows: int, start: float, main: Sequence[str] = MAIN_SET, cap: float = AER_CAP, steps: int = 1000) -> dict[str, float]:
-    """Thresholds by label, moved one at a time while CAR of all labels together grows within the pooled cap.
+def pooled_thresholds(curves: DataFrame, n_rows: int, start: float, main: Sequence[str] = MAIN_SET, cap: float = AER_CAP, rounds: int = 6, prices: int = 15) -> dict[str, float]:
+    """Thresholds by label for the most right fills of all labels together, with the upper bound of their pooled error rate within the cap.
 
-    The curves are thinned to ``steps`` thresholds a label at most before they come to the driver: evenly by
-    rank, ends included, and with the point from which ``start`` fills.
+    ``curves`` is settled. A price of a wrong fill makes labels independent: at a given price each takes the point of its curve with the most
+    right fills less the price of its wrong ones, or abstains. Some prices are tried at a time, to close in on the least one at which the pool is within the cap.
+    What room is left is then filled label by label, as long as that gains: a label takes the best point that the
+    other labels' fills leave within the cap. The same is done from ``start``, which has to be within the cap, and the better of both counts.
+    Every step is one aggregate over whole curves; a row for each label comes back.
     """
     import math
 
-    rank = F.row_number().over(W.partitionBy("pred").orderBy("threshold")) - 1
-    size = F.count("*").over(W.partitionBy("pred"))
-    every = F.greatest(F.lit(1), F.ceil(size / steps))
-    first = (F.col("threshold") >= start) & (F.coalesce(F.lag("threshold").over(W.partitionBy("pred").orderBy("threshold")), F.lit(-1.0)) < start)
-    thin = curves.withColumn("keep", (F.pmod(rank, every) == 0) | (rank == size - 1) | first).where("keep")
-    table: dict[str, list[tuple[float, int, int]]] = {c: [] for c in main}
-    for r in thin.select("pred", "threshold", "A", "W").orderBy("pred", "threshold").collect():
-        table[r["pred"]].append((r["threshold"], r["A"], r["W"]))
-    off = (math.inf, 0, 0)
-    at = {c: next((x for x in table[c] if x[0] >= start), off) for c in main}
-
-    def car(points) -> float | None:
-        a, w = sum(x[1] for x in points), sum(x[2] for x in points)
-        if not a:
-            return None
-        p, z2 = w / a, 3.8416
-        high = (p + z2 / (2 * a) + 1.96 * math.sqrt((p * (1 - p) + z2 / (4 * a)) / a)) / (1 + z2 / a)
-        return (a - w) / n_rows if min(1.0, high) <= cap else None
+    right = F.col("A") - F.col("W")
+    point = F.struct("threshold", "A", "W")
 
-    if car(at.values()) is None:
+    def best(scores: Sequence[Column], where: Column, labels: Sequence[str]) -> list[dict[str, tuple[float, int, int]]]:
+        """For each score, by label the point of the greatest, the lowest threshold of equal ones; abstention where none is above 0."""
+        picks = [c for i, s in enumerate(scores) for c in (F.max_by(point, F.struct(s.alias("s"), (-F.col("threshold")).alias("t"))).alias(f"p{i}"), F.max(s).alias(f"s{i}"))]
+        rows = curves.where(F.col("pred").isin(list(labels)) & where).groupBy("pred").agg(*picks).collect()
+        return [dict.fromkeys(labels, (math.inf, 0, 0)) | {r["pred"]: tuple(r[f"p{i}"]) for r in rows if r[f"s{i}"] > 0} for i in range(len(scores))]
+
+    def pool(points: dict) -> tuple[int, int]:
+        return sum(x[1] for x in points.values()), sum(x[2] for x in points.values())
+
+    def within(a: int, w: int) -> bool:
+        if not a:
+            return True
+        p = w / a
+        high = (p + 3.8416 / (2 * a) + 1.96 * math.sqrt((p * (1 - p) + 3.8416 / (4 * a)) / a)) / (1 + 3.8416 / a)
+        return min(1.0, high) <= cap
+
+    def filled(points: dict) -> dict:
+        gained = True
+        while gained:
+            gained = False
+            for c in main:
+                a, w = pool({x: points[x] for x in main if x != c})
+                fits = F.coalesce(wilson(F.col("W") + w, F.col("A") + a)[1] <= cap, F.lit(False))
+                new = best([right], fits, [c])[0][c]
+                if new[1] - new[2] > points[c][1] - points[c][2]:
+                    points, gained = points | {c: new}, True
+        return points
+
+    at_start = {r["pred"]: tuple(r["p"]) for r in curves.where(F.col("threshold") >= start).groupBy("pred").agg(F.min_by(point, "threshold").alias("p")).collect()}
+    at_start = {c: at_start.get(c, (math.inf, 0, 0)) for c in main}
+    if not pool(at_start)[0] or not within(*pool(at_start)):
         raise ValueError("the starting threshold isn't within the cap")
-    moved = True
-    while moved:
-        moved = False
-        for c in main:
-            others = [at[x] for x in main if x != c]
-            best = max(((car([*others, x]) or -1.0, x) for x in [*table[c], off]), key=lambda y: y[0])
-            if best[0] > car(at.values()) + 1e-12:
-                at[c], moved = best[1], True
-    return {c: start if x[0] >= start and x == next((y for y in table[c] if y[0] >= start), off) else x[0] for c, x in at.items()}
+    low, high, priced = 0.0, 1.0, {c: (math.inf, 0, 0) for c in main}
+    # prices run from 0 to any, as x / (1 - x)
+    for _ in range(rounds):
+        at = [low + (high - low) * k / (prices + 1) for k in range(1, prices + 1)]
+        tried = best([right - F.col("W") * (x / (1 - x)) for x in at], F.lit(True), main)
+        fits = next((k for k, t in enumerate(tried) if within(*pool(t))), prices)
+        if fits < prices:
+            high, priced = at[fits], tried[fits]
+        low = at[fits - 1] if fits else low
+    gain = lambda points: pool(points)[0] - pool(points)[1]
+    found = max((filled(priced), filled(at_start)), key=gain)
+    return {c: start if found[c] == at_start[c] else found[c][0] for c in main}
 
 
 def classification_report(df: DataFrame, truth: str = "truth", pred: str = "pred_label", labels: Sequence[str] = ALL_LABELS) -> DataFrame:

@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions.text import bound, is_ruled_out, names_pattern, normalise_name
 from sieveline.schemas import ABSTAIN, ALL_LABELS, DEMOTE_AT, MAIN_SET, RESPONSE, STATUSES, TRUST_AT, VALID_STATUS
-
-#: Up to so many names are matched by one pattern; more by joining runs of words.
-PATTERN_NAMES = 2000
+from sieveline.storage import join_small, settle
 
 
 def build_dictionary(labelled: DataFrame, name: Column, label: Column, order: list[str], where: Column | None = None) -> DataFrame:
@@ -31,11 +29,12 @@ def dictionary_find(text: Column, names: list[str]) -> Column:
     return F.when(found != "", found)
 
 
-def hits_by_join(texts: DataFrame, key: str, text: str, dictionary: DataFrame, longest: int | None = None) -> DataFrame:
-    """``key, pos, n, name``: every run of words of a text that is a name; runs are as long as names are, or ``longest`` at most."""
-    sizes = [r[0] for r in dictionary.select(F.size(F.split("name", " "))).distinct().collect()] if longest is None else list(range(1, longest + 1))
-    if not sizes:
-        sizes = [1]
+def hits_by_join(texts: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
+    """``key, pos, n, name``: every run of words of a text that is a name. ``dictionary`` is settled.
+
+    Runs are as long as names are. A dictionary that was measured to be small is broadcast, so runs that aren't names go no further; else runs and names meet by a shuffle.
+    """
+    sizes = [r[0] for r in dictionary.select(F.size(F.split("name", " "))).distinct().collect()] or [1]
     w = F.split(text, " ")
 
     def from_word(words: Column) -> Column:
@@ -48,15 +47,15 @@ def hits_by_join(texts: DataFrame, key: str, text: str, dictionary: DataFrame, l
         )
 
     runs = texts.select(key, F.explode(bound(w, from_word)).alias("x")).select(key, "x.*")
-    return runs.join(dictionary.select("name"), "name")
+    return join_small(runs, dictionary.select("name"), ["name"], "inner")
 
 
-def find_by_join(texts: DataFrame, key: str, text: str, dictionary: DataFrame, longest: int | None = None) -> DataFrame:
-    """``key, name`` as by ``dictionary_find``, for dictionaries too large for a pattern.
+def find_by_join(texts: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
+    """``key, name`` as by ``dictionary_find``, for dictionaries of any size.
 
     Runs of words are joined with the names; the leftmost and then longest one stays.
     """
-    hit = hits_by_join(texts, key, text, dictionary, longest)
+    hit = hits_by_join(texts, key, text, dictionary)
     return hit.groupBy(key).agg(F.min_by("name", F.struct("pos", (-F.col("n")).alias("n"))).alias("name"))
 
 
@@ -69,24 +68,17 @@ def many_by_join(texts: DataFrame, key: str, text: str, dictionary: DataFrame) -
 def apply_dictionary(items: DataFrame, dictionary: DataFrame, key: str = "item_id", title: str = "title", description: str = "description") -> DataFrame:
     """``key, kb_model, kb_label, label_source, confidence``: dictionary labels of items.
 
-    Titles that are ruled out, or name more than one thing, get none. Small dictionaries become a pattern, larger
-    ones a join; which it is depends on their counted size.
+    Titles that are ruled out, or name more than one thing, get none. Dictionaries of every size are matched in the same way, by joining runs of words.
     """
     t, d = F.coalesce(F.col(title), F.lit("")), F.coalesce(F.col(description), F.lit(""))
-    head = dictionary.limit(PATTERN_NAMES + 1).collect()
+    dictionary = settle(dictionary)
     rows = items.select(key, t.alias("__t"), d.alias("__d")).withColumn("__nt", normalise_name(F.col("__t")))
-    if len(head) <= PATTERN_NAMES:
-        names = [r["name"] for r in head]
-        skip = is_ruled_out(F.col("__t")) | (dictionary_hits(F.col("__nt"), names) > 1)
-        text = normalise_name(F.when(skip, F.lit("")).otherwise(F.concat("__t", F.lit(" "), "__d")))
-        found = rows.withColumn("__text", text).select(key, dictionary_find(F.col("__text"), names).alias("kb_model"))
-        found = found.join(F.broadcast(dictionary.select(F.col("name").alias("kb_model"), F.col("label").alias("kb_label"))), "kb_model", "left")
-    else:
-        many = many_by_join(rows, key, "__nt", dictionary).withColumn("__many", F.lit(True))
-        skip = is_ruled_out(F.col("__t")) | F.coalesce("__many", F.lit(False))
-        words = rows.join(many, key, "left").withColumn("__text", normalise_name(F.when(skip, F.lit("")).otherwise(F.concat("__t", F.lit(" "), "__d"))))
-        hit = find_by_join(words, key, "__text", dictionary).withColumnRenamed("name", "kb_model")
-        found = rows.select(key).join(hit, key, "left").join(dictionary.select(F.col("name").alias("kb_model"), F.col("label").alias("kb_label")), "kb_model", "left")
+    many = many_by_join(rows, key, "__nt", dictionary).withColumn("__many", F.lit(True))
+    skip = is_ruled_out(F.col("__t")) | F.coalesce("__many", F.lit(False))
+    words = rows.join(many, key, "left").withColumn("__text", normalise_name(F.when(skip, F.lit("")).otherwise(F.concat("__t", F.lit(" "), "__d"))))
+    hit = find_by_join(words, key, "__text", dictionary).withColumnRenamed("name", "kb_model")
+    names = dictionary.select(F.col("name").alias("kb_model"), F.col("label").alias("kb_label"))
+    found = rows.select(key).join(join_small(hit, names, ["kb_model"]), key, "left")
     known = F.col("kb_label").isNotNull()
     return found.select(key, "kb_model", "kb_label", F.when(known, F.lit("kb")).alias("label_source"), F.when(known, F.lit(1.0)).alias("confidence"))
 

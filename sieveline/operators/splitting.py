@@ -13,9 +13,6 @@ from sieveline.operators.sampling import shuffle_key
 from sieveline.schemas import ALL_LABELS, MIN_RARE_ROWS, SEED, SPLIT_SHARES
 from sieveline.storage import settle
 
-#: Groups of a smaller share of all rows than this are dealt by hash. There are at most 1 / GREEDY_SHARE larger ones.
-GREEDY_SHARE = 1e-5
-
 
 def leakage_groups(df: DataFrame, key: str, links: Sequence[str]) -> DataFrame:
     """``key, leakage_group_id``: rows that share any non-null value of a link column, also through others, are one group.
@@ -32,9 +29,16 @@ def leakage_groups(df: DataFrame, key: str, links: Sequence[str]) -> DataFrame:
 
 
 def dense_codes(df: DataFrame, column: str) -> DataFrame:
-    """``column, code``: numbers from 0 for the values, in order; ranks are summed over hash-free ranges."""
+    """``column, code``: numbers from 0 for the values, in order.
+
+    Distinct values are parted into sorted ranges, counted, and numbered within their range.
+    """
     values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    return values.select(column, (F.dense_rank().over(W.orderBy(column)) - 1).alias("code"))
+    ranged = settle(values.repartitionByRange(column).select(column, F.spark_partition_id().alias("__p")))
+    sizes = ranged.groupBy("__p").agg(F.count("*").alias("__n"))  # a row for each partition
+    before = sizes.select("__p", (F.sum("__n").over(W.orderBy("__p")) - F.col("__n")).alias("__before"))
+    ranked = ranged.withColumn("__r", F.row_number().over(W.partitionBy("__p").orderBy(column)))
+    return ranked.join(F.broadcast(before), "__p").select(column, (F.col("__before") + F.col("__r") - 1).cast("int").alias("code"))
 
 
 def group_features(df: DataFrame, group: str, label: str, anchors: Sequence[str] = (), labels: Sequence[str] = ALL_LABELS) -> DataFrame:
@@ -43,6 +47,59 @@ def group_features(df: DataFrame, group: str, label: str, anchors: Sequence[str]
     return df.groupBy(group).agg(F.count("*").alias("n_rows"), *by, *[F.coalesce(F.bool_or(a), F.lit(False)).alias(f"any_{a}") for a in anchors])
 
 
+def _places(rows: DataFrame, by: Sequence[str], h: str) -> DataFrame:
+    """Adds ``__place``, from 0, in the order of the hash column ``h`` among rows of the same ``by``: counted over slices of the hash and within them."""
+    sliced = rows.withColumn("__k", F.substring(h, 1, 3))
+    sizes = sliced.groupBy(*by, "__k").agg(F.count("*").alias("__n"))
+    same = [f"__b{i}" for i in range(len(by))]
+    before = sizes.select(*[F.col(c).alias(x) for c, x in zip(by, same)], F.col("__k").alias("__s"), (F.sum("__n").over(W.partitionBy(*by).orderBy("__k")) - F.col("__n")).alias("__before"))
+    ranked = sliced.withColumn("__r", F.row_number().over(W.partitionBy(*by, "__k").orderBy(h)))
+    on = F.col("__k") == F.col("__s")
+    for c, x in zip(by, same):
+        on = on & F.col(c).eqNullSafe(F.col(x))
+    return ranked.join(before, on).withColumn("__place", F.col("__before") + F.col("__r") - 1).drop("__k", "__s", "__r", "__before", *same)
+
+
+def part_quotas(table: Sequence[Mapping], shares: Mapping[str, float], labels: Sequence[str]) -> dict[tuple[int, str], list[int]]:
+    """How many groups of each (size band, main label) go to each part.
+
+    ``table`` has a row for each band, main label and fixed part (null: not dealt yet) with ``groups``, ``rows`` and ``n`` (rows by label). Bands are
+    dealt from the largest groups down. A band's groups go to the parts in proportion to the rows of their main label that the parts still lack;
+    single ones that are left over go where most rows are lacking. So what large groups spoil, smaller ones mend.
+    """
+    total = [sum(r["n"][i] for r in table) for i in range(len(labels))]
+    lack = {s: [share * t for t in total] for s, share in shares.items()}
+    room = {s: share * sum(r["rows"] for r in table) for s, share in shares.items()}
+
+    def give(part: str, r: Mapping, share: float) -> None:
+        room[part] -= share * r["rows"]
+        lack[part] = [x - share * n for x, n in zip(lack[part], r["n"])]
+
+    for r in table:
+        if r["part"] is not None:
+            give(r["part"], r, 1.0)
+    out = {}
+    for r in sorted((r for r in table if r["part"] is None), key=lambda r: (-r["band"], r["rows"], r["main"])):
+        i, groups = labels.index(r["main"]), r["groups"]
+        size = r["rows"] / groups
+        wanted = {s: max(0.0, min(lack[s][i] * r["rows"] / max(1, r["n"][i]), room[s])) for s in shares}
+        whole = sum(wanted.values()) or 1.0
+        quota = {s: int(groups * w / max(whole, groups * size)) for s, w in wanted.items()}
+        left = {s: wanted[s] - quota[s] * size for s in shares}
+        extra = groups - sum(quota.values())
+        if extra > 4 * len(shares):  # more than the parts lack: by their shares
+            for s, share in shares.items():
+                quota[s] += int(extra * share)
+        for _ in range(groups - sum(quota.values())):
+            s = max(shares, key=lambda s: (left[s], room[s] / max(shares[s], 1e-9)))
+            quota[s] += 1
+            left[s] -= size
+        for s in shares:
+            give(s, r, quota[s] / groups)
+        out[r["band"], r["main"]] = [quota[s] for s in shares]
+    return out
+
+
 def assign_parts(
     features: DataFrame,
     group: str,
@@ -52,73 +109,36 @@ def assign_parts(
     min_rare: int = MIN_RARE_ROWS,
     seed: int = SEED,
     labels: Sequence[str] = ALL_LABELS,
-    tolerance: float = 1.02,
 ) -> DataFrame:
-    """``group, split``: groups with an anchor go to test; small groups with the rare label to val until it has enough; the others are dealt so that labels stay balanced.
+    """``group, split``: groups with an anchor go to test; the smallest groups with the rare label to val until it has enough; the others are dealt so that labels stay balanced.
 
-    Dealing one group after the other is done on the driver for groups of over GREEDY_SHARE of all rows, of which
-    there are a bounded number, and for the anchors' and rare groups' sums. Smaller groups, if any, are
-    dealt by hash in the shares that are still open.
+    Groups are dealt by size band (powers of two) and main label: ``part_quotas`` says, from one small table of sums, how many of each go
+    to each part, and groups take the parts' places in the order of a hash. So no group is looked at on the driver, and groups of
+    every size are dealt by the same rule. Ties are broken by the hash of the group.
     """
-    feats = settle(features)
+    sums = F.array(*[F.col(f"n_{x}") for x in labels])
     anchor = F.lit(False)
     for a in anchors:
         anchor = anchor | F.col(f"any_{a}")
-    total = feats.agg(F.coalesce(F.sum("n_rows"), F.lit(0)), *[F.coalesce(F.sum(f"n_{x}"), F.lit(0)) for x in labels]).first()
-    n, overall = total[0], [v / max(1, total[0]) for v in total[1:]]
-    names, last = list(shares), list(shares)[-1]
-    rows, cls = dict.fromkeys(names, 0), {s: [0.0] * len(labels) for s in names}
-
-    def add(split: str, r) -> None:
-        rows[split] += r["n_rows"]
-        for i, x in enumerate(labels):
-            cls[split][i] += r[f"n_{x}"]
-
-    cols = [F.sum(c).alias(c) for c in ["n_rows", *[f"n_{x}" for x in labels]]]
-    fixed = feats.where(anchor).agg(*cols).first()
-    if fixed["n_rows"]:
-        add("test", fixed)
-    free = feats.where(~anchor)
-    order = shuffle_key(group, seed)
-
-    # rare groups, smallest first, until val has enough rows of them: few groups, as each brings a row
-    rare_first = free.where(F.col(f"n_{rare}") > 0).orderBy("n_rows", order).limit(min_rare)
-    to_val = []
-    for r in rare_first.collect():
-        if cls["val"][list(labels).index(rare)] >= min_rare:
-            break
-        add("val", r)
-        to_val.append(r[group])
-
-    def pick(r) -> str:
-        options = []
-        for s in names:
-            if rows[s] + r["n_rows"] > tolerance * shares[s] * n:
-                continue
-            size = rows[s] + r["n_rows"]
-            cost = max(abs((cls[s][i] + r[f"n_{x}"]) / size - overall[i]) for i, x in enumerate(labels))
-            options.append((cost, rows[s] / (shares[s] * n), s))
-        return min(options)[2] if options else min(names, key=lambda s: rows[s] / (shares[s] * n))
-
-    spark = feats.sparkSession
-    kind = feats.schema[group].dataType.simpleString()
-    placed = [(g, "val") for g in to_val]
-    rest = free.join(F.broadcast(spark.createDataFrame([(g,) for g in to_val], f"`{group}` {kind}")), group, "left_anti")
-    for r in rest.where(F.col("n_rows") >= GREEDY_SHARE * n).orderBy(F.desc("n_rows"), order).collect():
-        s = pick(r)
-        add(s, r)
-        placed.append((r[group], s))
-    dealt = spark.createDataFrame(placed, f"`{group}` {kind}, split string")
-    small = rest.where(F.col("n_rows") < GREEDY_SHARE * n)
-    open_rows = {s: max(0.0, shares[s] * n - rows[s]) for s in names}
-    whole = sum(open_rows.values()) or 1.0
-    point = F.conv(F.substring(order, 1, 8), 16, 10).cast("double") / float(1 << 32)
-    choice, upto = F.lit(last), 1.0
-    for s in reversed(names):
-        upto -= open_rows[s] / whole
-        choice = choice if s == last else F.when(point < upto + open_rows[s] / whole, F.lit(s)).otherwise(choice)
-    out = feats.where(anchor).select(group, F.lit("test").alias("split")).unionByName(dealt)
-    return out.unionByName(small.select(group, choice.alias("split")))
+    main = F.element_at(F.array(*[F.lit(x) for x in labels]), F.array_position(sums, F.array_max(sums)).cast("int"))
+    feats = features.select(group, "n_rows", sums.alias("n"), F.col(f"n_{rare}").alias("rare"), anchor.alias("anchor"), main.alias("main"), F.floor(F.log2("n_rows")).cast("int").alias("band"), shuffle_key(group, seed).alias("h"))
+    feats = settle(feats)
+    # each brings a row of the label, so there are min_rare of them at most
+    first = feats.where("NOT anchor AND rare > 0").orderBy("n_rows", "h").limit(min_rare)
+    so_far = F.coalesce(F.sum("rare").over(W.orderBy("n_rows", "h").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    to_val = settle(first.select(F.col(group).alias("__val"), so_far.alias("so_far")).where(F.col("so_far") < min_rare).select("__val"))
+    placed = feats.join(F.broadcast(to_val), feats[group] == to_val["__val"], "left")
+    placed = placed.withColumn("part", F.when(F.col("anchor"), "test").when(F.col("__val").isNotNull(), "val")).drop("__val")
+    each = [F.sum(F.col("n")[i]).alias(f"s{i}") for i in range(len(labels))]
+    table = placed.groupBy("part", "band", "main").agg(F.count("*").alias("groups"), F.sum("n_rows").alias("rows"), *each).collect()  # bands x labels x 3 rows at most
+    quotas = part_quotas([{**r.asDict(), "n": [r[f"s{i}"] for i in range(len(labels))]} for r in table], shares, list(labels))
+    names = list(shares)
+    ends = [(band, m, [sum(q[: k + 1]) for k in range(len(names) - 1)]) for (band, m), q in quotas.items()]
+    bounds = feats.sparkSession.createDataFrame(ends, "band int, main string, ends array<long>")
+    dealt = _places(placed.where("part IS NULL").select(group, "band", "main", "h"), ["band", "main"], "h").join(F.broadcast(bounds), ["band", "main"])
+    at = F.size(F.filter("ends", lambda e: e <= F.col("__place")))
+    dealt = dealt.select(group, F.element_at(F.array(*[F.lit(x) for x in names]), at + 1).alias("split"))
+    return placed.where("part IS NOT NULL").select(group, F.col("part").alias("split")).unionByName(dealt)
 
 
 def split_report(df: DataFrame, split: str, group: str, label: str, labels: Sequence[str] = ALL_LABELS) -> DataFrame:
@@ -134,10 +154,5 @@ def folds(df: DataFrame, group: str, label: str, k: int = 5, seed: int = SEED) -
     A group's place among those of its label is counted over slices of the hash and within them.
     """
     main = df.groupBy(group, label).agg(F.count("*").alias("n")).groupBy(group).agg(F.max_by(label, F.struct("n", label)).alias("__main"))
-    h = shuffle_key(group, seed)
-    rows = main.withColumns({"__h": h, "__k": F.substring(h, 1, 2)})
-    sizes = rows.groupBy("__main", "__k").agg(F.count("*").alias("__n"))
-    before = sizes.select(F.col("__main").alias("__m"), F.col("__k").alias("__s"), (F.sum("__n").over(W.partitionBy("__main").orderBy("__k")) - F.col("__n")).alias("__before"))
-    ranked = rows.withColumn("__r", F.row_number().over(W.partitionBy("__main", "__k").orderBy("__h", group)))
-    placed = ranked.join(before, F.col("__main").eqNullSafe(F.col("__m")) & (F.col("__k") == F.col("__s")))
-    return placed.select(group, F.pmod(F.col("__before") + F.col("__r") - 1, F.lit(k)).cast("int").alias("fold"))
+    ranked = _places(main.withColumn("__h", shuffle_key(group, seed)), ["__main"], "__h")
+    return ranked.select(group, F.pmod(F.col("__place"), F.lit(k)).cast("int").alias("fold"))

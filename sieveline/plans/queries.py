@@ -67,11 +67,11 @@ FORM_SQL = """array_to_string(list_transform(
 DUP_SQL = "array_to_string(regexp_extract_all(lower(coalesce({0}, '')), '[а-яёa-z0-9]+'), ' ')"
 
 
-@query(f"SELECT doc_id, {FORM_SQL.format('substr(text, 1, 200)')} AS name_form, md5({DUP_SQL.format('text')}) AS dup_md5, length({DUP_SQL.format('text')})::BIGINT AS dup_chars FROM documents")
+@query(f"SELECT doc_id, {FORM_SQL.format('text')} AS name_form, md5({DUP_SQL.format('text')}) AS dup_md5, length({DUP_SQL.format('text')})::BIGINT AS dup_chars FROM documents")
 def text_normalize(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
     form = tx.duplicate_form(F.col("text"))
-    return d.select("doc_id", tx.normalise_name(F.substring("text", 1, 200)).alias("name_form"), F.md5(form).alias("dup_md5"), F.char_length(form).cast("long").alias("dup_chars"))
+    return d.select("doc_id", tx.normalise_name(F.col("text")).alias("name_form"), F.md5(form).alias("dup_md5"), F.char_length(form).cast("long").alias("dup_chars"))
 
 
 @query(f"""
@@ -86,22 +86,22 @@ def text_key_dups(spark, sf_dir):
 
 @query("""
 SELECT doc_id, regexp_matches(lower(text), 'the') AS has_the,
-  coalesce(CASE WHEN regexp_matches(lower(substr(text, 1, 60)), 'ción|ñ') THEN 'es' END, CASE WHEN regexp_matches(lower(substr(text, 1, 60)), 'ß|ü|ö') THEN 'de' END, CASE WHEN regexp_matches(lower(substr(text, 1, 60)), 'ê|è|ç') THEN 'fr' END, 'unknown') AS bucket,
-  trim(regexp_replace(lower(substr(text, 1, 40)), '[^a-z0-9]+', '_', 'g'), '_') AS slug,
+  coalesce(CASE WHEN regexp_matches(lower(text), 'ción|ñ') THEN 'es' END, CASE WHEN regexp_matches(lower(text), 'ß|ü|ö') THEN 'de' END, CASE WHEN regexp_matches(lower(text), 'ê|è|ç') THEN 'fr' END, 'unknown') AS bucket,
+  trim(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '_') AS slug,
   (doc_id % 1000)::VARCHAR || '/' || doc_id::VARCHAR || '.jpg' AS path,
-  replace('Text: ' || substr(text, 1, 20) || ' of ' || coalesce(source, '') || '.', 'x', 'x') AS prompt,
+  replace('Text: ' || text || ' of ' || coalesce(source, '') || '.', 'x', 'x') AS prompt,
   length(text)::BIGINT AS text_len
 FROM documents
 """)
 def text_buckets(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
-    title = F.substring("text", 1, 60)
-    filled = tx.fill_prompt(F.lit("Text: {a} of {b}."), {"a": F.substring("text", 1, 20), "b": F.col("source")})
+    title = F.col("text")
+    filled = tx.fill_prompt(F.lit("Text: {a} of {b}."), {"a": F.col("text"), "b": F.col("source")})
     return d.select(
         "doc_id",
         (tx.flags(F.col("text"), {"the": "the"})["the"] == 1).alias("has_the"),
         tx.first_match(title, {"es": "ción|ñ", "de": "ß|ü|ö", "fr": "ê|è|ç"}, "unknown").alias("bucket"),
-        tx.slug(F.substring("text", 1, 40)).alias("slug"),
+        tx.slug(F.col("text")).alias("slug"),
         tx.image_path(F.col("doc_id")).alias("path"),
         filled.alias("prompt"),
         F.char_length("text").cast("long").alias("text_len"),
@@ -157,14 +157,22 @@ def kb_apply(spark, sf_dir):
     return labelling.apply_dictionary(items(spark, sf_dir), _dictionary(spark, sf_dir))
 
 
+NAME_RUNS = ((1, 1), (1, 2), (3, 3), (4, 9))
+
+
 @query(f"""
-WITH {ITEMS_SQL}, kb AS (SELECT DISTINCT {KB_NAME} AS name FROM benchmark),
-t AS (SELECT item_id, string_split({FORM_SQL.format('description')}, ' ') AS ft FROM items)
-SELECT item_id, arg_min(name, i) AS name FROM (SELECT item_id, unnest(ft) AS name, generate_subscripts(ft, 1) AS i FROM t) JOIN kb USING (name) GROUP BY item_id
+WITH {ITEMS_SQL}, b AS (SELECT string_split({FORM_SQL.format('text')}, ' ') AS w FROM benchmark),
+kb AS ({" UNION ".join(f"SELECT array_to_string(w[{a}:{a + n - 1}], ' ') AS name FROM b WHERE len(w) >= {a + n - 1}" for a, n in NAME_RUNS)}),
+t AS (SELECT item_id, string_split({FORM_SQL.format('description')}, ' ') AS ft FROM items), i AS (SELECT item_id, ft, generate_subscripts(ft, 1) AS i FROM t),
+r AS ({" UNION ALL ".join(f"SELECT item_id, i, {n} AS n, array_to_string(ft[i:i + {n - 1}], ' ') AS name FROM i WHERE i + {n - 1} <= len(ft)" for _, n in NAME_RUNS)})
+SELECT item_id, arg_min(name, (i, -n)) AS name FROM r JOIN kb USING (name) GROUP BY item_id
 """)
 def kb_find_by_join(spark, sf_dir):
+    """Names of one, two, three and nine words, among them some that begin alike, in whole texts."""
+    w = F.split(tx.normalise_name(F.col("text")), " ")
+    names = read(spark, sf_dir, "benchmark").select(w.alias("w")).select(F.explode(F.array(*[F.when(F.size("w") >= a + n - 1, F.array_join(F.slice("w", a, n), " ")) for a, n in NAME_RUNS])).alias("name"))
     rows = items(spark, sf_dir).select("item_id", tx.normalise_name(F.col("description")).alias("t"))
-    return labelling.find_by_join(rows, "item_id", "t", _dictionary(spark, sf_dir), longest=1)
+    return labelling.find_by_join(rows, "item_id", "t", settle(names.where("name IS NOT NULL").distinct()))
 
 
 STATUS_SQL = f"['{VALID_STATUS}', 'digital_camera', 'not_camera', 'insufficient_info', 'made_up'][(event_id % 5 + 1)::INT]"
@@ -299,12 +307,12 @@ def budget_prefix(spark, sf_dir):
 
 # ---------------------------------------------------------------- splits
 
-LEAK_SQL = "k AS (SELECT doc_id, md5(text) AS k1, md5(substr(text, 1, 80)) AS k2 FROM documents)"
+LEAK_SQL = "k AS (SELECT doc_id, md5(text) AS k1, md5(" + DUP_SQL.format("text") + ") AS k2 FROM documents)"
 
 
 def _keyed(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
-    return d.select("doc_id", "source", "lang", F.md5("text").alias("k1"), F.md5(F.substring("text", 1, 80)).alias("k2"))
+    return d.select("doc_id", "source", "lang", F.md5("text").alias("k1"), F.md5(tx.duplicate_form(F.col("text"))).alias("k2"))
 
 
 @query(f"""
@@ -592,10 +600,12 @@ def knn_vote(spark, sf_dir):
     return neighbours.vote(near, e)
 
 
-@query("""SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, round(embedding[1]::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS first FROM embeddings""")
+@query("""WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM embeddings)
+SELECT vec_id, round(norm, 6) AS norm, array_to_string(list_transform(e, lambda x: round(x / norm * 1000000)::BIGINT), ' ') AS millionths FROM n""")
 def l2_normalise(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings")
-    return e.select("vec_id", F.round(vx.norm(F.col("embedding")), 6).alias("norm"), F.round(vx.l2_normalise(F.col("embedding"))[0], 6).alias("first"))
+    whole = F.transform(vx.l2_normalise(F.col("embedding")), lambda x: F.round(x * 1000000).cast("long").cast("string"))
+    return e.select("vec_id", F.round(vx.norm(F.col("embedding")), 6).alias("norm"), F.array_join(whole, " ").alias("millionths"))
 
 
 @query("SELECT p_type, p_brand, count(*) AS n, sum(p_size)::BIGINT AS size FROM part GROUP BY GROUPING SETS ((p_type, p_brand), (p_type), ())")
@@ -752,13 +762,19 @@ def tfidf_weights(spark, sf_dir):
     return weights.groupBy("item_id").agg(F.count("*").alias("n_terms"), F.round(F.sum("weight"), 6).alias("weight_sum"))
 
 
-@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), m AS (SELECT avg(e[1]) AS m1, stddev_pop(e[1]) AS s1, avg(e[2]) AS m2, stddev_pop(e[2]) AS s2 FROM e WHERE vec_id % 5 <> 0)
-SELECT vec_id, round((e[1] - m1) / s1, 6) AS z1, round((e[2] - m2) / s2, 6) AS z2 FROM e, m""")
+@query("""WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+m AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM e WHERE vec_id % 5 <> 0 GROUP BY i)
+SELECT vec_id, count(*) AS width, round(sum((x - m) / s), 6) AS z_sum, round(sum((x - m) / s * (x - m) / s), 6) AS z_squares, round(max((x - m) / s), 6) AS z_max, round(sum(i * (x - m) / s), 4) AS z_weighted FROM e JOIN m USING (i) GROUP BY vec_id""")
 def standard_scale(spark, sf_dir):
-    e = read(spark, sf_dir, "embeddings")
-    fitted = features.population_scale(e.where("vec_id % 5 <> 0"), "embedding", 2)
-    z = features.scaled("two", *fitted)
-    return e.select("vec_id", F.slice("embedding", 1, 2).alias("two")).select("vec_id", F.round(z[0], 6).alias("z1"), F.round(z[1], 6).alias("z2"))
+    e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    width = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    z = features.scaled("embedding", *features.population_scale(e.where("vec_id % 5 <> 0"), "embedding", width))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+    rows = e.select("vec_id", z.alias("z"))
+    return rows.select(
+        "vec_id", F.size("z").cast("long").alias("width"), F.round(total(F.col("z")), 6).alias("z_sum"), F.round(total(F.transform("z", lambda x: x * x)), 6).alias("z_squares"),
+        F.round(F.array_max("z"), 6).alias("z_max"), F.round(total(F.transform("z", lambda x, i: x * (i + 1))), 4).alias("z_weighted"),
+    )
 
 
 def _block(spark, sf_dir) -> DataFrame:
@@ -877,11 +893,11 @@ def text_features(spark, sf_dir):
     return d.select("doc_id", *[v.alias(k) for k, v in found.items()], F.char_length("text").cast("long").alias("text_len"), (F.col("n_chars") >= 50).cast("int").alias("has_key"), tx.size_bucket(F.col("n_chars") / 100).alias("bucket"))
 
 
-@query("""WITH b AS (SELECT doc_id, text, source FROM documents) SELECT doc_id, (lower(translate(substr(text, 1, 40), 'ё', 'е'))) IN ('fotik') AS generic,
+@query("""WITH b AS (SELECT doc_id, text, source FROM documents) SELECT doc_id, (lower(translate(text, 'ё', 'е'))) IN ('fotik') AS generic,
 CASE WHEN n <= 0 THEN 'no_kb' WHEN n <= 20 THEN 'rare_kb' ELSE 'popular_kb' END AS popularity FROM b LEFT JOIN (SELECT source, count(*) AS n FROM documents GROUP BY source) USING (source)""")
 def popularity_slices(spark, sf_dir):
     d = profiling.group_size(read(spark, sf_dir, "documents").select("doc_id", "text", "source"), "source", "n")
-    return d.select("doc_id", tx.is_generic_title(F.substring("text", 1, 40)).alias("generic"), tx.popularity_bucket(F.col("n")).alias("popularity"))
+    return d.select("doc_id", tx.is_generic_title(F.col("text")).alias("generic"), tx.popularity_bucket(F.col("n")).alias("popularity"))
 
 
 @query("WITH w AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\pL\\pN_]{2,}') AS w FROM benchmark), g AS (SELECT item_id, unnest(w) AS term FROM w UNION ALL SELECT item_id, a || ' ' || b FROM (SELECT item_id, unnest(w[:-2]) AS a, unnest(w[2:]) AS b FROM w WHERE len(w) > 1)) SELECT term, count(DISTINCT item_id) AS df, count(*) AS cf FROM g GROUP BY term HAVING count(DISTINCT item_id) >= 2")

@@ -1,13 +1,14 @@
 import pytest
 
+from sieveline import storage
 from sieveline.operators import labelling
 
 LONG = "one two three four five six seven eight nine ten"
 
 
-@pytest.mark.parametrize("limit", [labelling.PATTERN_NAMES, 2])
-def test_pattern_and_join_give_the_same_labels(spark, monkeypatch, limit):
-    monkeypatch.setattr(labelling, "PATTERN_NAMES", limit)
+@pytest.mark.parametrize("rows_sent", [storage.BROADCAST_ROWS, 2])
+def test_labels_are_the_same_by_broadcast_and_by_shuffle(spark, monkeypatch, rows_sent):
+    monkeypatch.setattr(storage.fits_broadcast, "__defaults__", (rows_sent, storage.BROADCAST_BYTES))
     names = spark.createDataFrame([("zenit", "SLR"), ("zenit em", "SLR"), ("kiev", "RF"), ("em kiev", "RF"), (LONG, "TLR")], "name string, label string")
     rows = [
         (1, "zenit em", "old"),

@@ -67,12 +67,22 @@ def test_groups_and_parts(spark):
     assert abs(share["train"] / 4000 - 0.7) < 0.03 and abs(share["val"] / 4000 - 0.15) < 0.03
 
 
-def test_small_groups_dealt_by_hash(spark, monkeypatch):
-    monkeypatch.setattr(splitting, "GREEDY_SHARE", 0.5)
-    df = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(3000)], "g int, l string")
-    feats = splitting.group_features(df, "g", "l", labels=["a", "b"])
-    share = Counter(r.split for r in splitting.assign_parts(feats, "g", "a", labels=["a", "b"], min_rare=5).collect())
-    assert sum(share.values()) == 3000 and abs(share["train"] / 3000 - 0.7) < 0.04 and abs(share["test"] / 3000 - 0.15) < 0.04
+def test_parts_of_uneven_groups(spark):
+    """Labels stay balanced whatever the sizes of groups: one very large, some large, many small."""
+    rng = random.Random(7)
+    sizes = [900, *[rng.randrange(60, 120) for _ in range(12)], *[rng.randrange(1, 9) for _ in range(900)]]
+    rows = [(g, rng.choices("abc", [6, 3, 1])[0]) for g, n in enumerate(sizes) for _ in range(n)]
+    labels = ["a", "b", "c"]
+    feats = splitting.group_features(spark.createDataFrame(rows, "g int, l string"), "g", "l", labels=labels)
+    got = {r.g: r.split for r in splitting.assign_parts(feats, "g", "c", labels=labels).collect()}
+    again = {r.g: r.split for r in splitting.assign_parts(feats.repartition(5), "g", "c", labels=labels).collect()}
+    assert got == again and set(got) == {g for g, _ in rows}
+    every, total = Counter(x for _, x in rows), Counter((got[g], x) for g, x in rows)
+    for split, share in (("train", 0.7), ("val", 0.15), ("test", 0.15)):
+        for x in labels:
+            assert abs(total[split, x] / every[x] - share) < 0.04, (split, x, total[split, x] / every[x])
+    small = sorted((n, g) for g, n in enumerate(sizes) if any(r == (g, "c") for r in rows))
+    assert got[small[0][1]] == "val" and total["val", "c"] >= 30
 
 
 def test_folds(spark):
