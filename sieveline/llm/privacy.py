@@ -16,6 +16,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -40,13 +41,14 @@ _TERM = re.compile(r"[^\W\d_]+")
 
 @dataclass(frozen=True)
 class Disclosure:
-    """window: terms on either side of an entity. min_support: different surroundings in which a term stood beside it.
+    """window: terms on either side of an entity, so that work grows with the number of entities and not with its square. min_support: different
+    surroundings in which a term stood beside it; from 1 on entities that occur once are protected as well.
 
     A term is generalised if it discloses generalise_at of the entity's information, and removed from remove_at on.
     """
 
-    window: int = 5
-    min_support: int = 2
+    window: int = 20
+    min_support: int = 1
     generalise_at: float = 0.75
     remove_at: float = 0.95
 
@@ -137,18 +139,18 @@ def _terms_before(text: str, at: int, n: int) -> list[tuple[int, int]]:
 
 
 NEAR = "array<struct<entity:long,term:string,start:long,end:long,seen:long>>"
-FOUND = f"doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, near {NEAR}"
+FOUND = f"doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, near {NEAR}, held string, plain_sha256 string"
 
 
 def find(docs: DataFrame, rule: Disclosure, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The base spans of each text, and the terms beside them."""
+    """The base spans of each text, and the terms beside them. ``held`` is the text if it has any, else ``plain_sha256`` is its digest."""
 
     def run(batch):
-        cols: list[list] = [[] for _ in range(8)]
+        cols: list[list] = [[] for _ in range(10)]
         for text in texts(batch, "text"):
             base = base_spans(text)
             written = span_text(base, KINDS)
-            row = [xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1 if base else 0, *[sum(s[0] == k for s in base) for k in BASE_KINDS], sha(written), written, beside(text, base, rule.window)]
+            row = [xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1 if base else 0, *[sum(s[0] == k for s in base) for k in BASE_KINDS], sha(written), written, beside(text, base, rule.window), text if base else None, None if base else sha(text)]
             for c, x in zip(cols, row, strict=True):
                 c.append(x)
         return [batch.column(0), *cols]
@@ -205,30 +207,39 @@ def disclosing(found: DataFrame, docs: DataFrame, rule: Disclosure, text_col: st
 
 
 def term_spans(found: DataFrame, flagged: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, terms``: places of disclosing terms beside their entity, with the greatest degree."""
-    near = found.where(F.size("near") > 0).select("doc_id", "text_hash", F.explode("near").alias("x")).select("doc_id", "text_hash", "x.*")
-    hit = join_small(near.where("term IS NOT NULL"), flagged, ["entity", "term"], "inner")
-    hit = hit.groupBy("doc_id", "text_hash", "start", "end").agg(F.max("degree").alias("degree"))
-    return hit.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end", "degree"))).alias("terms"))
+    """``text_hash, terms``: places of disclosing terms beside their entity, with the greatest degree. Equal texts have equal terms."""
+    near = found.where(F.size("near") > 0).select("text_hash", F.explode("near").alias("x")).select("text_hash", "x.*").where("term IS NOT NULL")
+    hit = join_small(near, flagged, ["entity", "term"], "inner").groupBy("text_hash", "start", "end").agg(F.max("degree").alias("degree"))
+    return hit.groupBy("text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end", "degree"))).alias("terms"))
+
+
+TERMS = "array<struct<start:long,end:long,degree:double>>"
 
 
 def scan(docs: DataFrame, rule: Disclosure = Disclosure(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans, terms`` for each row of ``docs``.
+    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, sanitised_sha256, terms`` for each row of ``docs``.
 
-    Defined cases: a null text is empty; rows with a null id are scanned like any other; repeated rows get
-    equal results, and count as one document beside entities; other columns aren't looked at; an empty
-    table gives an empty result.
+    sanitised_sha256 is the digest of the text that ``sanitise`` gives. Texts with base spans are kept until their terms are known, the others are
+    read once for spans and once for counts. Defined cases: a null text is empty; texts of any length are searched whole; rows with a null id
+    are scanned like any other; repeated rows get equal results, and count as one document beside entities; terms of equal degree are all
+    spans; other columns aren't looked at, whatever their names; an empty table gives an empty result.
     """
     found = settle(find(docs, rule, id_col, text_col))
-    added = term_spans(found, disclosing(found, docs, rule, text_col))
-    key = ["__id", "__hash"]
-    added = settle(added.select(F.col("doc_id").alias(key[0]), F.col("text_hash").alias(key[1]), "terms"))
-    hot = found.where(F.size("near") > 0)
-    same = hot["doc_id"].eqNullSafe(added[key[0]]) & (hot["text_hash"] == added[key[1]])
-    with_terms = hot.join(added, same, "left").drop(*key)
-    rest = found.where(F.size("near") == 0).withColumn("terms", F.lit(None).cast("array<struct<start:long,end:long,degree:double>>"))
-    rows = with_terms.unionByName(rest).withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:long,end:long,degree:double>>")))
-    return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.size("terms").cast("long").alias("n_term"), "base_sha256", all_spans().alias("spans"), "terms")
+    added = settle(term_spans(found, disclosing(found, docs, rule, text_col)))
+
+    @F.pandas_udf("string")
+    def cleaned(text: pd.Series, base: pd.Series, terms: pd.Series) -> pd.Series:
+        out = []
+        for t, b, more in zip(text, base, terms, strict=True):
+            spans = [(k, int(start), int(end), 1.0) for k, start, end in (x.split(":") for x in b.split(","))]
+            out.append(sha(rewrite(t, spans + [("term", x["start"], x["end"], x["degree"]) for x in more], rule)))
+        return pd.Series(out, dtype=object)
+
+    hot = join_small(found.where("base <> ''").drop("plain_sha256"), added, ["text_hash"]).withColumn("terms", F.coalesce("terms", F.array().cast(TERMS)))
+    hot = hot.withColumn("sanitised_sha256", cleaned("held", "base", "terms"))
+    rest = found.where("base = ''").withColumn("terms", F.array().cast(TERMS)).withColumnRenamed("plain_sha256", "sanitised_sha256")
+    columns = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", all_spans().alias("spans"), F.size("terms").cast("long").alias("n_term"), "sanitised_sha256", "terms"]
+    return hot.select(*columns).unionByName(rest.select(*columns))
 
 
 def all_spans() -> Column:
@@ -266,26 +277,29 @@ def rewrite(text: str, spans: list[tuple[str, int, int, float]], rule: Disclosur
 
 
 def sanitise(docs: DataFrame, rule: Disclosure = Disclosure(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with sanitised texts. Base spans are found again in each text; terms come from the corpus."""
+    """``docs`` with sanitised texts. Base spans are found again in each text; terms come from the corpus.
+
+    Defined cases are those of ``scan``; a null text stays null, texts without spans stay as they are, and extra columns keep their
+    values, whatever their names. Texts are only moved if the table of terms is too large for a broadcast.
+    """
     found = settle(find(docs, rule, id_col, text_col))
-    added = settle(term_spans(found, disclosing(found, docs, rule, text_col)))
-    key, terms = "__hash", "__terms"
-    added = added.groupBy(F.col("text_hash").alias(key)).agg(F.first("terms").alias(terms))  # equal texts have equal terms
-    schema = StructType([*docs.schema.fields])
-    out, place = to_arrow_schema(schema), docs.columns.index(text_col)
+    added = settle(term_spans(found, disclosing(found, docs, rule, text_col)).withColumnsRenamed({"text_hash": "hash"}))
+    # columns go by number, so none of their names can meet those used here
+    place, plain = docs.columns.index(text_col), docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    out = to_arrow_schema(plain.schema)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h = [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1 if t and base_spans(t) else 0 for t in b.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(h, pa.int64())], names=[*b.schema.names, key])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(h, pa.int64())], names=[*b.schema.names, "hash"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             col = []
-            for t, extra in zip(b.column(place).to_pylist(), b.column(len(out)).to_pylist(), strict=True):
-                spans = [] if t is None else [(*s, 1.0) for s in base_spans(t)] + [("term", x["start"], x["end"], x["degree"]) for x in extra or []]
+            for t, h, extra in zip(b.column(place).to_pylist(), b.column(len(out)).to_pylist(), b.column(len(out) + 1).to_pylist(), strict=True):
+                spans = [(*s, 1.0) for s in base_spans(t)] + [("term", x["start"], x["end"], x["degree"]) for x in extra or []] if h else []
                 col.append(rewrite(t, spans, rule) if spans else t)
             yield pa.RecordBatch.from_arrays([pa.array(col, pa.string()) if k == place else b.column(k) for k in range(len(out))], schema=out)
 
-    keyed = docs.mapInArrow(hashes, StructType([*schema.fields, *StructType.fromDDL(f"{key} long").fields]))
-    return join_small(keyed, settle(added), [key]).select(*[f"`{c}`" for c in docs.columns], terms).mapInArrow(run, schema)
+    keyed = plain.mapInArrow(hashes, StructType([*plain.schema.fields, *StructType.fromDDL("hash long").fields]))
+    return join_small(keyed, added, ["hash"]).select(*plain.columns, "hash", "terms").mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -1,8 +1,8 @@
 """Secret scans with a token-efficiency test.
 
 A BPE vocabulary spells ordinary words with few tokens and random strings with many. A run of characters that a key
-could consist of is reported as ``random`` if it, or a part of it, has few characters for each token, after digests of known
-lengths, UUIDs and numbers have been set aside. Patterns find what keys look like whatever their tokens.
+could consist of is reported as ``random`` if it, or a part of it, has few characters for each token, unless it is a digest of known
+length, a UUID or a number that isn't the value of a secret's name. Patterns find what keys look like whatever their tokens.
 """
 
 from __future__ import annotations
@@ -68,21 +68,23 @@ def ratio(run: str, encode, window: int) -> float:
     return len(run) / max(1, sum(len(encode(run[i : i + window])) for i in range(0, len(run), window)))
 
 
-def is_random(run: str, encode, test: Test) -> bool:
+def is_random(run: str, encode, test: Test, named: bool = False) -> bool:
     """Whether the run, one of its parts between separators, or all parts put together pass the test in any window.
 
+    ``named``: the run is the value of a secret's name, so what looks like a digest or an identifier isn't taken for one.
+
     Parts put together say what short ones are made of: names in a path stay words, groups of a random key don't.
     """
-    if known(run):
+    if known(run) and not named:
         return False
-    run = _UUID.sub("/", run)
+    run = run if named else _UUID.sub("/", run)
     every = _SEPARATOR.split(run)
-    parts = [p for p in every if not (_HEX_ONLY.fullmatch(p) and len(p) in DIGESTS)]
+    parts = [p for p in every if named or not (_HEX_ONLY.fullmatch(p) and len(p) in DIGESTS)]
     together = "".join(parts)
     # separators are tokens of their own, so a run counts with them only if letters and digits are mixed in it
     mixed = len(parts) == len(every) and sum(a.isdigit() != b.isdigit() for a, b in zip(run, run[1:])) >= 3
     for s in {*parts, together, *([run] if mixed else [])}:
-        if len(s) >= LEAST and not known(s):
+        if len(s) >= LEAST and not (s.isdigit() if named else known(s)):
             limit = test.max_ratio if _DIGIT.search(s) else test.max_ratio_letters
             # a last window that is too short to tell goes with the one before
             starts = range(0, max(1, len(s) - LEAST + 1), test.window)
@@ -94,7 +96,10 @@ def is_random(run: str, encode, test: Test) -> bool:
 
 
 def random_spans(text: str, encode, test: Test) -> list[tuple[str, int, int]]:
-    return [("random", *m.span()) for m in _RUN.finditer(text) if is_random(m[0], encode, test)]
+    runs = list(_RUN.finditer(text))
+    values = {m.end(2) for m in _ASSIGN.finditer(text)} if runs and (":" in text or "=" in text) else ()
+    # the value of a secret's name may also have full stops, and the run may begin before it
+    return [("random", *m.span()) for m in runs if is_random(m[0], encode, test, m.end() in values)]
 
 
 def read_vocabulary(path: str = VOCABULARY) -> bytes:
@@ -112,8 +117,9 @@ def encoder(vocabulary: bytes):
 def scan(docs: DataFrame, vocabulary: str = VOCABULARY, test: Test = Test(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans`` for each row of ``docs``.
 
-    Defined cases: a null text is empty; rows with a null id and repeated rows are scanned as they
-    stand; other columns aren't looked at; an empty table gives an empty result. The vocabulary is read once,
+    Defined cases: a null text is empty; texts of any length are searched whole, long runs window by window; rows with a null id and repeated
+    rows are scanned as they stand; a ratio equal to its limit passes; other columns aren't looked at, whatever their names; an empty table gives an
+    empty result. The vocabulary is read once,
     on the driver, and sent to the workers: a file of under 2 MB.
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))

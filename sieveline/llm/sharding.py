@@ -19,12 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sieveline.storage import join_small, settle
+from sieveline.storage import fits_broadcast, join_small, settle
 
 BITS = 60
 #: Cells have so many bits more than shards on average, and each further round adds so many.
 SPARE_BITS = 6
 SHARD_BYTES = 2 << 20
+#: The largest directory that is broadcast.
+DIRECTORY_ROWS, DIRECTORY_BYTES = 1 << 20, 64 << 20
 
 
 def place(id_col: Column) -> Column:
@@ -36,35 +38,31 @@ def prefix(h: Column, bits: int) -> Column:
     return F.shiftright(h, BITS - bits)
 
 
-def directories(rows: DataFrame, limit: int) -> list[tuple[int, DataFrame, bool]]:
-    """``(bits, entries, last)`` for each round; ``rows`` has __h and __bytes.
-
-    entries: ``__key`` (a prefix of so many bits), ``__depth`` and ``__open`` (true: its documents go on to the
-    next round). A round has the entries of the cells that the round before left open. ``last``: cells are
-    open after the last bit.
+def directory(rows: DataFrame, limit: int) -> DataFrame:
+    """``__start, __depth, __open`` of each shard: the least hash with its prefix, the prefix's bits, and whether its documents are
+    too many after the last bit. ``rows`` has __h and __bytes.
     """
     total, n = rows.agg(F.coalesce(F.sum("__bytes"), F.lit(0)), F.count("*")).first()
     low, bits = 0, min(BITS, SPARE_BITS + math.ceil(math.log2(max(1, total / limit))))
-    rounds: list[tuple[int, DataFrame, bool]] = []
-    todo = rows
+    todo, found = rows, None
     while True:
         cells = settle(todo.groupBy(prefix(F.col("__h"), bits).alias("__key")).agg(F.sum("__bytes").alias("b"), F.count("*").alias("n")))
-        depths = F.sequence(F.lit(low), F.lit(bits))
-        nodes = cells.select("b", "n", "__key", F.explode(depths).alias("__depth"))
         up = F.call_function("shiftright", F.col("__key"), (F.lit(bits) - F.col("__depth")).cast("int"))
-        nodes = nodes.groupBy("__depth", up.alias("p")).agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
-        nodes = nodes.withColumn("fits", (F.col("b") <= limit) | (F.col("n") == 1))
-        # a shard is the shortest prefix that fits; of a cell's prefixes those that fit are the longest ones
-        fit = settle(nodes.where("fits").select("__depth", "p"))
-        seen = cells.select("__key", F.explode(depths).alias("__depth")).withColumn("p", up)
-        best = seen.join(fit, ["__depth", "p"]).groupBy("__key").agg(F.min("__depth").alias("__depth"))
-        entries = settle(cells.select("__key").join(best, "__key", "left").withColumn("__open", F.col("__depth").isNull()))
-        left = entries.where("__open").select("__key")
-        more = not left.isEmpty()
-        rounds.append((bits, entries.withColumn("__depth", F.coalesce("__depth", F.lit(bits))), more and bits == BITS))
-        if not more or bits == BITS:
-            return rounds
-        todo = settle(join_small(todo.withColumn("__key", prefix(F.col("__h"), bits)), settle(left), ["__key"], "left_semi").drop("__key"))
+        nodes = cells.select("b", "n", "__key", F.explode(F.sequence(F.lit(low), F.lit(bits))).alias("__depth")).groupBy("__depth", up.alias("p")).agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
+        nodes = settle(nodes.withColumn("fits", (F.col("b") <= limit) | (F.col("n") == 1)))
+        # a shard is a prefix that fits, while the one before it doesn't: of a prefix's children all are looked at
+        above = nodes.where("NOT fits").select((F.col("__depth") + 1).alias("__depth"), F.col("p").alias("__above"))
+        child = nodes.withColumn("__above", F.shiftright("p", 1))
+        first = child.join(above, ["__depth", "__above"], "left_semi") if low else child.join(above, ["__depth", "__above"], "left_semi").unionByName(child.where("__depth = 0"))
+        start = F.call_function("shiftleft", F.col("p"), (F.lit(BITS) - F.col("__depth")).cast("int"))
+        leaves = first.where("fits").select(start.alias("__start"), "__depth", F.lit(False).alias("__open"))
+        found = leaves if found is None else found.unionByName(leaves)
+        left = settle(nodes.where(~F.col("fits") & (F.col("__depth") == bits)).select(F.col("p").alias("__key")))
+        if left.isEmpty():
+            return settle(found)
+        if bits == BITS:
+            return settle(found.unionByName(left.select(F.col("__key").alias("__start"), F.lit(BITS).alias("__depth"), F.lit(True).alias("__open"))))
+        todo = settle(join_small(todo.withColumn("__key", prefix(F.col("__h"), bits)), left, ["__key"], "left_semi").drop("__key"))
         low, bits = bits, min(BITS, bits + SPARE_BITS)
 
 
@@ -72,30 +70,32 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limi
     """Adds ``shard`` and ``bytes`` to each row; no shard has over ``limit`` bytes unless one text alone does.
 
     shard is the prefix in bits (``root`` for the empty one), with ``+page`` after it where equal hashes
-    overflow. Defined cases: a null text has 0 bytes; a null id hashes as an empty one; repeated rows share a
-    hash and fill pages where they are too many for one shard; columns named shard or bytes are replaced; an
-    empty table gives an empty result.
+    overflow. Rows look their shard up in the directory, of which all shards under one of the shortest prefix are one entry: it is
+    broadcast if it was measured to have DIRECTORY_ROWS entries and DIRECTORY_BYTES at most (some million shards); beyond that rows move to their entry, once.
+    Defined cases: a null text has 0 bytes; a text of any length counts whole; a null id hashes as an empty one; repeated rows share a
+    hash and fill pages where they are too many for one shard, the order of equal ones being indifferent; columns named shard or bytes are
+    replaced, others keep their values; an empty table gives an empty result.
     """
     # the row travels as one column, so none of its names can meet those used here
     size = F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long")
     rows = docs.select(F.struct("*").alias("row"), place(F.col(id_col)).alias("__h"), size.alias("bytes"))
-    narrow = settle(rows.select("__h", F.col("bytes").alias("__bytes")))
-    rounds = directories(narrow, limit)
-    out = rows.withColumns({"__at": F.lit(None).cast("int"), "__more": F.lit(True)})
-    for bits, entries, _ in rounds:
-        key = F.when(F.col("__more"), prefix(F.col("__h"), bits))
-        out = join_small(out.withColumn("__key", key), entries, ["__key"])
-        out = out.withColumns({"__at": F.coalesce("__depth", "__at"), "__more": F.coalesce("__open", F.lit(False))}).drop("__key", "__depth", "__open")
-    name = F.substring(F.lpad(F.bin("__h"), BITS, "0"), F.lit(1), F.col("__at"))
-    out = out.withColumn("shard", F.when(F.col("__at") == 0, F.lit("root")).otherwise(name))
-    if rounds[-1][2]:
-        full = out.where("__more").withColumn("__big", F.col("bytes") > limit // 2)
+    shards = directory(settle(rows.select("__h", F.col("bytes").alias("__bytes"))), limit)
+    base, overflow = shards.agg(F.coalesce(F.min("__depth"), F.lit(0)), F.coalesce(F.bool_or("__open"), F.lit(False))).first()
+    entries = shards.groupBy(prefix(F.col("__start"), base).alias("__key")).agg(F.array_sort(F.collect_list(F.struct("__start", "__depth", "__open"))).alias("__in"))
+    entries = settle(entries)
+    entries = F.broadcast(entries) if fits_broadcast(entries, DIRECTORY_ROWS, DIRECTORY_BYTES) else entries.hint("merge")
+    out = rows.withColumn("__key", prefix(F.col("__h"), base)).join(entries, "__key", "left")
+    out = out.withColumn("__at", F.element_at(F.filter("__in", lambda x: x["__start"] <= F.col("__h")), -1)).drop("__in", "__key")
+    name = F.substring(F.lpad(F.bin("__h"), BITS, "0"), F.lit(1), F.col("__at.__depth"))
+    out = out.withColumn("shard", F.when(F.col("__at.__depth") == 0, F.lit("root")).otherwise(name))
+    if overflow:
+        full = out.where("__at.__open").withColumn("__big", F.col("bytes") > limit // 2)
         order = W.partitionBy("__h", "__big").orderBy("bytes", F.xxhash64(F.col("row")[text_col])).rowsBetween(W.unboundedPreceding, 0)
         page = F.when(F.col("__big"), F.concat(F.lit("b"), F.count(F.lit(1)).over(order).cast("string")))
         half = max(1, limit // 2)
         page = page.otherwise(F.floor((F.sum("bytes").over(order) - F.col("bytes")) / half).cast("string"))
         full = full.withColumn("shard", F.concat(F.col("shard"), F.lit("+"), page)).drop("__big")
-        out = out.where(~F.col("__more")).unionByName(full)
+        out = out.where(~F.col("__at.__open")).unionByName(full)
     keep = [c for c in docs.columns if c not in ("shard", "bytes")]
     return out.select(*[F.col("row")[c].alias(c) for c in keep], "shard", "bytes")
 

@@ -169,8 +169,10 @@ def plain_shards(data, limit):
     return [out[k] for k in range(len(data))]
 
 
-@pytest.mark.parametrize("limit", [50, 400, 10**9])
-def test_shards_against_splitting_by_bits(spark, limit):
+@pytest.mark.parametrize(("limit", "sent"), [(50, True), (400, True), (400, False), (10**9, True)])
+def test_shards_against_splitting_by_bits(spark, monkeypatch, limit, sent):
+    if not sent:  # as with a directory that is too large for a broadcast
+        monkeypatch.setattr(sharding, "fits_broadcast", lambda *a: False)
     data = [(i, "x" * (i * 37 % 90)) for i in range(300)] + [(1000, "y" * 5000), (1001, None)]
     docs = spark.createDataFrame([(*r, "old") for r in data], "doc_id long, text string, shard string")
     got = sharding.assign(docs, limit=limit)

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -86,24 +87,83 @@ def corpus():
 def test_disclosing_terms(spark):
     rows = corpus()
     docs = spark.createDataFrame(rows, DOCS)
-    got = {r.doc_id: r for r in privacy.scan(docs).collect()}
+    rule = privacy.Disclosure(window=5, min_support=2)
+    got = {r.doc_id: r for r in privacy.scan(docs, rule).collect()}
     for k in range(3):
         words = [rows[400 + k][1][t["start"] : t["end"]] for t in got[1000 + k].terms]
         assert "Zebulon" in words and not set(words) & {"alpha", "beta", "gamma", "delta", "omega", "kappa"}
     assert all(not got[2000 + k].terms and got[2000 + k].n_email == 1 for k in range(5))
     # by brute force: log ratios of document counts
-    import math
-
     n, n_t, n_c, both = len(rows), 3, 3, 3
     degree = math.log(both * n / (n_t * n_c)) / math.log(n / n_c)
     t = next(t for t in got[1000].terms if rows[400][1][t["start"] : t["end"]] == "Zebulon")
     assert abs(t["degree"] - min(1, degree)) < 1e-9
-    clean = {r.doc_id: r.text for r in privacy.sanitise(docs).collect()}
+    clean = {r.doc_id: r.text for r in privacy.sanitise(docs, rule).collect()}
     assert "Zebulon" not in clean[1000] and "zeb@" not in clean[1000] and "[EMAIL]" in clean[1000]
     assert clean[5] == rows[5][1]
     assert privacy.sanitise(docs).columns == docs.columns
 
 
+def plain_disclosure(rows, rule):
+    """By text: (spans of terms, sanitised text), from document counts of all terms and entities."""
+    n, stands, near, has = len(rows), Counter(), {}, {}
+    for d, t in rows:
+        stands.update({m[0] for m in re.finditer(r"[^\W\d_]+", t.lower())})
+        base = plain_privacy(t)
+        every = [m.span() for m in re.finditer(r"[^\W\d_]+", t)]
+        for kind, s, e in base:
+            value = t[s:e].lower() if kind == "email" else re.sub("[^0-9.]" if kind == "ip" else "[^0-9]", "", t[s:e])
+            # a word that the entity's edge parts counts on either side of it
+            before = [m.span() for m in re.finditer(r"[^\W\d_]+", t[:s])][-rule.window :]
+            after = [(a + e, b + e) for a, b in (m.span() for m in re.finditer(r"[^\W\d_]+", t[e:]))][: rule.window]
+            around = [x for x in before + after if not any(x[0] < q and p < x[1] for _, p, q in base)]
+            has.setdefault((kind, value), set()).add((d, t))
+            for a, b in around:
+                near.setdefault((kind, value, t[a:b].lower()), {}).setdefault((d, t), []).append((a, b))
+    out = {t: {} for _, t in rows}
+    for (kind, value, term), docs in near.items():
+        c = len(has[kind, value])
+        information = math.log(n / c)
+        degree = min(1.0, math.log(len(docs) * n / (max(stands[term], len(docs)) * c)) / information) if information > 0 else 0
+        if degree >= rule.generalise_at:
+            for (_, t), spots in docs.items():
+                for x in spots:
+                    out[t][x] = max(degree, out[t].get(x, 0))
+    return {t: (sorted(found), privacy.rewrite(t, [(*b, 1.0) for b in plain_privacy(t)] + [("term", *x, g) for x, g in found.items()])) for t, found in out.items()}
+
+
+def test_terms_against_brute_force(spark, sf):
+    rows = [(r.doc_id, r.text) for r in read(spark, sf, "documents").collect()]
+    want, texts = plain_disclosure(rows, privacy.Disclosure()), dict(rows)
+    added = 0
+    for r in queries.op1_privacy(spark, sf).collect():
+        spans, text = want[texts[r.doc_id]]
+        assert [(int(s), int(e)) for k, s, e in (x.split(":") for x in r.spans.split(",") if x) if k == "term"] == spans
+        assert r.sanitised_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        added += len(spans)
+    assert added
+    docs = spark.createDataFrame([(d, t, 1, "x", 2) for d, t in rows], "doc_id long, text string, hash int, terms string, __hash int")
+    got = privacy.sanitise(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == sorted((d, want[t][1], 1, "x", 2) for d, t in rows)
+
+
+def test_an_entity_that_occurs_once(spark):
+    rng = random.Random(5)
+    plain = ["alpha", "beta", "gamma", "delta", "omega", "kappa", "of", "wrote", "from", "to", "the", "yesterday"]
+    rows = [(i, " ".join(rng.choice(plain) for _ in range(30)), 0, "x") for i in range(300)]
+    text = "yesterday Quixote Ramirez of Toboso wrote from quix@mail.example.com to the alpha"
+    got = next(r for r in privacy.scan(spark.createDataFrame([*rows, (999, text, 0, "x")], DOCS)).collect() if r.doc_id == 999)
+    assert {text[t["start"] : t["end"]] for t in got.terms} == {"Quixote", "Ramirez", "Toboso"}
+
+
+def test_digests_behind_a_secrets_name():
+    encode, test = secrets.encoder(secrets.read_vocabulary()), secrets.Test()
+    digest = hashlib.sha1(b"key").hexdigest()
+    assert secrets.random_spans(f"commit {digest}", encode, test) == []
+    assert secrets.random_spans(f"api_key = {digest}", encode, test) == [("random", 10, 50)]
+    assert secrets.random_spans("password = correct_horse_battery_staple", encode, test) == []
+
+
 def test_term_counts_beyond_the_limit(spark):
     docs = spark.createDataFrame(corpus(), DOCS)
     terms = spark.createDataFrame([("alpha",), ("zebulon",), ("nowhere",)], "term string")
