@@ -103,19 +103,19 @@ def test_query_against_brute_force(spark, sf):
 
 
 def plain_licenses(text):
-    """Every run of lines against every template, without any pruning."""
-    lines = [licenses.normalise(x) for x in (text or "").split("\n")]
-    found = []
+    """(coefficient, first word, words, template) of every run of words that reaches the threshold, without any pruning."""
+    words, found = licenses.normalise(text or ""), []
     for name, t in TEMPLATES.items():
         b = Counter(licenses.bigrams(licenses.normalise(t)))
-        best = 0.0
-        for i in range(len(lines)):
-            for j in range(i, len(lines)):
-                w = [x for line in lines[i : j + 1] for x in line]
-                if len(w) > 1 and len(w) < 4 * sum(b.values()) + 10:
-                    best = max(best, licenses.dice(Counter(licenses.bigrams(w)), b))
-        if best >= 0.8:
-            found.append((name, round(best, 9)))
+        size = sum(b.values())
+        for i in range(len(words) - 1):
+            seen, common = Counter(), 0
+            for j in range(i, min(len(words) - 1, i + 2 * size)):
+                p = words[j], words[j + 1]
+                seen[p] += 1
+                common += seen[p] <= b[p]
+                if (score := 2 * common / (j - i + 1 + size)) >= 0.8:
+                    found.append((round(score, 9), i, j - i + 2, name))
     return found
 
 
@@ -123,6 +123,7 @@ def test_licenses_against_brute_force(spark):
     rng = random.Random(5)
     mit = TEMPLATES["MIT"]
     broken = mit.split()
+    reworded = TEMPLATES["GPL-3.0-notice"].replace("This work", "This text")
     texts = [
         "Released under the MIT License.",
         "x y z\nLicensed under CC BY-NC 4.0.\nq",
@@ -132,20 +133,31 @@ def test_licenses_against_brute_force(spark):
         None,
         "",
         "license",
-        "this file is all rights reserved now",
+        "Copyright 2024 Foo Inc. All rights reserved.",
         "ALL RIGHTS\nRESERVED",
         TEMPLATES["GPL-3.0-header"] + "\n" + TEMPLATES["ISC"],
+        f"{passage(30, 4)} {mit} {passage(30, 6)}",
+        f"{TEMPLATES['GPL-2.0-notice']} {passage(5, 7)} {reworded}",
+        "\n\nall rights reserved " * 3,
+        TEMPLATES["BSD-3-Clause"],
     ]
     got = {}
     for r in licenses.scan(spark.createDataFrame([(i, t, 0, "w") for i, t in enumerate(texts)], DOCS)).collect():
-        got.setdefault(r.doc_id, []).append((r.license, round(r.dice, 9)))
+        got.setdefault(r.doc_id, []).append((r.license, round(r.dice, 9), r.first_line, r.n_lines, r.n_words))
+    matcher = licenses.Matcher()
     for i, t in enumerate(texts):
-        want = plain_licenses(t)
-        # every reported passage is a best one, and the best of all is reported
-        assert set(got.get(i, [])) <= set(want)
-        assert max((d for _, d in got.get(i, [])), default=0) == max((d for _, d in want), default=0)
-    assert {x for x, _ in got[10]} == {"GPL-3.0-header", "ISC"}
-    assert [x for x, _ in got[2]] == ["MIT"]
+        # by definition: the best run, then the best of those that share no word with it, and so on
+        want, used = [], set()
+        for score, s, n, name in sorted(plain_licenses(t), key=lambda x: (-x[0], x[1], -x[2], x[3])):
+            if used.isdisjoint(range(s, s + n)):
+                used |= set(range(s, s + n))
+                want.append((name, score))
+        assert Counter((x[0], x[1]) for x in got.get(i, [])) == Counter(want), i
+        assert sorted(x[0] for x in matcher.find(t or "")) == sorted(x[0] for x in got.get(i, []))
+    names = {i: [x[0] for x in v] for i, v in got.items()}
+    assert names[2] == ["MIT"] and names[11] == ["MIT"] and names[10] == ["GPL-3.0-header", "ISC"] and names[14] == ["BSD-3-Clause"]
+    assert names[8] == ["all-rights-reserved"] and names[12] == ["GPL-2.0-notice", "GPL-3.0-notice"] and names[13] == ["all-rights-reserved"] * 3
+    assert got[9][0][2:] == (0, 2, 3) and [x[2] for x in got[13]] == [2, 4, 6]
 
 
 def test_license_query(spark, sf):
@@ -155,4 +167,4 @@ def test_license_query(spark, sf):
         got.setdefault(r.doc_id, set()).add(r.license)
     notices = {k: v for k, v in TEMPLATES.items() if k.endswith("notice") or k == "all-rights-reserved"}
     for d, t in texts.items():
-        assert got.get(d, set()) >= {k for k, v in notices.items() if v in t.split("\n")}
+        assert got.get(d, set()) >= {k for k, v in notices.items() if v in t}
