@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
@@ -63,6 +64,15 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Have shuffle files deleted that no table needs any more; else they stay until the driver happens to collect its garbage.
+
+    For the ends of steps that shuffle much, where the tables they went through are out of scope.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
     """Whether a table is small enough to be sent to every executor; reads rows + 1 rows of it at most."""
     head = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
