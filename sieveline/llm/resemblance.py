@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from sieveline.llm.common import per_batch, texts
 from sieveline.operators.graph import connected_components
-from sieveline.storage import join_small, settle, write_out
+from sieveline.storage import join_small, settle, sweep, write_out
 
 SHINGLE = 5
 SEED = 42
@@ -143,21 +143,22 @@ def _fits(m: Column, n: Column) -> Column:
     return 5 * F.least(m, n) >= 4 * F.greatest(m, n)
 
 
-def components(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``node, root`` of the sets that link with another; ``found`` is what ``marked`` gives, written out."""
-    nodes = settle(found.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp")))
+def index_of(found: DataFrame) -> DataFrame:
+    """``hub, node, token``: the sets that share an indexed shingle with a lesser one, and the least that has it."""
     index = found.select("node", F.explode("tokens").alias("token"))
     hubs = index.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("token", "hub")
-    index = settle(join_small(index, settle(hubs), ["token"], "inner").where("node <> hub").distinct())
+    return settle(join_small(index, settle(hubs), ["token"], "inner").where("node <> hub").distinct())
+
 
-    # the table of distances to the hubs
+def distances(index: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``hub, node, n, fp, d, fits``: the table of distances to the hubs."""
     hub = nodes.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("fp").alias("hub_fp"))
     table = index.select("hub", "node").distinct().join(nodes, "node").join(hub, "hub")
-    table = settle(table.select("hub", "node", "n", "fp", apart(F.col("fp"), F.col("hub_fp")).alias("d"), _fits(F.col("n"), F.col("hub_n")).alias("fits")))
-    star = linked(docs, found, settle(table.where((F.col("d") <= REACH) & F.col("fits")).select(F.col("hub").alias("a"), F.col("node").alias("b"))))
-    roots = connected_components(star.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    return settle(table.select("hub", "node", "n", "fp", apart(F.col("fp"), F.col("hub_fp")).alias("d"), _fits(F.col("n"), F.col("hub_n")).alias("fits")))
+
 
-    # pairs of others: those outside a shingle's main component against all of its sets
+def other_pairs(index: DataFrame, table: DataFrame, roots: DataFrame) -> DataFrame:
+    """``a, b, ra, rb``: pairs without a hub whose fingerprints are close, of those outside a shingle's main component against all of its sets."""
     left = index.join(table.drop("fits"), ["hub", "node"]).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     left = settle(left.select("token", "node", "n", "fp", "d", "root"))
     main = left.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("c"))
@@ -166,10 +167,25 @@ def components(docs: DataFrame, found: DataFrame) -> DataFrame:
     once = (F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
     close = (F.abs(F.col("x.d") - F.col("y.d")) <= REACH) & (apart(F.col("x.fp"), F.col("y.fp")) <= REACH)
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & once & _fits(F.col("x.n"), F.col("y.n")) & close)
-    pairs = settle(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb")).distinct())
+    return settle(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb")).distinct())
+
+
+def components(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``node, root`` of the sets that link with another; ``found`` is what ``marked`` gives, written out."""
+    spark = docs.sparkSession
+    nodes = settle(found.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp")))
+    index = index_of(found)
+    sweep(spark)
+    table = distances(index, nodes)
+    star = linked(docs, found, settle(table.where((F.col("d") <= REACH) & F.col("fits")).select(F.col("hub").alias("a"), F.col("node").alias("b"))))
+    sweep(spark)
+    roots = connected_components(star.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    pairs = other_pairs(index, table, roots)
+    sweep(spark)
     if pairs.isEmpty():
         return roots
     late = linked(docs, found, pairs)
+    sweep(spark)
     joined = connected_components(late.select(F.col("ra").alias("src"), F.col("rb").alias("dst")))
     ends = late.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ra").alias("root")), F.struct(F.col("b").alias("node"), F.col("rb").alias("root")))).alias("e")).select("e.*")
     up = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
