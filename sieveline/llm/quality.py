@@ -32,8 +32,11 @@ class Limits:
     host_rate: float = 0.6
 
 
-def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds ``__q`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_lines of the whole text."""
+def measure(docs: DataFrame, text_col: str = "text", base_only: bool = False) -> DataFrame:
+    """Adds ``__q`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_lines of the whole text.
+
+    With ``base_only`` it has only n_words and n_repeat_words, all that the base rules look at.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     df = docs.withColumn("__words", words_of(F.col(text_col).cast("string")))
@@ -42,9 +45,12 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     df = df.withColumn("__low", F.when(F.size(w) < FEW, F.lit(FEW - 1).cast("long")).otherwise(F.lit(MANY - 1).cast("long")))
     low = F.col("__low")
     # where windows are equal, so are their hashes, and they are neighbours when the keys are sorted
-    key = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long"))
-    keys = F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), key))
-    df = df.withColumn("__keys", F.when(last > 0, keys)).withColumn("__lines", lines)
+    window = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(F.bitwise_not(low))
+    df = df.withColumn("__hashes", F.when(last > 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), window)))
+    h = F.col("__hashes")
+    # most texts end here: if all hashes differ, no window is repeated
+    keys = F.sort_array(F.transform(h, lambda x, i: x.bitwiseOR(i.cast("long"))))
+    df = df.withColumn("__keys", F.when(F.size(F.array_distinct(h)) < F.size(h), keys))
     k = F.col("__keys")
     same = lambda a, b: F.coalesce(a.bitwiseOR(low) == b.bitwiseOR(low), F.lit(False))
     df = df.withColumn("__alike", F.filter(k, lambda x, i: same(x, F.get(k, i + 1)) | same(x, F.get(k, i - 1))))
@@ -61,14 +67,19 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         lambda acc, x: F.struct((acc.n + F.least(F.lit(WINDOW), x - acc.at)).alias("n"), x.alias("at")),
         lambda acc: acc.n,
     )
-    q = F.struct(
-        F.size(w).cast("long").alias("n_words"),
-        F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
-        F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(cover, F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.size("__lines").cast("long").alias("n_lines"),
-    )
+    n_words, n_repeat_words = F.size(w).cast("long").alias("n_words"), F.coalesce(cover, F.lit(0)).cast("long").alias("n_repeat_words")
+    if base_only:
+        q = F.struct(n_words, n_repeat_words)
+    else:
+        df = df.withColumn("__lines", lines)
+        q = F.struct(
+            n_words,
+            F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+            (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
+            n_repeat_words,
+            F.size("__lines").cast("long").alias("n_lines"),
+        )
     # a generator, as a filter on what it makes isn't pushed into it: that would write all of the above out once for each use of a column
     return df.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array(q)).alias("__q"))
 
@@ -132,10 +143,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", tex
 def keep_good(docs: DataFrame, host_col: str = "source", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with their columns.
 
-    Texts are neither shuffled nor written: they are measured once for the verdicts on hosts, and again where the rows are kept. Defined cases are
-    those of ``judge``; extra columns keep their values, whatever their names.
+    Texts are neither shuffled nor written: they are measured once for the verdicts on hosts, and again, by the base rules, where the rows are
+    kept. Defined cases are those of ``judge``; extra columns keep their values, whatever their names.
     """
     # the row travels as one column, so none of its names can meet those used here
     rows = docs.select(F.struct("*").alias("__row"), F.col(text_col).alias("__text"), F.col(host_col).alias("__of"))
     verdicts = host_verdicts(measure(rows.drop("__row"), "__text").drop("__text"), "__of", limits)
-    return _judged(measure(rows, "__text").drop("__text"), verdicts, "__of", limits).where("__kept").select("__row.*")
+    return _judged(measure(rows, "__text", base_only=True).drop("__text"), verdicts, "__of", limits).where("__kept").select("__row.*")
