@@ -10,7 +10,9 @@ only, never the result.
 Pivots. Every set has a wide SimHash fingerprint. Of the sets that share an indexed shingle the least is the reference,
 the hub. The others' Hamming distances to their hub are the table: the hub itself is compared with those within ``REACH``,
 and two others only if their distances to it differ by no more than that, their own distance passes, and the hub left
-them in different components. At a coefficient of 0.8 a bit differs with odds of 0.19 at most, so ``REACH`` bits of
+them in different components. Where more than ``FEW`` sets share a shingle, only those are paired that differ from a reference
+for their hub in the same places (``pairs_by_delta``): near copies of one text that don't link with each other have little else in
+common than that text. At a coefficient of 0.8 a bit differs with odds of 0.19 at most, so ``REACH`` bits of
 ``LANES * 64`` are seven standard deviations away. Of a large group of near copies all but the strays are compared once.
 
 Every link is verified on the whole sets. Shingles and sets are known by 64-bit hashes. Texts of fewer than five words are a
@@ -34,6 +36,10 @@ SEED = 42
 BITS = 18
 #: Words of 64 bits in a fingerprint, and the most bits in which fingerprints of linked sets differ.
 LANES, REACH = 4, 96
+#: Sets that share an indexed shingle and are compared pair by pair; beyond it pairs come through their differences from a reference.
+FEW = 16
+#: Members of a hub's group, about, that vote on its reference.
+VOTERS = 64
 #: Shingles whose bits are unpacked at a time.
 UNPACK = 1 << 14
 #: Odd multipliers that tell the places of a shingle's words apart, those of a fingerprint's words, and one that mixes the sum.
@@ -157,17 +163,75 @@ def distances(index: DataFrame, nodes: DataFrame) -> DataFrame:
     return settle(table.select("hub", "node", "n", "fp", apart(F.col("fp"), F.col("hub_fp")).alias("d"), _fits(F.col("n"), F.col("hub_n")).alias("fits")))
 
 
-def other_pairs(index: DataFrame, table: DataFrame, roots: DataFrame) -> DataFrame:
-    """``a, b, ra, rb``: pairs without a hub whose fingerprints are close, of those outside a shingle's main component against all of its sets."""
+def _roots_of(index: DataFrame, table: DataFrame, roots: DataFrame) -> DataFrame:
     left = index.join(table.drop("fits"), ["hub", "node"]).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    left = settle(left.select("token", "node", "n", "fp", "d", "root"))
-    main = left.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("c"))
-    left = left.join(main.where("c > 1").select("token", "main"), "token")
+    return settle(left.select("token", "hub", "node", "n", "fp", "d", "root"))
+
+
+def other_pairs(docs: DataFrame, found: DataFrame, index: DataFrame, table: DataFrame, roots: DataFrame) -> DataFrame:
+    """``a, b, ra, rb``: pairs without a hub that may link and that the hubs left in different components."""
+    left = _roots_of(index, table, roots)
+    per_root = left.groupBy("token", "root").agg(F.count("*").alias("c"))
+    split = per_root.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("sets"), F.count("*").alias("c"))
+    split = settle(split.where("c > 1").select("token", "main", "sets"))
+    few = pairs_of_few(left.join(split.where(F.col("sets") <= FEW), "token"))
+    many = left.join(split.where(F.col("sets") > FEW), "token", "left_semi").select("hub", "node", "n", "root")
+    many = settle(many.distinct())
+    if many.isEmpty():
+        return settle(few.distinct())
+    return settle(few.unionByName(pairs_by_delta(docs, found, many)).distinct())
+
+
+def pairs_of_few(left: DataFrame) -> DataFrame:
+    """Pairs whose fingerprints are close, of those outside a shingle's main component against all of its ``FEW`` sets at most."""
     x, y = left.where("root <> main").alias("x"), left.alias("y")
     once = (F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
     close = (F.abs(F.col("x.d") - F.col("y.d")) <= REACH) & (apart(F.col("x.fp"), F.col("y.fp")) <= REACH)
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & once & _fits(F.col("x.n"), F.col("y.n")) & close)
-    return settle(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb")).distinct())
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb"))
+
+
+def references(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``hub, r``: what over half of some ``VOTERS`` members of a hub's group have. Any other set would do, at more work."""
+    some = members.groupBy("hub").agg(F.count("*").alias("c"))
+    voters = members.join(some, "hub").where(F.pmod(F.xxhash64("hub", "node"), F.ceil(F.col("c") / VOTERS)) == 0).select("hub", "node")
+    votes = voters.join(sets, "node").select("hub", F.explode("s").alias("e")).groupBy("hub", "e").agg(F.count("*").alias("v"))
+    held = votes.join(voters.groupBy("hub").agg(F.count("*").alias("k")), "hub").where("2 * v > k")
+    return held.groupBy("hub").agg(F.collect_list("e").alias("r"))  # no longer than two sets of an average size
+
+
+def pairs_by_delta(docs: DataFrame, found: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs of ``members(hub, node, n, root)`` of one hub that may link, through their differences from the hub's reference.
+
+    Sets of a and b members link if they differ in (a + b) / 9 places at most. With m the places in which a set differs from
+    the reference, two with 9 (m + m') <= a + b link for certain, and both with the set of the least 9 m - a, which is compared with all.
+    All others that link have at least (9 (m + m') - (a + b)) / 18 of these places in common. So under one order of the places, rare ones
+    first, the first common one is among the first b // 8 + 1 of the one with fewer and the first a // 4 + 1 of the other, and what stands
+    before it in either is a difference. Places of one set alone come first and are never joined.
+    """
+    sets = settle(sets_of(docs, found, members.select("node").distinct()))
+    none = F.array().cast("array<long>")
+    rows = join_small(members.join(sets, "node"), settle(references(members, sets)), ["hub"], "left").withColumn("r", F.coalesce("r", none))
+    rows = rows.withColumn("places", F.concat(F.array_except("s", "r"), F.array_except("r", "s")))
+    rows = settle(rows.select("hub", "node", "n", "root", F.size("places").alias("m"), "places").withColumn("f", 9 * F.col("m") - F.col("n")))
+    best = settle(rows.groupBy("hub").agg(F.min(F.struct("f", "node", "root")).alias("best")))
+    near = join_small(rows.drop("places"), best, ["hub"], "inner").where((F.col("root") != F.col("best.root")) & (F.col("f") + F.col("best.f") <= 0))
+    near = near.select(F.col("best.node").alias("a"), F.col("node").alias("b"), F.col("best.root").alias("ra"), F.col("root").alias("rb"))
+
+    places = rows.select("hub", "node", F.explode("places").alias("e"))
+    often = places.groupBy("hub", "e").agg(F.count("*").alias("c")).where("c > 1")
+    order = places.join(often, ["hub", "e"]).groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("c", "e"))).alias("order"))
+    ranked = rows.drop("places", "f").join(order, ["hub", "node"])
+    ranked = ranked.select("hub", "node", "n", "root", "m", (F.col("m") - F.size("order")).alias("alone"), F.posexplode("order").alias("pos", "o"))
+    ranked = ranked.select("hub", "node", "n", "root", "m", (F.col("alone") + F.col("pos")).alias("at"), F.col("o.e").alias("e"))
+    ranked = settle(ranked.where(F.col("at") <= F.floor(F.col("n") / 4)))
+    x, y = ranked.alias("x"), ranked.where(F.col("at") <= F.floor(F.col("n") / 8)).alias("y")
+    fewer = F.struct("y.m", "y.node") < F.struct("x.m", "x.node")
+    rest = F.least(F.col("x.m") - F.col("x.at"), F.col("y.m") - F.col("y.at"))
+    enough = 18 * rest >= 9 * (F.col("x.m") + F.col("y.m")) - (F.col("x.n") + F.col("y.n"))
+    same = (F.col("x.hub") == F.col("y.hub")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.root") != F.col("y.root"))
+    pairs = x.join(y, same & fewer & _fits(F.col("x.n"), F.col("y.n")) & enough)
+    return near.unionByName(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb")))
 
 
 def components(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -180,7 +244,7 @@ def components(docs: DataFrame, found: DataFrame) -> DataFrame:
     star = linked(docs, found, settle(table.where((F.col("d") <= REACH) & F.col("fits")).select(F.col("hub").alias("a"), F.col("node").alias("b"))))
     sweep(spark)
     roots = connected_components(star.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    pairs = other_pairs(index, table, roots)
+    pairs = other_pairs(docs, found, index, table, roots)
     sweep(spark)
     if pairs.isEmpty():
         return roots

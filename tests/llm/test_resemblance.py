@@ -53,6 +53,32 @@ def planted():
     return [(i, " ".join(r)) for i, r in enumerate(rows)]
 
 
+def family():
+    """Edited copies of one text that mostly don't link with each other, the text itself among them or not."""
+    rng = random.Random(5)
+    base, other = ([f"w{rng.randrange(10**6)}" for _ in range(120)] for _ in range(2))
+    rows = []
+    for k in range(140):
+        copy = list(base if k < 100 else other)
+        for _ in range(rng.randrange(1, 5)):
+            at = rng.randrange(len(copy))
+            copy[at : at + rng.randrange(2)] = [f"e{rng.randrange(40)}"]
+        rows.append(copy)
+    rows += [base, base[:100] + other[:20], base + other]
+    rng.shuffle(rows)
+    return [(i, " ".join(r)) for i, r in enumerate(rows)]
+
+
+def test_by_differences_from_a_reference(spark, sf, monkeypatch):
+    for few, voters in ((1, 64), (1, 1), (16, 64)):
+        monkeypatch.setattr(resemblance, "FEW", few)
+        monkeypatch.setattr(resemblance, "VOTERS", voters)
+        for rows in (planted(), family()):
+            want = plain_components(rows)
+            got = {r.doc_id: r.component_id for r in resemblance.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+            assert got == want and len(set(want.values())) < len(rows)
+
+
 def test_against_brute_force(spark, sf):
     for rows in (planted(), [(r.doc_id, r.text) for r in read(spark, sf, "documents").collect()]):
         want = plain_components(rows)
