@@ -37,7 +37,8 @@ BITS = 18
 #: Words of 64 bits in a fingerprint, and the most bits in which fingerprints of linked sets differ.
 LANES, REACH = 4, 96
 #: Sets that share an indexed shingle and are compared pair by pair; beyond it pairs come through their differences from a reference.
-FEW = 16
+#: A set costs some hundred of these, so up to here there are fewer pairs.
+FEW = 128
 #: Members of a hub's group, about, that vote on its reference.
 VOTERS = 64
 #: Shingles whose bits are unpacked at a time.
@@ -177,6 +178,7 @@ def other_pairs(docs: DataFrame, found: DataFrame, index: DataFrame, table: Data
     few = pairs_of_few(left.join(split.where(F.col("sets") <= FEW), "token"))
     many = left.join(split.where(F.col("sets") > FEW), "token", "left_semi").select("hub", "node", "n", "root")
     many = settle(many.distinct())
+    sweep(docs.sparkSession)
     if many.isEmpty():
         return settle(few.distinct())
     return settle(few.unionByName(pairs_by_delta(docs, found, many)).distinct())
@@ -209,22 +211,29 @@ def pairs_by_delta(docs: DataFrame, found: DataFrame, members: DataFrame) -> Dat
     first, the first common one is among the first b // 8 + 1 of the one with fewer and the first a // 4 + 1 of the other, and what stands
     before it in either is a difference. Places of one set alone come first and are never joined.
     """
+    spark = docs.sparkSession
     sets = settle(sets_of(docs, found, members.select("node").distinct()))
+    sweep(spark)
+    known = settle(references(members, sets))
+    sweep(spark)
     none = F.array().cast("array<long>")
-    rows = join_small(members.join(sets, "node"), settle(references(members, sets)), ["hub"], "left").withColumn("r", F.coalesce("r", none))
+    rows = join_small(members.join(sets, "node"), known, ["hub"], "left").withColumn("r", F.coalesce("r", none))
     rows = rows.withColumn("places", F.concat(F.array_except("s", "r"), F.array_except("r", "s")))
     rows = settle(rows.select("hub", "node", "n", "root", F.size("places").alias("m"), "places").withColumn("f", 9 * F.col("m") - F.col("n")))
+    sweep(spark)
     best = settle(rows.groupBy("hub").agg(F.min(F.struct("f", "node", "root")).alias("best")))
     near = join_small(rows.drop("places"), best, ["hub"], "inner").where((F.col("root") != F.col("best.root")) & (F.col("f") + F.col("best.f") <= 0))
     near = near.select(F.col("best.node").alias("a"), F.col("node").alias("b"), F.col("best.root").alias("ra"), F.col("root").alias("rb"))
 
     places = rows.select("hub", "node", F.explode("places").alias("e"))
-    often = places.groupBy("hub", "e").agg(F.count("*").alias("c")).where("c > 1")
-    order = places.join(often, ["hub", "e"]).groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("c", "e"))).alias("order"))
+    often = settle(places.groupBy("hub", "e").agg(F.count("*").alias("c")).where("c > 1"))
+    sweep(spark)
+    order = join_small(places, often, ["hub", "e"], "inner").groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("c", "e"))).alias("order"))
     ranked = rows.drop("places", "f").join(order, ["hub", "node"])
     ranked = ranked.select("hub", "node", "n", "root", "m", (F.col("m") - F.size("order")).alias("alone"), F.posexplode("order").alias("pos", "o"))
     ranked = ranked.select("hub", "node", "n", "root", "m", (F.col("alone") + F.col("pos")).alias("at"), F.col("o.e").alias("e"))
     ranked = settle(ranked.where(F.col("at") <= F.floor(F.col("n") / 4)))
+    sweep(spark)
     x, y = ranked.alias("x"), ranked.where(F.col("at") <= F.floor(F.col("n") / 8)).alias("y")
     fewer = F.struct("y.m", "y.node") < F.struct("x.m", "x.node")
     rest = F.least(F.col("x.m") - F.col("x.at"), F.col("y.m") - F.col("y.at"))
