@@ -92,4 +92,38 @@ SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, s
 FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN sums USING (rid)
 """
 
-SQL = {"op5_host_quality": OP5, "op8_extendible_sharding": OP8, "op10_mixing": OP10}
+#: CRC-32 of conv_id's digits, bit by bit.
+CRC = "xor(list_reduce(flatten(list_transform(range(1, length(s) + 1), lambda i: [ascii(substr(s, i, 1))::BIGINT, 0, 0, 0, 0, 0, 0, 0])), lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1)), 4294967295::BIGINT), 4294967295)"
+
+OP11 = rf"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS r,
+    sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS e, len({WORDS})::BIGINT AS n
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, {CRC} % 4 AS h FROM (SELECT DISTINCT conv_id, conv_id::VARCHAR AS s FROM t)
+), rebuilt AS (
+  SELECT c.conv_id, 0 AS own, r, e, n FROM c JOIN t ON t.conv_id = base AND r < h
+  UNION ALL SELECT c.conv_id, 1 AS own, r, e, n FROM c JOIN t ON t.conv_id = c.conv_id AND r >= h
+), path AS (
+  SELECT conv_id, row_number() OVER p AS depth, sha256(string_agg(e, '') OVER p) AS k, n, count(*) OVER (PARTITION BY conv_id) AS turns FROM rebuilt WINDOW p AS (PARTITION BY conv_id ORDER BY own, r)
+  UNION ALL SELECT c.conv_id, 0, '', 0, (SELECT count(*) FROM rebuilt WHERE rebuilt.conv_id = c.conv_id) FROM c
+), stepped AS (
+  SELECT *, lag(k) OVER (PARTITION BY conv_id ORDER BY depth) AS up FROM path
+), node AS (
+  SELECT depth, k, min(up) AS up, min(conv_id) AS conv_id, count(*)::BIGINT AS n_convs, min(n) AS n,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = turns), '')) AS ends_sha256
+  FROM stepped GROUP BY depth, k
+), child AS (
+  SELECT depth - 1 AS depth, up AS k, count(*) AS n FROM node WHERE depth > 0 GROUP BY ALL
+), named AS (
+  SELECT node.*, coalesce(child.n, 0)::BIGINT AS n_children FROM node LEFT JOIN child USING (depth, k)
+), below AS (
+  SELECT path.depth, path.k, count(*) FILTER (n_children = 0)::BIGINT AS n_leaves, sum((n_convs - 1) * named.n)::BIGINT AS saved_tokens
+  FROM named JOIN path ON path.conv_id = named.conv_id AND path.depth <= named.depth GROUP BY ALL
+)
+SELECT named.conv_id, named.depth, parent.conv_id AS parent_conv_id, named.n_convs, named.n_children, n_leaves, saved_tokens, named.ends_sha256
+FROM named JOIN below USING (depth, k) LEFT JOIN node AS parent ON parent.depth = named.depth - 1 AND parent.k = named.up
+"""
+
+SQL = {"op5_host_quality": OP5, "op8_extendible_sharding": OP8, "op10_mixing": OP10, "op11_prefix_trie": OP11}
