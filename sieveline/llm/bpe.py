@@ -41,6 +41,14 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+@lru_cache(maxsize=2)
+def vocabulary(raw: bytes) -> dict[int, bytes]:
+    """What each id of a tokenizer file stands for, added tokens included; all that decoding needs."""
+    spec, letters = json.loads(raw), byte_letters()
+    spelt = {i: bytes(letters[c] for c in s) for s, i in spec["model"]["vocab"].items()}
+    return spelt | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+
+
 class Model:
     """The vocabulary and merges of a tokenizer file, and the walk."""
 
@@ -56,7 +64,7 @@ class Model:
             raise ValueError("added tokens that take in what is around them aren't supported")
         letters = byte_letters()
         spell = {s: bytes(letters[c] for c in s) for s in model["vocab"]}
-        self.bytes_of = {i: spell[s] for s, i in model["vocab"].items()}
+        self.bytes_of = vocabulary(raw)
         self.ids = {spell[s]: i for s, i in model["vocab"].items()}
         self.single = [self.ids[bytes([b])] for b in range(256)]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
@@ -66,7 +74,6 @@ class Model:
         self.states, self.state_of, self.moves = [b""], {b"": 0}, {}
         self.ends: list[tuple[tuple[int, int], ...]] = [()]
         self.added = {t["content"]: struct.pack("<I", t["id"]) for t in spec["added_tokens"]}
-        self.bytes_of |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
         self.at_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.word, self.other = regex.compile(PATTERN), regex.compile(OTHER_LETTERS)
         self.raw, self.library = raw, None
@@ -166,12 +173,13 @@ class Model:
             return [(row, b"".join([kept.get(w) or here[w] for w in words])) for row, words in blocks]
         return [(row, b"".join([kept[w] for w in words])) for row, words in blocks]
 
-    def decode(self, ids: bytes, at_once: int = 1 << 20) -> str:
-        """The text of packed ids; bytes that aren't UTF-8 are replaced, unknown ids left out."""
-        made, table = codecs.getincrementaldecoder("utf-8")("replace"), self.bytes_of
-        parts = (struct.unpack_from(f"<{min(at_once, len(ids) // 4 - i)}I", ids, 4 * i) for i in range(0, len(ids) // 4, at_once))
-        texts = [made.decode(b"".join([table.get(t, b"") for t in part])) for part in parts]
-        return "".join([*texts, made.decode(b"", True)])
+
+def spell_out(ids: bytes, table: dict[int, bytes], at_once: int = 1 << 20) -> str:
+    """The text of packed ids; bytes that aren't UTF-8 are replaced, unknown ids left out."""
+    made = codecs.getincrementaldecoder("utf-8")("replace")
+    parts = (struct.unpack_from(f"<{min(at_once, len(ids) // 4 - i)}I", ids, 4 * i) for i in range(0, len(ids) // 4, at_once))
+    texts = [made.decode(b"".join([table.get(t, b"") for t in part])) for part in parts]
+    return "".join([*texts, made.decode(b"", True)])
 
 
 def _shared(a: bytes, b: bytes) -> int:
@@ -243,11 +251,11 @@ def decode(encoded: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(_read(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = model(shared.value)
+        table = vocabulary(shared.value)
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                texts = pa.array([bpe.decode(x or b"") for x in part.column(1).to_pylist()], pa.string())
+                texts = pa.array([spell_out(x or b"", table) for x in part.column(1).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], names=["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")

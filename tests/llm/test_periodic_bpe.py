@@ -164,14 +164,14 @@ def test_encodes_and_decodes_as_the_library(model, library):
         text = "".join(rnd.choice(PIECES) for _ in range(rnd.randint(0, 60)))
         ids = library.encode(text, add_special_tokens=False).ids
         assert encoded(model, text) == ids, text
-        assert model.decode(struct.pack(f"<{len(ids)}I", *ids)) == text
+        assert bpe.spell_out(struct.pack(f"<{len(ids)}I", *ids), model.bytes_of) == text
     for k in (1, 2, 3, 4):
         for _ in range(100):  # long words of few letters, where merges tie and overlap
             text = "".join(rnd.choice("ab-= "[:k]) for _ in range(rnd.randint(1, 300)))
             assert encoded(model, text) == library.encode(text, add_special_tokens=False).ids, text
     for _ in range(300):  # ids that are no text
         ids = [rnd.randrange(50_400) for _ in range(20)]
-        assert model.decode(struct.pack("<20I", *ids)) == library.decode(ids, skip_special_tokens=False)
+        assert bpe.spell_out(struct.pack("<20I", *ids), model.bytes_of) == library.decode(ids, skip_special_tokens=False)
 
 
 def test_every_letter_parts_words_as_in_the_library(model, library):
