@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,8 @@ from sieveline.operators import features, heads, joins, labelling, neighbours, p
 from sieveline.plans.frames import ITEMS_SQL, LABELS_SQL, SCORED_SQL, items, scored
 from sieveline.schemas import ABSTAIN, ALL_LABELS, MAIN_SET, VALID_STATUS
 from sieveline.sources import files
-from sieveline.storage import read, settle
-from sieveline.streaming import monitor
+from sieveline.storage import read, settle, shared_dir
+from sieveline.streaming import alerts, monitor
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -738,6 +739,36 @@ def alert_runs(spark, sf_dir):
     return monitor.alert_runs(_spine(spark, sf_dir), F.col("n_hit") >= 1, 3)
 
 
+SERIES_SQL = f"""o AS (SELECT {_minutes(60)} AS window_start, event_type, count(*) FILTER (value > 35) AS n_hit, count(*) AS n FROM events GROUP BY ALL),
+sp AS (SELECT event_type, unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS window_start FROM (SELECT event_type, min(window_start) AS a, max(window_start) AS b FROM o GROUP BY 1)),
+m AS (SELECT event_type, window_start, coalesce(2 * n_hit >= n, false) AS on_ FROM sp LEFT JOIN o USING (event_type, window_start)),
+i AS (SELECT *, sum((NOT on_)::INT) OVER (PARTITION BY event_type ORDER BY window_start) AS island FROM m),
+runs AS (SELECT event_type, min(window_start) AS run_start, max(window_start) AS run_end, count(*) AS n_windows, count(*) >= 3 AS alerted FROM i WHERE on_ GROUP BY event_type, island)"""
+
+
+@query(f"WITH {SERIES_SQL} SELECT * FROM runs")
+def alert_series(spark, sf_dir):
+    """Runs of each event type, from the table."""
+    counts = {"n_hit": F.count_if(F.col("value") > 35), "n": F.count("*")}
+    rows = read(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(*[c.alias(k) for k, c in counts.items()])
+    hours = monitor.spine(rows.select("event_type", F.col("w.start").alias("window_start"), "n_hit", "n"), "1 hour", {"n_hit": 0, "n": 0}, by=["event_type"])
+    return monitor.alert_runs(hours, (F.col("n") > 0) & (2 * F.col("n_hit") >= F.col("n")), 3, by=["event_type"])
+
+
+@query(f"""WITH {SERIES_SQL} SELECT event_type, 'ended' AS kind, run_start, run_end, n_windows, alerted FROM runs
+UNION ALL SELECT event_type, 'raised', run_start, run_start + INTERVAL 2 HOUR, 3, true FROM runs WHERE alerted""")
+def alert_stream(spark, sf_dir):
+    """The same runs from a stream over the whole table, with the alerts as they are raised; a last event, long after all others, moves the watermark past them."""
+    events = read(spark, sf_dir, "events").select("ts", "event_type", "value")
+    folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    events.agg((F.max("ts") + F.expr("INTERVAL 3 DAYS")).alias("ts")).select("ts", F.lit("").alias("event_type"), F.lit(0.0).alias("value")).write.parquet(f"{folder}/last")
+    source = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir.rstrip('/')}/events.parquet").select("ts", "event_type", "value")
+    stream = source.unionByName(spark.readStream.schema(events.schema).parquet(f"{folder}/last"))
+    found = alerts.alerts(stream, "1 hour", ["event_type"], {"n_hit": F.count_if(F.col("value") > 35), "n": F.count("*")}, 2 * F.col("n_hit") >= F.col("n"), 3)
+    alerts.write_alerts(found, f"{folder}/alerts", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{folder}/alerts").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("run_start", "run_end")})
+
+
 # ---------------------------------------------------------------- features and heads
 
 PADDED = "WITH w AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '')) AS w FROM benchmark), p AS (SELECT item_id, ' ' || w || ' ' AS w FROM w)"

@@ -6,6 +6,8 @@ in order (spine, alerts) work on finished windows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -59,31 +61,31 @@ def exact_quantiles(events: DataFrame, width: str, qs: dict[str, float], value:
     return rows.select(F.col("w.start").alias("window_start"), *qs)
 
 
-def spine(windows: DataFrame, step: str, fill: dict[str, float], start: str = "window_start") -> DataFrame:
-    """The windows with those that are missing between the first and the last, filled."""
-    ends = windows.agg(F.min(start).alias("a"), F.max(start).alias("b"))
-    times = ends.where("a IS NOT NULL").select(F.explode(F.expr(f"sequence(a, b, interval {step})")).alias(start))
-    return times.join(windows, start, "left").fillna(fill)
+def spine(windows: DataFrame, step: str, fill: dict[str, float], start: str = "window_start", by: Sequence[str] = ()) -> DataFrame:
+    """The windows with those that are missing between the first and the last, of each series if there are several, filled."""
+    ends = windows.groupBy(*by).agg(F.min(start).alias("a"), F.max(start).alias("b"))
+    times = ends.where("a IS NOT NULL").select(*by, F.explode(F.expr(f"sequence(a, b, interval {step})")).alias(start))
+    return times.join(windows, [*by, start], "left").fillna(fill)
 
 
-def alert_runs(windows: DataFrame, firing: Column, hold: int, start: str = "window_start", days: str = "day") -> DataFrame:
-    """``run_start, run_end, n_windows, alerted``: unbroken runs of windows in which a condition holds; alerted from ``hold`` windows on.
+def alert_runs(windows: DataFrame, firing: Column, hold: int, start: str = "window_start", days: str = "day", by: Sequence[str] = ()) -> DataFrame:
+    """``by.., run_start, run_end, n_windows, alerted``: unbroken runs of windows in which a condition holds; alerted from ``hold`` windows on.
 
-    ``windows`` has no gaps. Runs are found within days first and then joined across their ends, so no task
-    orders all windows.
+    A series of ``windows`` has no gaps. Runs are found within days; only those that touch an end of their day, two a day at most, are then
+    joined across days, so no task orders all windows or all runs.
     """
-    rows = windows.select(F.col(start).alias("t"), F.coalesce(firing, F.lit(False)).alias("on"), F.date_trunc(days, start).alias("d"))
-    order = W.partitionBy("d").orderBy("t")
-    rows = rows.withColumn("island", F.sum((~F.col("on")).cast("int")).over(order))
-    first, last = F.min("t").over(W.partitionBy("d")), F.max("t").over(W.partitionBy("d"))
-    rows = rows.withColumns({"first": first, "last": last}).where("on")
-    parts = rows.groupBy("d", "island").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count("*").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+    rows = windows.select(*by, F.col(start).alias("t"), F.coalesce(firing, F.lit(False)).alias("on"), F.date_trunc(days, start).alias("d"))
+    day = W.partitionBy(*by, "d")
+    rows = rows.withColumns({"island": F.sum((~F.col("on")).cast("int")).over(day.orderBy("t")), "first": F.min("t").over(day), "last": F.max("t").over(day)}).where("on")
+    parts = rows.groupBy(*by, "d", "island").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count("*").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+    at_end = (F.col("a") == F.col("first")) | (F.col("b") == F.col("last"))
     # runs that fill up to the end of a day go on in a run from the start of the next
-    across = W.orderBy("a")
+    across = W.partitionBy(*by).orderBy("a")
     goes_on = (F.col("a") == F.col("first")) & (F.lag("b").over(across) == F.lag("last").over(across)) & (F.datediff("d", F.lag("d").over(across)) == 1)
-    joined = parts.withColumn("run", F.sum(F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(across))
-    runs = joined.groupBy("run").agg(F.min("a").alias("run_start"), F.max("b").alias("run_end"), F.sum("n").alias("n_windows"))
-    return runs.select("run_start", "run_end", "n_windows", (F.col("n_windows") >= hold).alias("alerted"))
+    joined = parts.where(at_end).withColumn("run", F.sum(F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(across))
+    over = joined.groupBy(*by, "run").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("n").alias("n")).drop("run")
+    runs = over.unionByName(parts.where(~at_end).select(*by, "a", "b", "n"))
+    return runs.select(*by, F.col("a").alias("run_start"), F.col("b").alias("run_end"), F.col("n").alias("n_windows"), (F.col("n") >= hold).alias("alerted"))
 
 
 def write_rates(events: DataFrame, path: str, checkpoint: str, width: str = "5 minutes", seconds: int = 300):
