@@ -762,7 +762,8 @@ def alert_stream(spark, sf_dir):
     events = read(spark, sf_dir, "events").select("ts", "event_type", "value")
     folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     events.agg((F.max("ts") + F.expr("INTERVAL 3 DAYS")).alias("ts")).select("ts", F.lit("").alias("event_type"), F.lit(0.0).alias("value")).write.parquet(f"{folder}/last")
-    source = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir.rstrip('/')}/events.parquet").select("ts", "event_type", "value")
+    # as a pattern the path may be a file or a folder
+    source = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir.rstrip('/')}/events.parque[t]").select("ts", "event_type", "value")
     stream = source.unionByName(spark.readStream.schema(events.schema).parquet(f"{folder}/last"))
     found = alerts.alerts(stream, "1 hour", ["event_type"], {"n_hit": F.count_if(F.col("value") > 35), "n": F.count("*")}, 2 * F.col("n_hit") >= F.col("n"), 3)
     alerts.write_alerts(found, f"{folder}/alerts", f"{folder}/checkpoint").awaitTermination()
