@@ -6,23 +6,21 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.functions.vectors import cascade, top_label
+from sieveline.operators import boosting
 from sieveline.operators.splitting import folds
 from sieveline.schemas import ABSTAIN, ALL_LABELS, MAIN_SET, SEED
 
 
 @dataclass(frozen=True)
 class Head:
-    """A learner and its parameters. ``logreg`` minimises ``|b|^2 / 2 + C * weighted loss``.
-
-    Boosting over several labels is one against the rest, a stand-in for multiclass boosting.
-    """
+    """A learner and its parameters. ``logreg`` minimises ``|b|^2 / 2 + C * weighted loss``; ``boosted`` is softmax boosting on histograms, its other parameters in ``extra``."""
 
     kind: str = "logreg"
     c: float = 1.0
@@ -48,38 +46,35 @@ def _weights(train: DataFrame, label: str, head: Head, weight: str | None) -> Da
     return train.withColumn("__w", w.cast("double"))
 
 
-def fit(train: DataFrame, label: str, features: str = "features", head: Head = Head(), weight: str | None = None) -> PipelineModel:
+def fit(train: DataFrame, label: str, features: str = "features", head: Head = Head(), weight: str | None = None) -> PipelineModel | boosting.Boosted:
     rows = _weights(train, label, head, weight)
+    if head.kind == "boosted":
+        return boosting.fit(rows, label, features, boosting.Boosting(rounds=head.trees, depth=head.depth, **head.extra), "__w")
     common = {"featuresCol": features, "labelCol": "__y", "weightCol": "__w"}
     if head.kind == "logreg":
         total = rows.agg(F.sum("__w")).first()[0] or 1.0
         learner = LogisticRegression(family="multinomial", elasticNetParam=0.0, standardization=False, regParam=1.0 / (head.c * total), maxIter=head.max_iter, **common)
     elif head.kind == "forest":
         learner = RandomForestClassifier(numTrees=head.trees, maxDepth=head.depth, seed=SEED, **common)
-    elif head.kind == "boosted":
-        inner = GBTClassifier(maxIter=head.trees, maxDepth=head.depth, seed=SEED, featuresCol=features)
-        learner = OneVsRest(classifier=inner, **common)
     else:
         raise ValueError(f"no head of the kind {head.kind}")
     index = StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc", handleInvalid="error")
     return Pipeline(stages=[index, learner]).fit(rows)
 
 
-def classes(model: PipelineModel) -> list[str]:
-    return list(model.stages[0].labels)
+def classes(model: PipelineModel | boosting.Boosted) -> list[str]:
+    return list(model.labels if isinstance(model, boosting.Boosted) else model.stages[0].labels)
 
 
-def probabilities(model: PipelineModel, df: DataFrame, labels: Sequence[str] = ALL_LABELS, name: str = "p") -> DataFrame:
+def probabilities(model: PipelineModel | boosting.Boosted, df: DataFrame, labels: Sequence[str] = ALL_LABELS, name: str = "p") -> DataFrame:
     """Adds the model's probabilities in the order of ``labels``; a label that it hasn't learned has 0."""
     learned = classes(model)
-    scored = model.stages[-1].transform(df)
-    if "probability" in scored.columns:
-        raw = vector_to_array("probability")
-    else:  # one against the rest has scores only
-        each = F.transform(vector_to_array("rawPrediction"), lambda x: 1 / (1 + F.exp(-x)))
-        raw = F.transform(each, lambda x: x / F.aggregate(each, F.lit(0.0), lambda s, y: s + y))
+    if isinstance(model, boosting.Boosted):
+        scored, raw = model.transform(df, name="__raw"), F.col("__raw")
+    else:
+        scored, raw = model.stages[-1].transform(df), vector_to_array("probability")
     p = F.array(*[raw[learned.index(x)] if x in learned else F.lit(0.0) for x in labels])
-    return scored.withColumn(name, p).drop("rawPrediction", "probability", "prediction")
+    return scored.withColumn(name, p).drop("__raw", "rawPrediction", "probability", "prediction")
 
 
 def as_predictions(df: DataFrame, key: str = "item_id", probs: str = "p", labels: Sequence[str] = ALL_LABELS) -> DataFrame:

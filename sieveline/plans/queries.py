@@ -5,13 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.functions import text as tx
 from sieveline.functions import vectors as vx
 from sieveline.operators import evaluation as ev
-from sieveline.operators import features, heads, joins, labelling, neighbours, profiling, reports, sampling, splitting
+from sieveline.operators import boosting, features, heads, joins, labelling, neighbours, profiling, reports, sampling, splitting
 from sieveline.plans.frames import ITEMS_SQL, LABELS_SQL, SCORED_SQL, items, scored
 from sieveline.schemas import ABSTAIN, ALL_LABELS, MAIN_SET, VALID_STATUS
 from sieveline.sources import files
@@ -848,6 +848,21 @@ def scheme_comparison(spark, sf_dir):
     return reports.compare({("base", "proxy"): s, ("strict", "proxy"): strict, ("base", "audit"): s.where(audit), ("strict", "audit"): strict.where(audit)})
 
 
+@query("""WITH f(n_rounds, n_labels, width, falls, sums_to_one, deterministic) AS (VALUES (3, (SELECT count(DISTINCT label) FROM embeddings WHERE vec_id % 5 <> 0), (SELECT max(len(embedding)) FROM embeddings), true, true, true)),
+h AS (SELECT count(*) AS n_scored FROM embeddings WHERE vec_id % 5 = 0) SELECT f.*, n_scored FROM f, h""")
+def fit_boosted(spark, sf_dir):
+    """Boosting for all labels of embeddings, and what holds for any such model: the loss falls, probabilities sum to one, another partitioning gives the same trees."""
+    e = settle(read(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("features")))
+    how = boosting.Boosting(rounds=3, depth=2, bins=16, rate=0.3, refresh=2)
+    train = e.where("vec_id % 5 <> 0")
+    model, again = boosting.fit(train, "label", how=how), boosting.fit(train.repartition(3), "label", how=how)
+    shape = lambda m: [[(t.feature, t.bin) for t in trees] for trees in m.trees]
+    falls = all(a > b for a, b in zip(model.losses, model.losses[1:]))
+    scored = model.transform(e.where("vec_id % 5 = 0")).agg(F.bool_and(F.abs(F.aggregate("p", F.lit(0.0), lambda a, x: a + x) - 1) < 1e-9).alias("sums_to_one"), F.count("*").alias("n_scored"))
+    facts = {"n_rounds": len(model.trees), "n_labels": F.lit(len(model.labels)).cast("long"), "width": F.lit(len(model.edges)).cast("long"), "falls": falls, "deterministic": shape(model) == shape(again)}
+    return scored.select("*", *[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in facts.items()])
+
+
 @query()
 def table_manifest(spark, sf_dir):
     n, r = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
