@@ -85,9 +85,11 @@ def normalise_name(name: Column) -> Column:
     # in a text of one script every vote leaves it as it is
     joined = bound(flat, lambda x: F.when(x.rlike("[а-я]") & x.rlike("[a-z]"), voted(x)).otherwise(x))
     parted = F.regexp_replace(F.regexp_replace(joined, "([a-zа-я])([0-9])", "$1 $2"), "([0-9])([a-zа-я])", "$1 $2")
+    # with two spaces between tokens each has its own on either side
+    padded = F.concat(F.lit(" "), F.replace(parted, F.lit(" "), F.lit("  ")), F.lit(" "))
     for roman, digit in (("iii", "3"), ("ii", "2"), ("i", "1")):
-        parted = F.regexp_replace(parted, rf"(?U)\b{roman}\b", digit)
-    return F.trim(F.regexp_replace(parted, " +", " "))
+        padded = F.replace(padded, F.lit(f" {roman} "), F.lit(f" {digit} "))
+    return F.trim(F.regexp_replace(padded, " +", " "))
 
 
 def duplicate_form(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.functions.text import bound, is_ruled_out, names_pattern, normalise_name
+from sieveline.operators import dictionary
 from sieveline.schemas import ABSTAIN, ALL_LABELS, DEMOTE_AT, MAIN_SET, RESPONSE, STATUSES, TRUST_AT, VALID_STATUS
 from sieveline.storage import join_small, settle
 
@@ -29,56 +30,36 @@ def dictionary_find(text: Column, names: list[str]) -> Column:
     return F.when(found != "", found)
 
 
-def hits_by_join(texts: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
-    """``key, pos, n, name``: every run of words of a text that is a name. ``dictionary`` is settled.
+def first_hit(hits: Column) -> Column:
+    """The leftmost name of ``dictionary.with_hits``, the longest if several begin there; null if none."""
+    return F.get(hits, 0)["name"]
 
-    Runs are as long as names are. A dictionary that was measured to be small is broadcast, so runs that aren't names go no further; else runs and names meet by a shuffle.
-    """
-    sizes = [r[0] for r in dictionary.select(F.size(F.split("name", " "))).distinct().collect()] or [1]
-    w = F.split(text, " ")
-
-    def from_word(words: Column) -> Column:
-        """The runs of a text as (place, words, name). Only they leave the row, not the text with each of them."""
-        return F.flatten(
-            F.transform(
-                F.filter(F.array(*[F.lit(n) for n in sorted(sizes)]), lambda n: n <= F.size(words)),
-                lambda n: F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.struct(i.alias("pos"), n.alias("n"), F.array_join(F.slice(words, i + 1, n), " ").alias("name"))),
-            )
-        )
-
-    runs = texts.select(key, F.explode(bound(w, from_word)).alias("x")).select(key, "x.*")
-    return join_small(runs, dictionary.select("name"), ["name"], "inner")
 
-
-def find_by_join(texts: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
-    """``key, name`` as by ``dictionary_find``, for dictionaries of any size.
-
-    Runs of words are joined with the names; the leftmost and then longest one stays.
-    """
-    hit = hits_by_join(texts, key, text, dictionary)
-    return hit.groupBy(key).agg(F.min_by("name", F.struct("pos", (-F.col("n")).alias("n"))).alias("name"))
+def names_many(hits: Column) -> Column:
+    """Whether ``dictionary_hits`` would count more than one name: another begins past the end of the first."""
+    return F.coalesce(F.get(hits, F.size(hits) - 1)["pos"] >= F.get(hits, 0)["pos"] - F.get(hits, 0)["neg"], F.lit(False))
 
 
-def many_by_join(texts: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
-    """``key`` of the texts in which ``dictionary_hits`` would count more than one name: another begins past the end of the first."""
-    hit = hits_by_join(texts, key, text, dictionary).groupBy(key).agg(F.min(F.struct("pos", (-F.col("n")).alias("n"))).alias("first"), F.max("pos").alias("last"))
-    return hit.where(F.col("last") >= F.col("first.pos") - F.col("first.n")).select(key)
+def find_by_join(texts: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
+    """``key, name`` as by ``dictionary_find``, for dictionaries of any size; of rows that share a key the leftmost and longest name."""
+    found = dictionary.with_hits(texts.select(key, text), key, text, names).select(key, F.get("hits", 0).alias("h"))
+    return found.where("h IS NOT NULL").groupBy(key).agg(F.min("h").alias("h")).select(key, "h.name")
 
 
-def apply_dictionary(items: DataFrame, dictionary: DataFrame, key: str = "item_id", title: str = "title", description: str = "description") -> DataFrame:
+def apply_dictionary(items: DataFrame, names: DataFrame, key: str = "item_id", title: str = "title", description: str = "description") -> DataFrame:
     """``key, kb_model, kb_label, label_source, confidence``: dictionary labels of items.
 
-    Titles that are ruled out, or name more than one thing, get none. Dictionaries of every size are matched in the same way, by joining runs of words.
+    Titles that are ruled out, or name more than one thing, get none. Dictionaries of every size are matched by the same walk; items
+    are shuffled only for one that is too large to be sent.
     """
     t, d = F.coalesce(F.col(title), F.lit("")), F.coalesce(F.col(description), F.lit(""))
-    dictionary = settle(dictionary)
+    names = settle(names)
     rows = items.select(key, t.alias("__t"), d.alias("__d")).withColumn("__nt", normalise_name(F.col("__t")))
-    many = many_by_join(rows, key, "__nt", dictionary).withColumn("__many", F.lit(True))
-    skip = is_ruled_out(F.col("__t")) | F.coalesce("__many", F.lit(False))
-    words = rows.join(many, key, "left").withColumn("__text", normalise_name(F.when(skip, F.lit("")).otherwise(F.concat("__t", F.lit(" "), "__d"))))
-    hit = find_by_join(words, key, "__text", dictionary).withColumnRenamed("name", "kb_model")
-    names = dictionary.select(F.col("name").alias("kb_model"), F.col("label").alias("kb_label"))
-    found = rows.select(key).join(join_small(hit, names, ["kb_model"]), key, "left")
+    rows = dictionary.with_hits(rows, key, "__nt", names, "__in_title")
+    skip = is_ruled_out(F.col("__t")) | names_many(F.col("__in_title"))
+    rows = rows.select(key, normalise_name(F.when(skip, F.lit("")).otherwise(F.concat("__t", F.lit(" "), "__d"))).alias("__text"))
+    hit = dictionary.with_hits(rows, key, "__text", names).select(key, first_hit(F.col("hits")).alias("kb_model"))
+    found = join_small(hit, names.select(F.col("name").alias("kb_model"), F.col("label").alias("kb_label")), ["kb_model"])
     known = F.col("kb_label").isNotNull()
     return found.select(key, "kb_model", "kb_label", F.when(known, F.lit("kb")).alias("label_source"), F.when(known, F.lit(1.0)).alias("confidence"))
 
@@ -154,7 +135,7 @@ def pick_final() -> Column:
         F.when(c("gold_label").isNotNull(), out(c("gold_object_status"), c("gold_body_type"), c("gold_label"), text("human-labeled"), "human", F.lit(1.0)))
         .when(
             c("kb_label").isNotNull() & checked,
-            out(c("kb_check_status"), none, text(ABSTAIN), F.concat(text("kb demoted by check: "), "kb_check_status"), "kb_overridden", c("kb_check_confidence")),
+            out(c("kb_check_status"), none, text(ABSTAIN), F.concat(text("kb demoted by llm-vision: "), "kb_check_status"), "kb_overridden", c("kb_check_confidence")),
         )
         .when(c("kb_label").isNotNull(), out(text(VALID_STATUS), c("kb_label"), c("kb_label"), F.concat(text("kb match: "), "kb_model"), "kb", F.lit(1.0)))
         .when(trusted, out(c("llm_object_status"), c("llm_body_type"), c("llm_label"), text("llm prediction"), "llm", c("llm_confidence")))

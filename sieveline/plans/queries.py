@@ -210,7 +210,7 @@ j AS (SELECT d.doc_id, g.* EXCLUDE (doc_id), k.* EXCLUDE (doc_id), l.* EXCLUDE (
 b AS (SELECT *, CASE WHEN glab IS NOT NULL THEN 1 WHEN klab IS NOT NULL AND cst IS NOT NULL AND cst <> '{VALID_STATUS}' AND coalesce(cconf, 0) >= 0.85::DOUBLE THEN 2 WHEN klab IS NOT NULL THEN 3 WHEN llab IS NOT NULL AND coalesce(lbiz, false) AND coalesce(lconf, 0) >= 0.7::DOUBLE THEN 4 WHEN lst IS NOT NULL AND lst <> '{VALID_STATUS}' THEN 5 ELSE 6 END AS way FROM j)
 SELECT doc_id AS item_id, CASE way WHEN 1 THEN gst WHEN 2 THEN cst WHEN 3 THEN '{VALID_STATUS}' WHEN 4 THEN lst WHEN 5 THEN lst ELSE 'insufficient_info' END AS final_object_status,
   CASE way WHEN 1 THEN gbody WHEN 3 THEN klab WHEN 4 THEN lbody END AS final_body_type, CASE way WHEN 1 THEN glab WHEN 3 THEN klab WHEN 4 THEN llab ELSE '{ABSTAIN}' END AS final_label,
-  CASE way WHEN 1 THEN 'human-labeled' WHEN 2 THEN 'kb demoted by check: ' || cst WHEN 3 THEN 'kb match: ' || kmod WHEN 4 THEN 'llm prediction' WHEN 5 THEN 'llm_low_confidence_non_valid: ' || lst ELSE 'no confident source or unreliable valid claim' END AS final_reason,
+  CASE way WHEN 1 THEN 'human-labeled' WHEN 2 THEN 'kb demoted by llm-vision: ' || cst WHEN 3 THEN 'kb match: ' || kmod WHEN 4 THEN 'llm prediction' WHEN 5 THEN 'llm_low_confidence_non_valid: ' || lst ELSE 'no confident source or unreliable valid claim' END AS final_reason,
   ['human', 'kb_overridden', 'kb', 'llm', 'abstain', 'abstain'][way] AS label_source, CASE way WHEN 1 THEN 1.0 WHEN 2 THEN cconf WHEN 3 THEN 1.0 WHEN 4 THEN lconf ELSE 0.0 END::DOUBLE AS confidence, way > 4 AS needs_review
 FROM b
 """
