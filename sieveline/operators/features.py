@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import ElementwiseProduct, Normalizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from sieveline.functions.text import bound
 
@@ -63,17 +66,29 @@ def tfidf(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
 
 
 def tfidf_vectors(df: DataFrame, weights: DataFrame, key: str, size: int, name: str = "tfidf") -> DataFrame:
-    """``df`` with its weights as a sparse vector, an empty one where no term is known."""
-    sparse = F.udf(lambda xs: Vectors.sparse(size, [(x[0], x[1]) for x in xs or []]), VectorUDT())
-    packed = weights.groupBy(key).agg(F.collect_list(F.struct("idx", "weight")).alias("__xs"))
-    return df.join(packed, key, "left").withColumn(name, sparse("__xs")).drop("__xs")
+    """``df`` with its weights as a sparse vector, an empty one where no term is known. Vectors are packed batch by batch, as Arrow arrays."""
+    packed = weights.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("__xs"))
+    rows = df.join(packed, key, "left").withColumns({"__i": F.coalesce(F.col("__xs.idx").cast("array<int>"), F.array().cast("array<int>")), "__w": F.coalesce(F.col("__xs.weight").cast("array<double>"), F.array().cast("array<double>"))}).drop("__xs")
+    schema = StructType([*rows.schema.fields[:-2], StructField(name, VectorUDT())])
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            parts = [pa.array([0] * n, pa.int8()), pa.array([size] * n, pa.int32()), b.column(b.num_columns - 2), b.column(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.StructArray.from_arrays(parts, ["type", "size", "indices", "values"])], names=names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def population_scale(train: DataFrame, column: str, width: int) -> tuple[list[float], list[float]]:
-    """Means and population deviations of an array column over training rows; the deviation of a constant is 1."""
-    aggs = [f(F.col(column)[i].cast("double")) for i in range(width) for f in (F.avg, F.stddev_pop)]
-    row = train.agg(*aggs).first()
-    return [row[2 * i] or 0.0 for i in range(width)], [row[2 * i + 1] or 1.0 for i in range(width)]
+    """Means and population deviations of an array column over training rows; the deviation of a constant is 1. One aggregate for all coordinates, whatever their number."""
+    rows = train.where(F.col(column).isNotNull()).select(array_to_vector(F.col(column).cast("array<double>")).alias("v"))
+    if rows.isEmpty():
+        return [0.0] * width, [1.0] * width
+    row = rows.agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("v")).alias("s")).select("s.*").first()
+    rest = (row["count"] - 1) / row["count"]  # of the sample's variance
+    return [float(x) for x in row["mean"]], [float(x * rest) ** 0.5 or 1.0 for x in row["variance"]]
 
 
 def scaled(column: str, means: Sequence[float], deviations: Sequence[float]) -> Column:

@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.functions.vectors import cascade, top_label
-from sieveline.operators import boosting
+from sieveline.operators import boosting, linear
 from sieveline.operators.splitting import folds
 from sieveline.schemas import ABSTAIN, ALL_LABELS, MAIN_SET, SEED
+from sieveline.storage import settle
 
 
 @dataclass(frozen=True)
@@ -105,12 +106,27 @@ def fit_cascade(train: DataFrame, label: str, features: str = "features", gate:
     return apply
 
 
-def out_of_fold(df: DataFrame, group: str, label: str, features: str = "features", head: Head = Head(), k: int = 5) -> DataFrame:
-    """Every row with probabilities from a model that hasn't seen its group."""
+def _specs(heads: dict, weight: str | None, where: Column | None = None) -> dict[str, linear.Spec]:
+    w = F.col(weight) if weight else None
+    return {name: linear.Spec(h.c, w, where, h.balanced) for name, h in heads.items()}
+
+
+def _in_order(p: Column, learned: Sequence[str], labels: Sequence[str]) -> Column:
+    return F.array(*[p[list(learned).index(x)] if x in learned else F.lit(0.0) for x in labels])
+
+
+def out_of_fold(df: DataFrame, group: str, label: str, features: str = "features", head: Head = Head(), k: int = 5, weight: str | None = None) -> DataFrame:
+    """Every row with probabilities from a model that hasn't seen its group. Linear heads of all folds are fitted and scored together; others one fold after the other."""
     rows = df.join(folds(df, group, label, k), group)
+    if head.kind == "logreg":
+        rows = settle(rows)
+        specs = {str(i): _specs({"": head}, weight, F.col("fold") != i)[""] for i in range(k)}
+        models = linear.fit_many(rows, label, specs, features, max_scans=3 * head.max_iter)
+        scored = linear.predict([models[str(i)] for i in range(k)], rows, features, F.col("fold"), "__p")
+        return scored.withColumn("p", _in_order(F.col("__p"), models["0"].labels, ALL_LABELS)).drop("__p")
     out = None
     for i in range(k):
-        part = probabilities(fit(rows.where(F.col("fold") != i), label, features, head), rows.where(F.col("fold") == i))
+        part = probabilities(fit(rows.where(F.col("fold") != i), label, features, head, weight), rows.where(F.col("fold") == i))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -128,14 +144,24 @@ def refit_rows(split: Column) -> Column:
     return F.when(split == "val", F.lit("train")).otherwise(split)
 
 
-def run_grid(df: DataFrame, grid: dict[str, Head], label: str, evaluate: Callable[[DataFrame], DataFrame], split: str = "split", features: str = "features") -> DataFrame:
-    """One row of metrics for each head, fitted on training rows and evaluated on validation rows."""
-    rows = df.cache()
+def run_grid(df: DataFrame, grid: dict[str, Head], label: str, evaluate: Callable[[DataFrame], DataFrame], split: str = "split", features: str = "features", weight: str | None = None) -> DataFrame:
+    """One row of metrics for each head, fitted on training rows and evaluated on validation rows.
+
+    All linear heads of the grid, whatever their C and weights, are fitted and scored in the same scans; forests and boosted heads one after the other.
+    """
+    rows = settle(df)
+    train, val = F.col(split) == "train", rows.where(F.col(split) == "val")
+    together = {name: h for name, h in grid.items() if h.kind == "logreg"}
+    scored = {}
+    if together:
+        models = linear.fit_many(rows, label, _specs(together, weight, train), features, max_scans=3 * max(h.max_iter for h in together.values()))
+        every = settle(linear.predict([models[name] for name in together], val, features, name="__p"))
+        for i, name in enumerate(together):
+            scored[name] = every.withColumn("p", _in_order(F.col("__p")[i], models[name].labels, ALL_LABELS)).drop("__p")
     out = None
     for name, head in grid.items():
-        model = fit(rows.where(F.col(split) == "train"), label, features, head)
-        scored = probabilities(model, rows.where(F.col(split) == "val"))
-        one = evaluate(scored.withColumn("pred_label", top_label(F.col("p"), ALL_LABELS))).withColumn("head", F.lit(name))
+        mine = scored[name] if name in scored else probabilities(fit(rows.where(train), label, features, head, weight), val)
+        one = evaluate(mine.withColumn("pred_label", top_label(F.col("p"), ALL_LABELS))).withColumn("head", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
 
