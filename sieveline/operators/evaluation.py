@@ -136,66 +136,6 @@ def capped_thresholds(curves: DataFrame, cap: float = AER_CAP) -> DataFrame:
     return fits.groupBy("pred").agg(best.alias("b")).select("pred", F.col("b.threshold").alias("threshold"), F.col("b.A").alias("A"), F.col("b.W").alias("W"))
 
 
-def pooled_thresholds(curves: DataFrame, n_rows: int, start: float, main: Sequence[str] = MAIN_SET, cap: float = AER_CAP, rounds: int = 6, prices: int = 15) -> dict[str, float]:
-    """Thresholds by label for the most right fills of all labels together, with the upper bound of their pooled error rate within the cap.
-
-    ``curves`` is settled. A price of a wrong fill makes labels independent: at a given price each takes the point of its curve with the most
-    right fills less the price of its wrong ones, or abstains. Some prices are tried at a time, to close in on the least one at which the pool is within the cap.
-    What room is left is then filled label by label, as long as that gains: a label takes the best point that the
-    other labels' fills leave within the cap. The same is done from ``start``, which has to be within the cap, and the better of both counts.
-    Every step is one aggregate over whole curves; a row for each label comes back.
-    """
-    import math
-
-    right = F.col("A") - F.col("W")
-    point = F.struct("threshold", "A", "W")
-
-    def best(scores: Sequence[Column], where: Column, labels: Sequence[str]) -> list[dict[str, tuple[float, int, int]]]:
-        """For each score, by label the point of the greatest, the lowest threshold of equal ones; abstention where none is above 0."""
-        picks = [c for i, s in enumerate(scores) for c in (F.max_by(point, F.struct(s.alias("s"), (-F.col("threshold")).alias("t"))).alias(f"p{i}"), F.max(s).alias(f"s{i}"))]
-        rows = curves.where(F.col("pred").isin(list(labels)) & where).groupBy("pred").agg(*picks).collect()
-        return [dict.fromkeys(labels, (math.inf, 0, 0)) | {r["pred"]: tuple(r[f"p{i}"]) for r in rows if r[f"s{i}"] > 0} for i in range(len(scores))]
-
-    def pool(points: dict) -> tuple[int, int]:
-        return sum(x[1] for x in points.values()), sum(x[2] for x in points.values())
-
-    def within(a: int, w: int) -> bool:
-        if not a:
-            return True
-        p = w / a
-        high = (p + 3.8416 / (2 * a) + 1.96 * math.sqrt((p * (1 - p) + 3.8416 / (4 * a)) / a)) / (1 + 3.8416 / a)
-        return min(1.0, high) <= cap
-
-    def filled(points: dict) -> dict:
-        gained = True
-        while gained:
-            gained = False
-            for c in main:
-                a, w = pool({x: points[x] for x in main if x != c})
-                fits = F.coalesce(wilson(F.col("W") + w, F.col("A") + a)[1] <= cap, F.lit(False))
-                new = best([right], fits, [c])[0][c]
-                if new[1] - new[2] > points[c][1] - points[c][2]:
-                    points, gained = points | {c: new}, True
-        return points
-
-    at_start = {r["pred"]: tuple(r["p"]) for r in curves.where(F.col("threshold") >= start).groupBy("pred").agg(F.min_by(point, "threshold").alias("p")).collect()}
-    at_start = {c: at_start.get(c, (math.inf, 0, 0)) for c in main}
-    if not pool(at_start)[0] or not within(*pool(at_start)):
-        raise ValueError("the starting threshold isn't within the cap")
-    low, high, priced = 0.0, 1.0, {c: (math.inf, 0, 0) for c in main}
-    # prices run from 0 to any, as x / (1 - x)
-    for _ in range(rounds):
-        at = [low + (high - low) * k / (prices + 1) for k in range(1, prices + 1)]
-        tried = best([right - F.col("W") * (x / (1 - x)) for x in at], F.lit(True), main)
-        fits = next((k for k, t in enumerate(tried) if within(*pool(t))), prices)
-        if fits < prices:
-            high, priced = at[fits], tried[fits]
-        low = at[fits - 1] if fits else low
-    gain = lambda points: pool(points)[0] - pool(points)[1]
-    found = max((filled(priced), filled(at_start)), key=gain)
-    return {c: start if found[c] == at_start[c] else found[c][0] for c in main}
-
-
 def classification_report(df: DataFrame, truth: str = "truth", pred: str = "pred_label", labels: Sequence[str] = ALL_LABELS) -> DataFrame:
     """precision, recall, f1 and support of each label in order; a share without a base is 0."""
     pairs = df.groupBy(F.col(truth).alias("t"), F.col(pred).alias("p")).agg(F.count("*").alias("n"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sieveline.functions import text as tx
 from sieveline.functions import vectors as vx
 from sieveline.operators import evaluation as ev
-from sieveline.operators import boosting, features, heads, joins, labelling, neighbours, profiling, reports, sampling, splitting
+from sieveline.operators import boosting, features, heads, joins, labelling, neighbours, profiling, reports, sampling, splitting, thresholds
 from sieveline.plans.frames import ITEMS_SQL, LABELS_SQL, SCORED_SQL, items, scored
 from sieveline.schemas import ABSTAIN, ALL_LABELS, MAIN_SET, VALID_STATUS
 from sieveline.sources import files
@@ -424,12 +424,29 @@ def per_class_threshold(spark, sf_dir):
     return ev.capped_thresholds(ev.class_curves(scored(spark, sf_dir)), 0.15)
 
 
+def _with_certificate(df: DataFrame, chosen: thresholds.Chosen) -> DataFrame:
+    """Business metrics at the chosen thresholds, with the certificate: no choice has more right fills than ``bound``."""
+    picked = df.withColumn("pred_label", ev.class_thresholds(F.col("pred_label"), F.col("confidence"), chosen.thresholds))
+    return ev.business_metrics(picked).withColumns({"bound": F.lit(chosen.bound).cast("long"), "gap": F.lit(chosen.gap).cast("long")})
+
+
 @query()
 def pooled_class_threshold(spark, sf_dir):
-    s = scored(spark, sf_dir)
-    tau = ev.pooled_thresholds(settle(ev.class_curves(s)), s.count(), 0.0, cap=0.15)
-    picked = s.withColumn("pred_label", ev.class_thresholds(F.col("pred_label"), F.col("confidence"), tau))
-    return ev.business_metrics(picked)
+    s = settle(scored(spark, sf_dir))
+    return _with_certificate(s, thresholds.best_thresholds(settle(ev.class_curves(s)), cap=0.15))
+
+
+@query(f"""WITH {SCORED_SQL}, g AS (SELECT unnest(range(0, 21)) AS i), label AS (SELECT unnest({LABELS_SQL}[1:5]) AS pred),
+pt AS (SELECT pred, i, count(*) FILTER (pred_label = pred AND confidence >= i / 20::DOUBLE) AS a, count(*) FILTER (pred_label = pred AND confidence >= i / 20::DOUBLE AND truth <> pred) AS w FROM label, g, scored GROUP BY ALL),
+{", ".join(f"c{k} AS (SELECT a, w FROM pt WHERE pred = {LABELS_SQL}[{k}] UNION SELECT 0, 0)" for k in range(1, 6))},
+total AS (SELECT c1.a + c2.a + c3.a + c4.a + c5.a AS a, c1.w + c2.w + c3.w + c4.w + c5.w AS w FROM c1, c2, c3, c4, c5),
+best AS (SELECT DISTINCT a, a - w AS c FROM total WHERE a = 0 OR {wilson_sql('w', 'a', 'hi')} <= 0.15 ORDER BY a - w DESC, w LIMIT 1),
+whole AS (SELECT (SELECT count(*) FROM scored) AS n, a, c FROM best)
+SELECT {business_sql()}, c::BIGINT AS bound, 0::BIGINT AS gap FROM whole""")
+def pooled_grid_threshold(spark, sf_dir):
+    """On a grid of 21 thresholds SQL replays all choices."""
+    s = settle(scored(spark, sf_dir))
+    return _with_certificate(s, thresholds.best_thresholds(thresholds.grid_curves(s, 21), cap=0.15))
 
 
 TAU_SQL = "CASE pred_label WHEN 'SLR' THEN 0.3::DOUBLE WHEN 'TLR' THEN 0.35::DOUBLE WHEN 'instant' THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END"

@@ -62,40 +62,6 @@ def test_sweeps_against_counting(spark):
         assert (r.A, r.W) == (len(mine), sum(t != p for t, p in mine))
 
 
-def test_pooled_thresholds_only_improve(spark):
-    rng = random.Random(9)
-    rows = []
-    for _ in range(400):
-        p, c = rng.choice(MAIN_SET[:3]), rng.random()
-        rows.append((p if rng.random() < 0.6 + 0.4 * c else "instant", p, c))
-    df = frame(spark, rows)
-    tau = ev.pooled_thresholds(ev.class_curves(df).cache(), len(rows), 0.9, cap=0.35)
-    start = ev.business_metrics(df.withColumn("pred_label", ev.with_abstention(F.col("pred_label"), F.col("confidence"), 0.9))).first()
-    best = ev.business_metrics(df.withColumn("pred_label", ev.class_thresholds(F.col("pred_label"), F.col("confidence"), tau))).first()
-    assert best.CAR >= start.CAR and best.AER_hi <= 0.35
-
-
-def test_pooled_thresholds_against_all_choices(spark):
-    """Within the cap, and no worse than the best of all choices by more than a row or two of a gap between hull points."""
-    rng = random.Random(11)
-    for cap in (0.3, 0.4):
-        rows = [(p if rng.random() < 0.5 + 0.5 * c else "instant", p, c) for p in MAIN_SET[:2] for c in (round(rng.random(), 2) for _ in range(60))]
-        df = frame(spark, rows)
-        right = lambda t: sum(a == p and c >= t[p] for a, p, c in rows)
-        filled = lambda t: sum(c >= t[p] for _, p, c in rows)
-
-        def allowed(t):
-            n, w = filled(t), filled(t) - right(t)
-            q = w / n if n else 0
-            return n > 0 and (q + 3.8416 / (2 * n) + 1.96 * ((q * (1 - q) + 3.8416 / (4 * n)) / n) ** 0.5) / (1 + 3.8416 / n) <= cap
-
-        grid = sorted({c for *_, c in rows}) + [2.0]
-        start = next(c for c in grid if allowed(dict.fromkeys(MAIN_SET[:2], c)))
-        tau = ev.pooled_thresholds(ev.class_curves(df).cache(), len(rows), start, MAIN_SET[:2], cap)
-        best = max(right(t) for a in grid for b in grid if allowed(t := dict(zip(MAIN_SET, (a, b)))))
-        assert allowed(tau) and best - 2 <= right(tau) <= best
-
-
 def test_ece_edges(spark):
     confs = [0.0, 0.1, 0.3, 0.1 + 0.2, 1.0, None, 1.5]
     rows = [("SLR" if i % 2 else "TLR", "SLR", c) for i, c in enumerate(confs)]
