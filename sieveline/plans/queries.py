@@ -14,7 +14,7 @@ from sieveline.operators import evaluation as ev
 from sieveline.operators import boosting, features, heads, joins, labelling, neighbours, profiling, reports, sampling, splitting, thresholds
 from sieveline.plans.frames import ITEMS_SQL, LABELS_SQL, SCORED_SQL, items, scored
 from sieveline.schemas import ABSTAIN, ALL_LABELS, MAIN_SET, VALID_STATUS
-from sieveline.sources import files
+from sieveline.sources import buckets, files
 from sieveline.storage import read, settle, shared_dir
 from sieveline.streaming import alerts, monitor
 
@@ -943,6 +943,19 @@ def upsert_rows(spark, sf_dir):
     return sampling.upsert(e, e.where("event_id % 6 = 0").withColumn("event_type", F.lit("new")), "event_id")
 
 
+@query(SQL["upsert_rows"])
+def upsert_buckets(spark, sf_dir):
+    """The same edit of a table in buckets, of which only those with an edited key are written again; then one cell, and back."""
+    e, path = read(spark, sf_dir, "events").select("event_id", "event_type"), f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    buckets.create(e, path, "event_id", 16)
+    buckets.upsert(e.where("event_id % 6 = 0").withColumn("event_type", F.lit("new")), path)
+    first = e.agg(F.min("event_id")).first()[0]
+    was = buckets.read(spark, path).where(F.col("event_id") == first).first()["event_type"]
+    buckets.edit(spark, path, first, {"event_type": "other"})
+    buckets.edit(spark, path, first, {"event_type": was})
+    return buckets.read(spark, path)
+
+
 @query("SELECT doc_id, CASE lang WHEN 'en' THEN 2.0 WHEN 'fr' THEN 0.5 ELSE 1.0 END::DOUBLE AS weight FROM documents")
 def lookup_default(spark, sf_dir):
     table = spark.createDataFrame([("en", 2.0), ("fr", 0.5)], "key string, value double")

@@ -170,7 +170,7 @@ def test_images(spark, tmp_path):
     got = files.images(spark, str(tmp_path))
     items = spark.createDataFrame([(5,), (1005,), (7,)], "image_id long")
     assert {r.image_id: r.image_error for r in files.with_images(items, got).collect()} == {5: None, 1005: None, 7: "image_not_found"}
-    vectors = calls.embed(got, lambda xs: [[len(x), 1.0] for x in xs], 2)
+    vectors = calls.embed(got, {"embedding": (lambda: lambda xs: [[len(x), 1.0] for x in xs], 2)})
     assert {r.image_id: list(r.embedding) for r in vectors.collect()} == {5: [4.0, 1.0], 1005: [7.0, 1.0]}
 
 
