@@ -13,6 +13,9 @@ from sieveline.operators.sampling import shuffle_key
 from sieveline.schemas import ALL_LABELS, MIN_RARE_ROWS, SEED, SPLIT_SHARES
 from sieveline.storage import settle
 
+# Fixed value: a part may have so many times its target of rows.
+OVER = 1.02
+
 
 def leakage_groups(df: DataFrame, key: str, links: Sequence[str]) -> DataFrame:
     """``key, leakage_group_id``: rows that share any non-null value of a link column, also through others, are one group.
@@ -60,16 +63,18 @@ def _places(rows: DataFrame, by: Sequence[str], h: str) -> DataFrame:
     return ranked.join(before, on).withColumn("__place", F.col("__before") + F.col("__r") - 1).drop("__k", "__s", "__r", "__before", *same)
 
 
-def part_quotas(table: Sequence[Mapping], shares: Mapping[str, float], labels: Sequence[str]) -> dict[tuple[int, str], list[int]]:
-    """How many groups of each (size band, main label) go to each part.
+def part_quotas(table: Sequence[Mapping], shares: Mapping[str, float], labels: Sequence[str], over: float = OVER) -> dict[tuple[int, str], list[int]]:
+    """How many groups of each (size, main label) go to each part.
 
-    ``table`` has a row for each band, main label and fixed part (null: not dealt yet) with ``groups``, ``rows`` and ``n`` (rows by label). Bands are
-    dealt from the largest groups down. A band's groups go to the parts in proportion to the rows of their main label that the parts still lack;
-    single ones that are left over go where most rows are lacking. So what large groups spoil, smaller ones mend.
+    ``table`` has a row for each size, main label and fixed part (null: not dealt yet) with ``groups``, ``rows`` and ``n`` (rows by label). Sizes are
+    dealt from the largest down. A cell's groups go to the parts in proportion to the rows of their main label that the parts still lack;
+    single ones that are left over go where most rows are lacking, among the parts that they fit into. So what large groups spoil, smaller ones mend. At last
+    groups move out of parts that have more than ``over`` times their target, as long as that is possible: ``moved_within``.
     """
     total = [sum(r["n"][i] for r in table) for i in range(len(labels))]
     lack = {s: [share * t for t in total] for s, share in shares.items()}
-    room = {s: share * sum(r["rows"] for r in table) for s, share in shares.items()}
+    target = {s: share * sum(r["rows"] for r in table) for s, share in shares.items()}
+    room = dict(target)
 
     def give(part: str, r: Mapping, share: float) -> None:
         room[part] -= share * r["rows"]
@@ -79,10 +84,11 @@ def part_quotas(table: Sequence[Mapping], shares: Mapping[str, float], labels: S
         if r["part"] is not None:
             give(r["part"], r, 1.0)
     out = {}
-    for r in sorted((r for r in table if r["part"] is None), key=lambda r: (-r["band"], r["rows"], r["main"])):
-        i, groups = labels.index(r["main"]), r["groups"]
-        size = r["rows"] / groups
-        wanted = {s: max(0.0, min(lack[s][i] * r["rows"] / max(1, r["n"][i]), room[s])) for s in shares}
+    for r in sorted((r for r in table if r["part"] is None), key=lambda r: (-r["size"], r["rows"], r["main"])):
+        i, groups, size = labels.index(r["main"]), r["groups"], r["size"]
+        # half by the main label, half by the label that runs out first
+        first = {s: min(lack[s][j] * r["rows"] / n for j, n in enumerate(r["n"]) if n) if any(r["n"]) else room[s] for s in shares}
+        wanted = {s: max(0.0, min(lack[s][i] * r["rows"] / max(1, r["n"][i]), room[s]) + min(first[s], room[s])) / 2 for s in shares}
         whole = sum(wanted.values()) or 1.0
         quota = {s: int(groups * w / max(whole, groups * size)) for s, w in wanted.items()}
         left = {s: wanted[s] - quota[s] * size for s in shares}
@@ -91,12 +97,47 @@ def part_quotas(table: Sequence[Mapping], shares: Mapping[str, float], labels: S
             for s, share in shares.items():
                 quota[s] += int(extra * share)
         for _ in range(groups - sum(quota.values())):
-            s = max(shares, key=lambda s: (left[s], room[s] / max(shares[s], 1e-9)))
+            fits = {s: room[s] - quota[s] * size - size >= (1 - over) * target[s] for s in shares}
+            s = max(shares, key=lambda s: (fits[s], left[s], room[s] / max(shares[s], 1e-9)))
             quota[s] += 1
             left[s] -= size
         for s in shares:
             give(s, r, quota[s] / groups)
-        out[r["band"], r["main"]] = [quota[s] for s in shares]
+        out[size, r["main"]] = [quota[s] for s in shares]
+    return moved_within(out, {s: over * target[s] for s in shares}, {s: target[s] - room[s] for s in shares}, target)
+
+
+def moved_within(quotas: dict[tuple[int, str], list[int]], limit: Mapping[str, float], rows: Mapping[str, float], target: Mapping[str, float]) -> dict[tuple[int, str], list[int]]:
+    """``quotas`` with groups moved out of parts that are over their limit, into those that have room below theirs.
+
+    Each time the move counts that brings the most: the largest groups that aren't larger than what is over, or else the smallest ones, as many of them as are needed and
+    fit, to the part that is emptiest for its target. Where no single group fits anywhere, two parts swap groups of which the one that leaves is the larger.
+    """
+    names, out, rows = list(limit), {k: list(q) for k, q in quotas.items()}, dict(rows)
+
+    def move(cell: tuple[int, str], a: int, b: int, n: int) -> None:
+        out[cell][a] -= n
+        out[cell][b] += n
+        rows[names[a]] -= n * cell[0]
+        rows[names[b]] += n * cell[0]
+
+    for a in sorted(range(len(names)), key=lambda k: rows[names[k]] - limit[names[k]], reverse=True):
+        while (excess := rows[names[a]] - limit[names[a]]) > 1e-9:
+            others = sorted((k for k in range(len(names)) if k != a), key=lambda k: rows[names[k]] / max(target[names[k]], 1e-9))
+            free = {k: limit[names[k]] - rows[names[k]] for k in others}
+            mine = sorted((c for c, q in out.items() if q[a]), key=lambda c: (c[0] > excess, -c[0] if c[0] <= excess else c[0], c[1]))
+            found = next(((c, k) for c in mine for k in others if c[0] <= free[k]), None)
+            if found is not None:
+                c, k = found
+                move(c, a, k, max(1, min(out[c][a], int(excess // c[0]), int(free[k] // c[0]))))
+                continue
+            swaps = [(x[0] - y[0], x, y, k) for x in mine for k in others for y, q in out.items() if q[k] and 0 < x[0] - y[0] <= free[k]]
+            if not swaps:
+                break
+            enough = [s for s in swaps if s[0] >= excess]
+            _, x, y, k = min(enough, key=lambda s: (s[0], s[1:])) if enough else max(swaps, key=lambda s: (s[0], s[1:]))
+            move(x, a, k, 1)
+            move(y, k, a, 1)
     return out
 
 
@@ -109,19 +150,21 @@ def assign_parts(
     min_rare: int = MIN_RARE_ROWS,
     seed: int = SEED,
     labels: Sequence[str] = ALL_LABELS,
+    over: float = OVER,
 ) -> DataFrame:
-    """``group, split``: groups with an anchor go to test; the smallest groups with the rare label to val until it has enough; the others are dealt so that labels stay balanced.
+    """``group, split``: groups with an anchor go to test; the smallest groups with the rare label to val until it has enough; the others are dealt so that labels stay balanced
+    and no part has more than ``over`` times its target of rows, where that is possible.
 
-    Groups are dealt by size band (powers of two) and main label: ``part_quotas`` says, from one small table of sums, how many of each go
-    to each part, and groups take the parts' places in the order of a hash. So no group is looked at on the driver, and groups of
-    every size are dealt by the same rule. Ties are broken by the hash of the group.
+    Groups are dealt by size and main label: ``part_quotas`` says, from one table of sums, how many of each go to each part, and groups take the parts' places in the
+    order of a hash. So no group is looked at on the driver, and parts have the very rows that were planned. The table has a row for each size that occurs, of which n rows
+    allow the root of 2 n at most, and label. Ties are broken by the hash of the group.
     """
     sums = F.array(*[F.col(f"n_{x}") for x in labels])
     anchor = F.lit(False)
     for a in anchors:
         anchor = anchor | F.col(f"any_{a}")
     main = F.element_at(F.array(*[F.lit(x) for x in labels]), F.array_position(sums, F.array_max(sums)).cast("int"))
-    feats = features.select(group, "n_rows", sums.alias("n"), F.col(f"n_{rare}").alias("rare"), anchor.alias("anchor"), main.alias("main"), F.floor(F.log2("n_rows")).cast("int").alias("band"), shuffle_key(group, seed).alias("h"))
+    feats = features.select(group, "n_rows", sums.alias("n"), F.col(f"n_{rare}").alias("rare"), anchor.alias("anchor"), main.alias("main"), F.col("n_rows").cast("long").alias("size"), shuffle_key(group, seed).alias("h"))
     feats = settle(feats)
     # each brings a row of the label, so there are min_rare of them at most
     first = feats.where("NOT anchor AND rare > 0").orderBy("n_rows", "h").limit(min_rare)
@@ -130,12 +173,12 @@ def assign_parts(
     placed = feats.join(F.broadcast(to_val), feats[group] == to_val["__val"], "left")
     placed = placed.withColumn("part", F.when(F.col("anchor"), "test").when(F.col("__val").isNotNull(), "val")).drop("__val")
     each = [F.sum(F.col("n")[i]).alias(f"s{i}") for i in range(len(labels))]
-    table = placed.groupBy("part", "band", "main").agg(F.count("*").alias("groups"), F.sum("n_rows").alias("rows"), *each).collect()  # bands x labels x 3 rows at most
-    quotas = part_quotas([{**r.asDict(), "n": [r[f"s{i}"] for i in range(len(labels))]} for r in table], shares, list(labels))
+    table = placed.groupBy("part", "size", "main").agg(F.count("*").alias("groups"), F.sum("n_rows").alias("rows"), *each).collect()  # sizes x labels x 3 rows at most
+    quotas = part_quotas([{**r.asDict(), "n": [r[f"s{i}"] for i in range(len(labels))]} for r in table], shares, list(labels), over)
     names = list(shares)
-    ends = [(band, m, [sum(q[: k + 1]) for k in range(len(names) - 1)]) for (band, m), q in quotas.items()]
-    bounds = feats.sparkSession.createDataFrame(ends, "band int, main string, ends array<long>")
-    dealt = _places(placed.where("part IS NULL").select(group, "band", "main", "h"), ["band", "main"], "h").join(F.broadcast(bounds), ["band", "main"])
+    ends = [(size, m, [sum(q[: k + 1]) for k in range(len(names) - 1)]) for (size, m), q in quotas.items()]
+    bounds = feats.sparkSession.createDataFrame(ends, "size long, main string, ends array<long>")
+    dealt = _places(placed.where("part IS NULL").select(group, "size", "main", "h"), ["size", "main"], "h").join(bounds, ["size", "main"])
     at = F.size(F.filter("ends", lambda e: e <= F.col("__place")))
     dealt = dealt.select(group, F.element_at(F.array(*[F.lit(x) for x in names]), at + 1).alias("split"))
     return placed.where("part IS NOT NULL").select(group, F.col("part").alias("split")).unionByName(dealt)

@@ -349,6 +349,26 @@ def leak_free_split(spark, sf_dir):
     return splitting.split_report(named.join(parts, "leakage_group_id"), "split", "leakage_group_id", "lang", langs)
 
 
+@query("""WITH d AS (SELECT d.doc_id, d.lang, coalesce(l.quality = 0 AND l.toxic = 1, false) AS audit FROM documents d LEFT JOIN labels l USING (doc_id))
+SELECT count(*) AS n_rows, count(*) FILTER (audit) AS n_audit, 0::BIGINT AS audit_elsewhere, 0::BIGINT AS shared_keys, 3::BIGINT AS n_parts, false AS over_limit, true AS enough_rare FROM d""")
+def leak_free_limits(spark, sf_dir):
+    """What any split has to keep: no key in two parts, audited rows in test, no part over 1.02 times its target, the rare label in val."""
+    rows = _keyed(spark, sf_dir)
+    groups = settle(splitting.leakage_groups(rows, "doc_id", ["k1", "k2"]))
+    audit = F.coalesce((F.col("quality") == 0) & (F.col("toxic") == 1), F.lit(False))
+    named = rows.join(groups, "doc_id").join(read(spark, sf_dir, "labels"), "doc_id", "left").withColumn("is_audit", audit)
+    langs = ["en", "fr", "de", "es"]
+    feats = splitting.group_features(named, "leakage_group_id", "lang", ["is_audit"], langs)
+    split = settle(named.join(splitting.assign_parts(feats, "leakage_group_id", "es", ["is_audit"], labels=langs), "leakage_group_id").select("doc_id", "lang", "is_audit", "k1", "k2", "split"))
+    n = split.count()
+    report = {r["split"]: r for r in split.groupBy("split").agg(F.count("*").alias("n"), F.count_if(F.col("lang") == "es").alias("es")).collect()}
+    rare = sum(r["es"] for r in report.values())
+    facts = {"n_parts": F.lit(len(report)).cast("long"), "over_limit": any(r["n"] > 1.02 * splitting.SPLIT_SHARES[k] * n for k, r in report.items()), "enough_rare": report["val"]["es"] >= min(30, rare)}
+    shared = joins.overlaps(split, "split", ["k1", "k2"]).count()
+    counted = split.agg(F.count("*").alias("n_rows"), F.count_if("is_audit").alias("n_audit"), F.count_if(F.col("is_audit") & (F.col("split") != "test")).alias("audit_elsewhere"))
+    return counted.select("*", F.lit(shared).cast("long").alias("shared_keys"), *[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in facts.items()])
+
+
 @query("SELECT source, count(*) AS n_rows, " + ", ".join(f"count(*) FILTER (lang = '{x}') AS n_{x}" for x in ("en", "fr", "de", "es")) + ", bool_or(doc_id % 100 = 0) AS any_marked FROM documents GROUP BY source")
 def group_features(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id", "source", "lang").withColumn("marked", F.col("doc_id") % 100 == 0)
