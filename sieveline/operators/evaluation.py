@@ -312,7 +312,7 @@ def decide(label: Column, confidence: Column, tau: float) -> Column:
     """(value, decision, reason) for one prediction."""
     out = (confidence < tau) | (label == ABSTAIN)
     pick = lambda a, b: F.when(F.coalesce(out, F.lit(True)), F.lit(a)).otherwise(b)
-    return F.struct(pick(ABSTAIN, label).alias("value"), pick("abstain", F.lit("auto_fill")).alias("decision"), pick("below_threshold_or_other", F.lit("argmax")).alias("reason"))
+    return F.struct(pick(ABSTAIN, label).alias("value"), pick("abstain", F.lit("auto_fill")).alias("decision"), pick("model_abstained", F.lit("model_argmax")).alias("reason"))
 
 
 def route(photo: Column, url: Column) -> Column:

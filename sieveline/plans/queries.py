@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from sieveline.functions import text as tx
 from sieveline.functions import vectors as vx
 from sieveline.operators import evaluation as ev
-from sieveline.operators import boosting, features, heads, joins, labelling, neighbours, profiling, reports, sampling, splitting, thresholds
+from sieveline.operators import boosting, bundle, features, heads, joins, labelling, neighbours, profiling, reports, sampling, splitting, thresholds
 from sieveline.plans.frames import ITEMS_SQL, LABELS_SQL, SCORED_SQL, items, scored
 from sieveline.schemas import ABSTAIN, ALL_LABELS, MAIN_SET, VALID_STATUS
 from sieveline.sources import buckets, files
 from sieveline.storage import read, settle, shared_dir
-from sieveline.streaming import alerts, monitor
+from sieveline.streaming import alerts, monitor, sketch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -591,8 +591,8 @@ def contract_check(spark, sf_dir):
     return ev.contract_violations(spoilt)
 
 
-@query(f"""WITH {SCORED_SQL}, d AS (SELECT item_id, confidence < 0.3::DOUBLE OR pred_label = '{ABSTAIN}' AS out, pred_label, confidence FROM scored), v AS (SELECT CASE WHEN out THEN 'abstain' ELSE 'auto_fill' END AS decision, CASE WHEN out THEN 'below_threshold_or_other' ELSE 'argmax' END AS reason, confidence FROM d)
-SELECT decision, reason, count(*) AS n, count(*) FILTER (reason = 'argmax') AS n_scored, round(sum(confidence) FILTER (reason = 'argmax'), 6) AS sum_confidence FROM v GROUP BY ALL""")
+@query(f"""WITH {SCORED_SQL}, d AS (SELECT item_id, confidence < 0.3::DOUBLE OR pred_label = '{ABSTAIN}' AS out, pred_label, confidence FROM scored), v AS (SELECT CASE WHEN out THEN 'abstain' ELSE 'auto_fill' END AS decision, CASE WHEN out THEN 'model_abstained' ELSE 'model_argmax' END AS reason, confidence FROM d)
+SELECT decision, reason, count(*) AS n, count(*) FILTER (reason = 'model_argmax') AS n_scored, round(sum(confidence) FILTER (reason = 'model_argmax'), 6) AS sum_confidence FROM v GROUP BY ALL""")
 def decision_log(spark, sf_dir):
     s = scored(spark, sf_dir)
     log = s.select(ev.decide(F.col("pred_label"), F.col("confidence"), 0.3).alias("d"), "confidence").select("d.*", "confidence")
@@ -746,6 +746,18 @@ def exact_quantiles(spark, sf_dir):
     return monitor.exact_quantiles(read(spark, sf_dir, "events"), "1 day", {"p10": 0.1, "p90": 0.9, "p99": 0.99})
 
 
+SKETCH = 0.02
+
+
+@query(f"""WITH b AS (SELECT {_minutes(1440)} AS window_start, CASE WHEN value > 0 THEN 1 WHEN value < 0 THEN -1 ELSE 0 END AS s, CASE WHEN value <> 0 THEN ceil(ln(abs(value)) / ln({(1 + SKETCH) / (1 - SKETCH)}::DOUBLE))::INT ELSE 0 END AS b FROM events),
+c AS (SELECT window_start, s, b, count(*) AS n FROM b GROUP BY ALL), r AS (SELECT window_start, s * 2 * pow({(1 + SKETCH) / (1 - SKETCH)}::DOUBLE, b) / {(1 + SKETCH) / (1 - SKETCH) + 1}::DOUBLE AS x, sum(n) OVER (PARTITION BY window_start ORDER BY s, s * b) AS upto, sum(n) OVER (PARTITION BY window_start) AS n FROM c)
+SELECT window_start, {", ".join(f"round(arg_min(x, upto) FILTER (upto > floor({q}::DOUBLE * (n - 1))) + (arg_min(x, upto) FILTER (upto > ceil({q}::DOUBLE * (n - 1))) - arg_min(x, upto) FILTER (upto > floor({q}::DOUBLE * (n - 1)))) * any_value({q}::DOUBLE * (n - 1) - floor({q}::DOUBLE * (n - 1))), 6) AS {k}" for k, q in (("p10", 0.1), ("p90", 0.9), ("p99", 0.99)))} FROM r GROUP BY window_start""")
+def sketch_quantiles(spark, sf_dir):
+    """Quantiles of days from the merged sketches of their hours."""
+    hours = sketch.sketch(read(spark, sf_dir, "events"), "1 hour", SKETCH)
+    return sketch.quantiles(sketch.merged(hours, "1 day"), {"p10": 0.1, "p90": 0.9, "p99": 0.99}, SKETCH)
+
+
 EDGES = [5.0, 10.0, 25.0, 50.0, 100.0]
 
 
@@ -852,6 +864,24 @@ def _block(spark, sf_dir) -> DataFrame:
     return settle(features.assembler(["embedding_block"]).transform(features.with_block(e, e, "embedding", 64)).drop("embedding", "embedding_block"))
 
 
+@query(f"""{NGRAM_SQL.replace('FROM benchmark)', "FROM benchmark WHERE item_id % 5 <> 0)").replace('AS n FROM benchmark WHERE item_id % 5 <> 0)', 'AS n FROM benchmark)')}
+SELECT (SELECT count(*) FROM benchmark JOIN embeddings ON vec_id = item_id) AS n_scored, ((SELECT count(*) FROM v) + 64)::BIGINT AS width, true AS as_saved, true AS sums_to_one, true AS abstains_for_other""")
+def bundle_inference(spark, sf_dir):
+    """A bundle fitted on texts and embeddings, with validation rows folded in and tau frozen, saved, loaded, and asked row by row."""
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding", F.element_at(F.array(*[F.lit(x) for x in ALL_LABELS]), (F.pmod("label", F.lit(6)) + 1).cast("int")).alias("truth"))
+    rows = settle(read(spark, sf_dir, "benchmark").select("item_id", F.lit(None).cast("string").alias("title"), F.col("text").alias("description")).join(e, "item_id"))
+    split = heads.refit_rows(F.when(F.col("item_id") % 5 == 0, "test").when(F.col("item_id") % 5 == 1, "val").otherwise("train"))
+    made = bundle.fit(rows.where(split == "train"), "truth", "item_id", [bundle.Block("embedding", 64)], tau=0.3)
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    bundle.save(made, spark, path)
+    loaded = bundle.load(spark, path)
+    answers = settle(bundle.score(rows, loaded, "item_id"))
+    other = F.col("confidence") - F.col("again.confidence")
+    same = answers.join(bundle.score(rows, made, "item_id").select("item_id", F.struct("value", "confidence").alias("again")), "item_id").agg(F.bool_and((F.col("value") == F.col("again.value")) & (F.abs(other) < 1e-12))).first()[0]
+    total = F.aggregate(F.map_values("probabilities"), F.lit(0.0), lambda a, x: a + x)
+    return answers.agg(F.count("*").alias("n_scored"), F.bool_and(F.abs(total - 1) < 1e-9).alias("sums_to_one"), F.bool_and((F.col("decision") == "abstain") == (F.col("value") == ABSTAIN)).alias("abstains_for_other")).withColumns({"width": F.lit(loaded.width).cast("long"), "as_saved": F.lit(same)})
+
+
 @query()
 def fit_logreg(spark, sf_dir):
     rows = _block(spark, sf_dir)

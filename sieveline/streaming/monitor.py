@@ -96,5 +96,5 @@ def write_rates(events: DataFrame, path: str, checkpoint: str, width: str = "5 m
 
 def response_log(responses: DataFrame) -> DataFrame:
     """Counters of responses by decision and reason; confidence counts only where the model ran."""
-    ran = F.col("reason") == "argmax"
+    ran = F.col("reason") == "model_argmax"
     return responses.groupBy("decision", "reason").agg(F.count("*").alias("n"), F.count_if(ran).alias("n_scored"), F.round(F.sum(F.when(ran, F.col("confidence"))), 9).alias("sum_confidence"))
