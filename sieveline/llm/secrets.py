@@ -1,6 +1,6 @@
 """Secret scans with a token-efficiency test.
 
-A BPE vocabulary spells ordinary words with few tokens and random strings with many. A run of characters that a key
+BPE vocabularies spell ordinary words with few tokens and random strings with many. A run of characters that a key
 could consist of is reported as ``random`` if it, or a part of it, has few characters for each token, unless it is a digest of known
 length, a UUID or a number that isn't the value of a secret's name. Patterns find what keys look like whatever their tokens.
 """
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -17,16 +18,19 @@ from pyspark.sql import functions as F
 from sieveline.llm.common import per_batch, sha, span_text, texts
 
 KINDS = ["assign", "access", "hex", "random"]
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: A run has to be spelt badly by all of them: words of one language are spelt with many tokens by a vocabulary of another.
+VOCABULARIES = ("/opt/tokenizers/byte_bpe_50k.tiktoken", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 #: Fixed value: how GPT-2's vocabulary parts text before merging, without its look-ahead.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-#: Runs of what keys are made of.
+#: What a secret is given to: the names of assign and some more, with what follows them.
+_NAMED = re.compile(r"""(?:passw(?:or)?d|secret|token|api_?key|private_?key|access_?key|credential|auth(?![a-z]))[\w-]{0,32}["']?\s{0,4}(?::=|=>|[:=])\s{0,4}["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+#: Runs of what keys are made of. Letters of other alphabets that have two cases belong to a run, so that words aren't cut at them.
 LEAST = 16
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+_RUN = re.compile("[A-Za-z0-9+/_=\u00aa-\u024f\u0370-\u052f\u1e00-\u1fff-]{%d,}" % LEAST)
 _SEPARATOR = re.compile("[/_=+-]+")
 _DIGIT = re.compile("[0-9]")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}")
@@ -73,7 +77,8 @@ def is_random(run: str, encode, test: Test, named: bool = False) -> bool:
 
     ``named``: the run is the value of a secret's name, so what looks like a digest or an identifier isn't taken for one.
 
-    Parts put together say what short ones are made of: names in a path stay words, groups of a random key don't.
+    Parts put together say what short ones are made of: names in a path stay words, groups of a random key don't. What has a letter of another
+    alphabet is a word.
     """
     if known(run) and not named:
         return False
@@ -84,7 +89,7 @@ def is_random(run: str, encode, test: Test, named: bool = False) -> bool:
     # separators are tokens of their own, so a run counts with them only if letters and digits are mixed in it
     mixed = len(parts) == len(every) and sum(a.isdigit() != b.isdigit() for a, b in zip(run, run[1:])) >= 3
     for s in {*parts, together, *([run] if mixed else [])}:
-        if len(s) >= LEAST and not (s.isdigit() if named else known(s)):
+        if len(s) >= LEAST and s.isascii() and not (s.isdigit() if named else known(s)):
             limit = test.max_ratio if _DIGIT.search(s) else test.max_ratio_letters
             # a last window that is too short to tell goes with the one before
             starts = range(0, max(1, len(s) - LEAST + 1), test.window)
@@ -97,37 +102,43 @@ def is_random(run: str, encode, test: Test, named: bool = False) -> bool:
 
 def random_spans(text: str, encode, test: Test) -> list[tuple[str, int, int]]:
     runs = list(_RUN.finditer(text))
-    values = {m.end(2) for m in _ASSIGN.finditer(text)} if runs and (":" in text or "=" in text) else ()
-    # the value of a secret's name may also have full stops, and the run may begin before it
-    return [("random", *m.span()) for m in runs if is_random(m[0], encode, test, m.end() in values)]
+    values = [m.span(1) for m in _NAMED.finditer(text)] if runs and (":" in text or "=" in text) else []
+    # a value may end in a full stop that isn't part of the run, and the run may begin with the name
+    named = lambda m: any(a < m.end() and m.start() < b for a, b in values)
+    return [("random", *m.span()) for m in runs if is_random(m[0], encode, test, bool(values) and named(m))]
 
 
-def read_vocabulary(path: str = VOCABULARY) -> bytes:
+def read_vocabulary(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
 
 
-def encoder(vocabulary: bytes):
+def encoder(*vocabularies: bytes):
+    """A function that spells a string with the vocabulary that needs the fewest tokens for it."""
     import tiktoken
 
-    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line)}
-    return tiktoken.Encoding("scan", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    def one(vocabulary: bytes):
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line)}
+        return tiktoken.Encoding("scan", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+    each = [one(v) for v in vocabularies]
+    return each[0] if len(each) == 1 else lambda s: min((e(s) for e in each), key=len)
 
-def scan(docs: DataFrame, vocabulary: str = VOCABULARY, test: Test = Test(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def scan(docs: DataFrame, vocabularies: Sequence[str] = VOCABULARIES, test: Test = Test(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans`` for each row of ``docs``.
 
     Defined cases: a null text is empty; texts of any length are searched whole, long runs window by window; rows with a null id and repeated
     rows are scanned as they stand; a ratio equal to its limit passes; other columns aren't looked at, whatever their names; an empty table gives an
-    empty result. The vocabulary is read once,
-    on the driver, and sent to the workers: a file of under 2 MB.
+    empty result. The vocabularies are read once,
+    on the driver, and sent to the workers: files of under 2 MB.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+    shared = docs.sparkSession.sparkContext.broadcast([read_vocabulary(v) for v in vocabularies])
     made: list = []
 
     def run(batch):
         if not made:
-            made.append(encoder(shared.value))
+            made.append(encoder(*shared.value))
         out: list[list] = [[] for _ in range(6)]
         for text in texts(batch, "text"):
             base = base_spans(text)

@@ -157,7 +157,7 @@ def test_an_entity_that_occurs_once(spark):
 
 
 def test_digests_behind_a_secrets_name():
-    encode, test = secrets.encoder(secrets.read_vocabulary()), secrets.Test()
+    encode, test = secrets.encoder(*map(secrets.read_vocabulary, secrets.VOCABULARIES)), secrets.Test()
     digest = hashlib.sha1(b"key").hexdigest()
     assert secrets.random_spans(f"commit {digest}", encode, test) == []
     assert secrets.random_spans(f"api_key = {digest}", encode, test) == [("random", 10, 50)]
@@ -199,7 +199,7 @@ def test_token_efficiency(spark):
 def test_keys_without_digits_and_in_paths():
     rng = random.Random(11)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
-    encode, test = secrets.encoder(secrets.read_vocabulary()), secrets.Test()
+    encode, test = secrets.encoder(*map(secrets.read_vocabulary, secrets.VOCABULARIES)), secrets.Test()
     found = lambda keys: sum(len(secrets.random_spans(f"here {k} there", encode, test)) == 1 for k in keys)
     make = lambda alphabet, n: ["".join(rng.choice(alphabet) for _ in range(n)) for _ in range(300)]
     for n in (16, 20, 24, 40):
@@ -208,3 +208,32 @@ def test_keys_without_digits_and_in_paths():
     assert found("word" * 100 + k + "word" * 100 for k in make(letters, 300)) >= 295
     harmless = ["services/production/config/database/password", "getElementsByTagNameNS", "Donaudampfschifffahrtsgesellschaft", "2024-01-02T03-04-05Z", "user_2024_report_final", "----------------------", hashlib.sha1(b"x").hexdigest(), f"files/{hashlib.md5(b'y').hexdigest()}/index"]
     assert found(harmless) == 0
+
+
+def test_values_with_a_full_stop_and_other_names():
+    encode, test = secrets.encoder(*map(secrets.read_vocabulary, secrets.VOCABULARIES)), secrets.Test()
+    digest = hashlib.sha1(b"x").hexdigest()
+    for text in (f"token = {digest}.", f"SECRET_KEY={digest}, and", f"client_secret := '{digest}'", f"auth: {digest}.", f'"access_key" => "{digest}"'):
+        assert [text[a:b] for _, a, b in secrets.random_spans(text, encode, test)] in ([digest], [f"SECRET_KEY={digest}"]), text
+    for text in (f"commit {digest}.", f"author {digest}", f"sha1: {digest}", f"authority: {digest}"):
+        assert secrets.random_spans(text, encode, test) == [], text
+    assert secrets.random_spans("Tłumaczenie-Rozporządzenia żółćżółćżółćżółć Ελληνικάγράμματα", encode, test) == []
+
+
+def test_false_spans_over_a_table_and_recall():
+    """Of the words of all test texts at most ten spans are taken for random; of planted keys of each alphabet at least 95 %."""
+    import random
+    import string
+
+    import pyarrow.parquet as pq
+
+    encode, test = secrets.encoder(*map(secrets.read_vocabulary, secrets.VOCABULARIES)), secrets.Test()
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()
+    found = [x[a:b] for x in texts if x for _, a, b in secrets.random_spans(x, encode, test)]
+    planted = [f for f in found if len(f) == 40 and set(f.lower()) <= set("0123456789abcdef")]
+    assert len(planted) > 100 and len(found) - len(planted) <= 10, sorted(set(found) - set(planted))
+    rnd = random.Random(6)
+    for letters in (string.ascii_letters + string.digits, string.ascii_uppercase + "234567", string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters):
+        for n in (16, 24, 40):
+            keys = ["".join(rnd.choice(letters) for _ in range(n)) for _ in range(300)]
+            assert sum(len(secrets.random_spans(f"so {k}, it", encode, test)) == 1 for k in keys) >= 0.95 * len(keys), (letters, n)
