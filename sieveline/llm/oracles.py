@@ -30,10 +30,13 @@ WITH d AS (
   SELECT r, sum(x) / sum(n) AS m, sum(x * x / n) / sum(n) AS m2 FROM long GROUP BY r
 ), prior AS (
   SELECT r, m, greatest(1.0, m * (1 - m) / greatest(m2 - m * m, 1e-9) - 1) AS weight FROM mean
+), shrunk AS (
+  SELECT source, r, (x + m * weight) / (n + weight) AS rate FROM long JOIN prior USING (r)
 ), verdict AS (
-  SELECT source, bool_or((x + m * weight) / (n + weight) > 0.6) AS bad FROM long JOIN prior USING (r) GROUP BY source
+  SELECT source, bool_or(rate > 0.6) AS bad, {", ".join(f"max(rate) FILTER (r = {i}) AS rate{i}" for i in range(1, 5))} FROM shrunk GROUP BY source
 )
-SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (r1 OR r2) AS base_failed, NOT (r1 OR r2) AND NOT verdict.bad AS kept
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (r1 OR r2) AS base_failed, NOT (r1 OR r2) AND NOT verdict.bad AS kept,
+  verdict.bad AS host_failed, round(rate1, 9) AS host_rate_short, round(rate2, 9) AS host_rate_repeats, round(rate3, 9) AS host_rate_symbols, round(rate4, 9) AS host_rate_dup_lines
 FROM f JOIN verdict ON f.source IS NOT DISTINCT FROM verdict.source
 """
 

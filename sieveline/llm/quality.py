@@ -96,7 +96,7 @@ def failures(limits: Limits) -> dict[str, Column]:
 
 
 def host_verdicts(measured: DataFrame, host_col: str, limits: Limits) -> DataFrame:
-    """``__host, __host_failed`` for each host, null included.
+    """``__host, __host_failed`` and a shrunk rate for each rule, ``__rate_..``, of each host, null included.
 
     For each rule the hosts' rates, weighted by their documents, give a beta prior by the method of moments: with their mean m
     and variance v, ``a + b = m (1 - m) / v - 1``, and 1 at least. The shrunk rate is ``(failures + a) / (documents + a + b)``.
@@ -109,25 +109,27 @@ def host_verdicts(measured: DataFrame, host_col: str, limits: Limits) -> DataFra
     moments = [F.try_divide(F.sum(f"__f_{k}"), F.sum("__n")).alias(f"__m_{k}") for k in rules]
     moments += [F.try_divide(F.sum(F.col(f"__f_{k}") * F.col(f"__f_{k}") / F.col("__n")), F.sum("__n")).alias(f"__s_{k}") for k in rules]
     found = hosts.agg(*moments).first()
-    failed = F.lit(False)
+    failed, rates = F.lit(False), []
     for k in rules:
         m = found[f"__m_{k}"] or 0.0
         weight = max(1.0, m * (1 - m) / max((found[f"__s_{k}"] or 0.0) - m * m, 1e-9) - 1)
-        failed = failed | ((F.col(f"__f_{k}") + m * weight) / (F.col("__n") + weight) > limits.host_rate)
-    return hosts.select("__host", failed.alias("__host_failed"))
+        rate = (F.col(f"__f_{k}") + m * weight) / (F.col("__n") + weight)
+        failed = failed | (rate > limits.host_rate)
+        rates.append(rate.alias(f"__rate_{k}"))
+    return hosts.select("__host", failed.alias("__host_failed"), *rates)
 
 
 def _judged(measured: DataFrame, verdicts: DataFrame, host_col: str, limits: Limits) -> DataFrame:
     rules = failures(limits)
     name = lambda c: F.coalesce(F.concat(F.lit("h"), F.col(c).cast("string")), F.lit(""))  # noqa: E731  null is a host as well
-    verdicts = settle(verdicts.select(name("__host").alias("__host_key"), "__host_failed"))
+    verdicts = settle(verdicts.withColumn("__host_key", name("__host")).drop("__host"))
     joined = join_small(measured.withColumn("__host_key", name(host_col)), verdicts, ["__host_key"])
     base = rules["short"] | rules["repeats"]
     return joined.withColumns({"__base_failed": base, "__kept": ~base & ~F.coalesce(F.col("__host_failed"), F.lit(False))})
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
-    """``doc_id``, the measures, base_failed and kept for each row of ``docs``, which is measured once.
+    """``doc_id``, the measures, base_failed, kept, and the host's verdict and shrunk rates for each row of ``docs``, which is measured once.
 
     kept is false if the document fails a base rule, or if its host's verdict is against it. Defined cases:
     a null or blank text has no words and fails; a text of any length is measured whole; a null host is a host of its own; rows with a null id
@@ -137,7 +139,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", tex
     needed = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("__of"), F.col(text_col).alias("__text"))
     measured = settle(measure(needed, "__text").drop("__text"))
     found = _judged(measured, host_verdicts(measured, "__of", limits), "__of", limits)
-    return found.select("doc_id", "__q.*", F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
+    return found.select("doc_id", "__q.*", F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"), F.col("__host_failed").alias("host_failed"), *[F.col(f"__rate_{k}").alias(f"host_rate_{k}") for k in failures(limits)])
 
 
 def keep_good(docs: DataFrame, host_col: str = "source", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:

@@ -32,7 +32,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judge(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_failed", *[F.round(f"host_rate_{k}", 9).alias(f"host_rate_{k}") for k in ("short", "repeats", "symbols", "dup_lines")])
 
 
 def op8_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
