@@ -24,6 +24,8 @@ from sieveline.storage import fits_broadcast, join_small, settle
 BITS = 60
 #: Cells have so many bits more than shards on average, and each further round adds so many.
 SPARE_BITS = 6
+#: Depths whose prefixes are summed from the same cells.
+FOLD = 6
 SHARD_BYTES = 2 << 20
 #: The largest directory that is broadcast.
 DIRECTORY_ROWS, DIRECTORY_BYTES = 1 << 20, 64 << 20
@@ -38,6 +40,23 @@ def prefix(h: Column, bits: int) -> Column:
     return F.shiftright(h, BITS - bits)
 
 
+def prefixes(cells: DataFrame, low: int, bits: int) -> DataFrame:
+    """``__depth, p, b, n`` of all prefixes of ``low`` to ``bits`` bits, from the sums ``b`` and ``n`` of those of ``bits`` bits (``__key``).
+
+    FOLD depths at a time: a cell is made into FOLD rows, not into one for each depth, and cells of the next depths above are 2**FOLD times fewer.
+    """
+    out = None
+    while True:
+        least = max(low, bits - FOLD + 1)
+        up = F.call_function("shiftright", F.col("__key"), (F.lit(bits) - F.col("__depth")).cast("int"))
+        nodes = cells.select("b", "n", "__key", F.explode(F.sequence(F.lit(least), F.lit(bits))).alias("__depth")).groupBy("__depth", up.alias("p")).agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
+        out = nodes if out is None else out.unionByName(nodes)
+        if least == low:
+            return out
+        cells = settle(cells.groupBy(F.shiftright("__key", bits - least + 1).alias("__key")).agg(F.sum("b").alias("b"), F.sum("n").alias("n")))
+        bits = least - 1
+
+
 def directory(rows: DataFrame, limit: int) -> DataFrame:
     """``__start, __depth, __open`` of each shard: the least hash with its prefix, the prefix's bits, and whether its documents are
     too many after the last bit. ``rows`` has __h and __bytes.
@@ -47,9 +66,7 @@ def directory(rows: DataFrame, limit: int) -> DataFrame:
     todo, found = rows, None
     while True:
         cells = settle(todo.groupBy(prefix(F.col("__h"), bits).alias("__key")).agg(F.sum("__bytes").alias("b"), F.count("*").alias("n")))
-        up = F.call_function("shiftright", F.col("__key"), (F.lit(bits) - F.col("__depth")).cast("int"))
-        nodes = cells.select("b", "n", "__key", F.explode(F.sequence(F.lit(low), F.lit(bits))).alias("__depth")).groupBy("__depth", up.alias("p")).agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
-        nodes = settle(nodes.withColumn("fits", (F.col("b") <= limit) | (F.col("n") == 1)))
+        nodes = settle(prefixes(cells, low, bits).withColumn("fits", (F.col("b") <= limit) | (F.col("n") == 1)))
         # a shard is a prefix that fits, while the one before it doesn't: of a prefix's children all are looked at
         above = nodes.where("NOT fits").select((F.col("__depth") + 1).alias("__depth"), F.col("p").alias("__above"))
         child = nodes.withColumn("__above", F.shiftright("p", 1))
