@@ -111,8 +111,9 @@ def learn(labelled: DataFrame, size: int = PROFILE) -> DataFrame:
 
     narrow = labelled.where("lang IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     summed = narrow.mapInArrow(run, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1
-    return summed.withColumn("rank", rank).where(F.col("rank") < size).select("lang", "gram", "rank")
+    # a limit on the row number itself, so that each task keeps its first ones only before a language meets in one
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    return summed.withColumn("rank", rank).where(F.col("rank") <= size).select("lang", "gram", (F.col("rank") - 1).alias("rank"))
 
 
 def predict(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = PROFILE) -> DataFrame:
