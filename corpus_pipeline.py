@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sieveline.llm import decontaminate, mixing, quality, sharding, simhash
-from sieveline.storage import read, write_out
+from sieveline.storage import discard, read, write_out
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; between stages rows are written to the shared folder and read again."""
+    """All stages over documents; between stages rows are written to the shared folder and read again, and what the stage before wrote is deleted."""
     docs = read(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = write_out(docs)
+            discard(before)
     return docs
