@@ -7,10 +7,9 @@ from sieveline import storage
 from sieveline.operators import dictionary, labelling
 
 
-def brute(text, names):
+def brute(text, names, longest=5):
     """Every run of words that is a name, leftmost first, the longest first of those that begin together."""
     words = text.split(" ") if text else []
-    longest = max((len(n.split(" ")) for n in names), default=0)
     return [(i, -k, " ".join(words[i : i + k])) for i in range(len(words)) for k in range(longest, 0, -1) if i + k <= len(words) and " ".join(words[i : i + k]) in names]
 
 
