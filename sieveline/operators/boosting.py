@@ -3,6 +3,8 @@
 A row is binned once, by quantiles of each feature, and stays in its partition. Every round fits one tree for each label to the gradients of the softmax loss,
 level by level: each task sums gradients and Hessians of its rows by (label, node, feature, bin), the cluster adds these histograms up and finds
 the best split of each node, and only splits come back, a row for each node of the level. Splits and leaf values take Hessians into account, as Newton steps do.
+
+How rows are dealt to partitions changes nothing: quantiles are exact, and what is summed are multiples of one power of two, small enough that no sum is rounded.
 """
 
 from __future__ import annotations
@@ -22,10 +24,10 @@ from pyspark.sql import functions as F
 
 from sieveline.storage import settle
 
-#: Rows that a task bins or sums at a time; bytes of the histograms that it holds; quantiles that one aggregate brings.
+#: Rows that a task bins or sums at a time; bytes of the histograms that it holds; bits of a number that one pass for quantiles settles.
 CHUNK = 4096
 HISTOGRAM_BYTES = 128 << 20
-QUANTILES_AT_ONCE = 128
+DIGIT = 12
 HIST = "cls int, node int, feature int, bin int, g double, h double, n long"
 
 
@@ -115,6 +117,10 @@ def softmax(scores: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def whole_units(x: np.ndarray, unit: float) -> np.ndarray:
+    return np.rint(x / unit) * unit
+
+
 def as_array(df: DataFrame, features: str) -> Column:
     return vector_to_array(features) if isinstance(df.schema[features].dataType, VectorUDT) else F.col(features).cast("array<double>")
 
@@ -127,14 +133,81 @@ def binned(x: np.ndarray, edges: Sequence[Sequence[float]]) -> np.ndarray:
     return out
 
 
-def quantile_edges(df: DataFrame, features: Column, width: int, bins: int, accuracy: int = 10_000) -> list[list[float]]:
-    """Each feature's distinct quantiles over all rows, from ``percentile_approx`` (ranks are right to one part in ``accuracy``)."""
-    rows, at = df.select(features.alias("x")), [i / bins for i in range(1, bins)]
-    out: list[list[float]] = []
-    for low in range(0, width, QUANTILES_AT_ONCE):
-        some = [F.percentile_approx(F.when(~F.isnan(F.col("x")[j]), F.col("x")[j]), at, accuracy) for j in range(low, min(low + QUANTILES_AT_ONCE, width))]
-        out += [sorted(set(q or [])) for q in rows.agg(*some).first()]
-    return out
+def _keys(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of doubles; where a double's last bits are zero so are its key's."""
+    bits = (x + 0.0).view(np.int64)
+    return np.where(bits < 0, np.int64(-(1 << 63)) - bits, bits).view(np.uint64) ^ np.uint64(1 << 63)
+
+
+def _value(key: int) -> float:
+    bits = (key ^ (1 << 63)) if key >> 63 else (1 << 64) - key
+    return float(np.array([bits], np.uint64).view(np.float64)[0])
+
+
+def _digits(rows: DataFrame, cells: list[list[int]], high: int, low: int) -> DataFrame:
+    """``feature, cell, digit, n``: how many of a feature's values have the bits of a cell above ``high`` and the digit below them; with feature -1 the bits in use.
+
+    Features are taken in blocks if a task's counts of all of them would be larger than HISTOGRAM_BYTES.
+    """
+    width, size = len(cells), 1 << (high - low)
+    block = max(1, min(width, HISTOGRAM_BYTES // (8 * size * max(map(len, cells)))))
+
+    def of_block(first: int) -> DataFrame:
+        known = [np.array(c, np.uint64) for c in cells[first : first + block]]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums, used = [np.zeros(len(c) * size, np.int64) for c in known], np.uint64(0)
+            for whole in batches:
+                for at in range(0, whole.num_rows, CHUNK):
+                    x = whole.slice(at, CHUNK).column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+                    for j, c in enumerate(known):
+                        v = np.ascontiguousarray(x[:, first + j])
+                        key = _keys(v[~np.isnan(v)])
+                        used |= np.bitwise_or.reduce(key, initial=np.uint64(0))
+                        top = key >> np.uint64(high) if high < 64 else np.zeros_like(key)
+                        cell = np.minimum(np.searchsorted(c, top), len(c) - 1)
+                        here = c[cell] == top
+                        sums[j] += np.bincount(cell[here] * size + ((key[here] >> np.uint64(low)) & np.uint64(size - 1)).astype(np.int64), minlength=len(sums[j]))
+            for j, n in enumerate([*sums, np.array([int(used) >> b & 1 for b in range(64)])]):
+                there = np.flatnonzero(n)
+                cell, digit = np.divmod(there, size)
+                feature = np.full(len(there), first + j if j < len(known) else -1)
+                yield pa.RecordBatch.from_arrays([*[pa.array(a.astype(np.int32)) for a in (feature, cell, digit)], pa.array(n[there].astype(np.int64))], names=["feature", "cell", "digit", "n"])
+
+        return rows.mapInArrow(run, "feature int, cell int, digit int, n long")
+
+    out = of_block(0)
+    for first in range(block, width, block):
+        out = out.unionByName(of_block(first))
+    return out.groupBy("feature", "cell", "digit").agg(F.sum("n").alias("n"))
+
+
+def quantile_edges(df: DataFrame, features: Column, width: int, bins: int) -> list[list[float]]:
+    """Each feature's distinct quantiles over all rows, exactly: the least values with at least a share of the values up to them.
+
+    Every pass over the rows counts the next ``DIGIT`` bits of the values that share the bits found so far with a quantile, and ends when no value has others;
+    that is three passes for single precision, six at most. A task's counts have a bounded size, and a row for each quantile comes back.
+    """
+    spark, rows = df.sparkSession, df.select(features.alias("x")).where("x IS NOT NULL")
+    cells, high, end, asked = [[0]] * width, 64, 0, None
+    while width and high > end:
+        low = max(0, high - DIGIT)
+        counts = settle(_digits(rows, cells, high, low))
+        if asked is None:
+            end = counts.where("feature < 0").agg(F.min("digit")).first()[0] or 0
+            totals = counts.where("feature >= 0").groupBy("feature").agg(F.sum("n")).collect()  # a row for each feature
+            asked = [(j, 0, r) for j, n in totals for r in sorted({max(1, -(-i * n // bins)) for i in range(1, bins)})]
+        wanted = F.broadcast(spark.createDataFrame(asked, "feature int, cell int, rank long"))  # a row for each quantile
+        upto = F.sum("n").over(W.partitionBy("feature", "cell").orderBy("digit"))
+        found = counts.withColumn("upto", upto).join(wanted, ["feature", "cell"]).where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
+        found = [(r.feature, cells[r.feature][r.cell] << (high - low) | r.digit, r.rank - r.upto + r.n) for r in found.collect()]
+        tops: list[set[int]] = [set() for _ in range(width)]
+        for j, top, _ in found:
+            tops[j].add(top)
+        cells = [sorted(t) or [0] for t in tops]
+        asked, high = [(j, cells[j].index(top), r) for j, top, r in found], low
+    some = {j for j, *_ in asked or []}
+    return [[_value(top << high) for top in cells[j]] if j in some else [] for j in range(width)]
 
 
 def _bin_rows(df: DataFrame, label: str, features: Column, weight: Column, model: Boosted) -> DataFrame:
@@ -172,9 +245,11 @@ def _rescored(rows: DataFrame, model: Boosted, since: int) -> DataFrame:
     return rows.mapInArrow(run, "y int, w double, bins binary, score array<double>")
 
 
-def histograms(rows: DataFrame, model: Boosted, since: int, growing: list[Tree], level: int) -> DataFrame:
+def histograms(rows: DataFrame, model: Boosted, since: int, growing: list[Tree], level: int, unit: float = 2.0**-32) -> DataFrame:
     """``HIST`` for the nodes of a level of the growing trees; with class -1 the loss (g) and the weight (h) of all rows.
 
+    Gradients and Hessians are rounded to multiples of ``unit``, a power of two of which all rows have under 2 ** 53, so their sums are exact in any order.
+
     A task gives one row for each entry that isn't empty. Features are taken in blocks if the histograms of all of them would be larger than HISTOGRAM_BYTES.
     """
     width, k, n_bins = len(model.edges), len(model.labels), max((len(e) for e in model.edges), default=0) + 1
@@ -192,12 +267,13 @@ def histograms(rows: DataFrame, model: Boosted, since: int, growing: list[Tree],
                 for at in range(0, whole.num_rows, CHUNK):
                     y, w, bins, score = _read_rows(whole.slice(at, CHUNK), width, k)
                     p = softmax(score + model.scores(bins, since))
-                    loss += (-(w * np.log(np.maximum(p[np.arange(len(y)), y], 1e-300))).sum(), w.sum(), len(y))
+                    lost = -w * np.log(np.maximum(p[np.arange(len(y)), y], 1e-300))
+                    loss += (whole_units(lost, 1024 * unit).sum(), whole_units(w, unit).sum(), len(y))
                     place = np.arange(high - low) * n_bins + bins[:, low:high]
                     for c, tree in enumerate(growing):
                         node = tree.leaf_of(bins) - first
                         here = np.flatnonzero((node >= 0) & (w > 0))
-                        g, h = w[here] * (p[here, c] - (y[here] == c)), w[here] * p[here, c] * (1 - p[here, c])
+                        g, h = (whole_units(v, unit) for v in (w[here] * (p[here, c] - (y[here] == c)), w[here] * p[here, c] * (1 - p[here, c])))
                         index = (node[here, None] * (high - low) * n_bins + place[here]).ravel()
                         for i, v in enumerate((g, h, np.ones(len(here)))):
                             sums[c, i] += np.bincount(index, np.repeat(v, high - low), size)
@@ -252,6 +328,7 @@ def fit(train: DataFrame, label: str, features: str = "features", how: Boosting
     if not counts:
         raise ValueError("no labelled rows")
     total, labels = sum(counts.values()), sorted(counts)
+    unit = 2.0 ** (int(np.ceil(np.log2(max(total, 1e-12)))) - 51)
     width, least = rows.agg(F.max(F.size(x)), F.min(F.size(x))).first()
     if least != width:
         raise ValueError(f"features aren't {width} wide everywhere")
@@ -262,7 +339,7 @@ def fit(train: DataFrame, label: str, features: str = "features", how: Boosting
             table, since = settle(_rescored(table, model, since)), r
         growing = [Tree.empty(how.depth) for _ in labels]
         for level in range(how.depth):
-            found = best_splits(histograms(table, model, since, growing, level), how).collect()  # labels x nodes of the level
+            found = best_splits(histograms(table, model, since, growing, level, unit), how).collect()  # labels x nodes of the level
             grown = False
             for f in found:
                 if f["cls"] < 0:

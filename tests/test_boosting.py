@@ -96,6 +96,21 @@ def test_edges_are_quantiles(spark):
     assert boosting.quantile_edges(df, F.col("x"), 3, 4) == [[249.0, 499.0, 749.0], [0.0, 1.0], []]
 
 
+def test_partitions_change_nothing(spark):
+    """More rows than a quantile sketch keeps, and features that are copies of each other: edges are the exact quantiles, and trees and losses the same."""
+    rnd = random.Random(2)
+    rows = [(i % 3, [float(np.float32(rnd.gauss(i % 3, 2))), rnd.expovariate(1) - 0.3, rnd.choice([-0.0, 0.0, -1e300, 5e-324, math.inf, math.nan])]) for i in range(60_000)]
+    df = spark.createDataFrame([(str(y), [*x, x[1]]) for y, x in rows], "l string, x array<double>").repartition(8)
+    edges = boosting.quantile_edges(df, F.col("x"), 4, 64)
+    for j in range(4):
+        v = sorted(x for x in ([*r[1], r[1][1]][j] for r in rows) if not math.isnan(x))
+        assert edges[j] == sorted({v[math.ceil(k * len(v) / 64) - 1] for k in range(1, 64)})
+    how = Boosting(rounds=2, depth=3, rate=0.5)
+    one, other = (boosting.fit(df.repartition(n), "l", "x", how) for n in (1, 7))
+    assert one == other and one.edges == edges and one.losses[0] > one.losses[1]
+    assert {f for trees in one.trees for t in trees for f in t.feature}.isdisjoint({3})
+
+
 def test_no_row_leaves_its_partition(spark):
     """Below the histograms there is no exchange; what is exchanged are histogram rows, of which a task has a bounded number."""
     df = spark.createDataFrame(some_rows(), "i int, l string, features array<double>, w double").repartition(4)
