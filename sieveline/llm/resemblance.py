@@ -11,10 +11,15 @@ Pivots. Every set has a wide SimHash fingerprint. Of the sets that share an inde
 the hub. The others' Hamming distances to their hub are the table: the hub itself is compared with those within ``REACH``,
 and two others only if their distances to it differ by no more than that, their own distance passes, and the hub left
 them in different components. Where more than ``FEW`` sets share a shingle, only those are paired that differ from a reference
-for their hub in the same places (``pairs_by_delta``): near copies of one text that don't link with each other have little else in
-common than that text. At a coefficient of 0.8 a bit differs with odds of 0.19 at most, so ``REACH`` bits of
+for their hub in the same places (``links_by_delta``): near copies of one text that don't link with each other have little else in
+common than that text. These come first, and of what differs in one place each set is compared with one of them before pairs are
+made of what is still apart. At a coefficient of 0.8 a bit differs with odds of 0.19 at most, so ``REACH`` bits of
 ``LANES * 64`` are seven standard deviations away. Of a large group of near copies all but the strays are compared once.
 
+Parities. A set has a second sketch: of each of ``PARITIES * 64`` cells of shingles, whether it has an odd number of members. Every place in which
+two sets differ changes one bit, so sets differ in as many places as their parities at least, and pairs of which these say that they can't link are
+dropped where they meet, before any row is made for them. No link is lost by it; it tells little of texts of some thousand words and more.
+
 Every link is verified on the whole sets. Shingles and sets are known by 64-bit hashes. Texts of fewer than five words are a
 shingle of their own; texts without words are alike.
 """
@@ -36,6 +41,8 @@ SEED = 42
 BITS = 18
 #: Words of 64 bits in a fingerprint, and the most bits in which fingerprints of linked sets differ.
 LANES, REACH = 4, 96
+#: Words of 64 parities in a set's second sketch.
+PARITIES = 16
 #: Sets that share an indexed shingle and are compared pair by pair; beyond it pairs come through their differences from a reference.
 #: A set costs some hundred of these, so up to here there are fewer pairs.
 FEW = 128
@@ -83,9 +90,20 @@ def fingerprint(s: np.ndarray) -> list[int]:
     return np.packbits(2 * ones > len(s)).view(np.int64).tolist()
 
 
-def apart(a: Column, b: Column) -> Column:
+def parities(s: np.ndarray) -> list[int]:
+    """For each cell of shingles whether a set has an odd number of them, as signed longs."""
+    cells = (s & (PARITIES * 64 - 1)).astype(np.int64)
+    return np.packbits(np.bincount(cells, minlength=PARITIES * 64).astype(np.uint8) & 1).view(np.int64).tolist()
+
+
+def apart(a: Column, b: Column, words: int = LANES) -> Column:
     """Bits in which two fingerprints differ."""
-    return sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(1, LANES)), F.bit_count(a[0].bitwiseXOR(b[0])))
+    return sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(1, words)), F.bit_count(a[0].bitwiseXOR(b[0])))
+
+
+def near_parities(a: Column, b: Column, m: Column, n: Column) -> Column:
+    """Whether sets of m and n members may have a coefficient of four fifths by their parities: these differ in (m + n) / 9 places at most."""
+    return 9 * apart(a, b, PARITIES) <= m + n
 
 
 def _bucket(s: np.ndarray) -> np.ndarray:
@@ -105,23 +123,24 @@ def bucket_counts(docs: DataFrame) -> np.ndarray:
     return counts
 
 
-FOUND = "key long, tie long, node long, n int, fp array<long>, tokens array<long>"
+FOUND = "key long, tie long, node long, n int, fp array<long>, odd array<long>, tokens array<long>"
 
 
 def marked(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """``key, tie, node, n, fp, tokens``: the set of each text, its size, its fingerprint, and the shingles it is indexed by."""
+    """``key, tie, node, n, fp, odd, tokens``: the set of each text, its size, its fingerprint and parities, and the shingles it is indexed by."""
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 32) - 1).astype(np.uint32))
 
     def run(batch):
-        nodes, sizes, fps, firsts = [], [], [], []
+        nodes, sizes, fps, odds, firsts = [], [], [], [], []
         for t in texts(batch, "text"):
             s = shingles(t)
             order = np.lexsort((s, shared.value[_bucket(s)]))
             nodes.append(node(s))
             sizes.append(len(s))
             fps.append(fingerprint(s))
+            odds.append(parities(s))
             firsts.append(s[order[: len(s) // 5 + 1]])
-        return batch.column(0), batch.column(1), nodes, sizes, fps, firsts
+        return batch.column(0), batch.column(1), nodes, sizes, fps, odds, firsts
 
     return per_batch(docs.select("key", "tie", "text"), run, FOUND)
 
@@ -158,10 +177,11 @@ def index_of(found: DataFrame) -> DataFrame:
 
 
 def distances(index: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``hub, node, n, fp, d, fits``: the table of distances to the hubs."""
-    hub = nodes.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("fp").alias("hub_fp"))
+    """``hub, node, n, fp, d, fits``: the table of distances to the hubs, and whether sizes and parities let them link."""
+    hub = nodes.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("fp").alias("hub_fp"), F.col("odd").alias("hub_odd"))
     table = index.select("hub", "node").distinct().join(nodes, "node").join(hub, "hub")
-    return settle(table.select("hub", "node", "n", "fp", apart(F.col("fp"), F.col("hub_fp")).alias("d"), _fits(F.col("n"), F.col("hub_n")).alias("fits")))
+    fits = _fits(F.col("n"), F.col("hub_n")) & near_parities(F.col("odd"), F.col("hub_odd"), F.col("n"), F.col("hub_n"))
+    return settle(table.select("hub", "node", "n", "fp", apart(F.col("fp"), F.col("hub_fp")).alias("d"), fits.alias("fits")))
 
 
 def _roots_of(index: DataFrame, table: DataFrame, roots: DataFrame) -> DataFrame:
@@ -169,19 +189,27 @@ def _roots_of(index: DataFrame, table: DataFrame, roots: DataFrame) -> DataFrame
     return settle(left.select("token", "hub", "node", "n", "fp", "d", "root"))
 
 
-def other_pairs(docs: DataFrame, found: DataFrame, index: DataFrame, table: DataFrame, roots: DataFrame) -> DataFrame:
-    """``a, b, ra, rb``: pairs without a hub that may link and that the hubs left in different components."""
-    left = _roots_of(index, table, roots)
+def split_tokens(left: DataFrame) -> DataFrame:
+    """``token, main, sets``: the shingles whose sets, but for the hub, are in several components, and the one with most of them."""
     per_root = left.groupBy("token", "root").agg(F.count("*").alias("c"))
     split = per_root.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("sets"), F.count("*").alias("c"))
-    split = settle(split.where("c > 1").select("token", "main", "sets"))
-    few = pairs_of_few(left.join(split.where(F.col("sets") <= FEW), "token"))
-    many = left.join(split.where(F.col("sets") > FEW), "token", "left_semi").select("hub", "node", "n", "root")
-    many = settle(many.distinct())
-    sweep(docs.sparkSession)
-    if many.isEmpty():
-        return settle(few.distinct())
-    return settle(few.unionByName(pairs_by_delta(docs, found, many)).distinct())
+    return settle(split.where("c > 1").select("token", "main", "sets"))
+
+
+def members_of_many(index: DataFrame, table: DataFrame, roots: DataFrame) -> DataFrame:
+    """``hub, node, n, root``: what shares with more than ``FEW`` sets a shingle that the hubs left in several components."""
+    left = _roots_of(index, table, roots)
+    many = left.join(split_tokens(left).where(F.col("sets") > FEW), "token", "left_semi")
+    return settle(many.select("hub", "node", "n", "root").distinct())
+
+
+def other_pairs(index: DataFrame, table: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``a, b, ra, rb``: pairs without a hub, in shingles of ``FEW`` sets at most, that may link and are in different components so far."""
+    left = _roots_of(index, table, roots)
+    pairs = settle(pairs_of_few(left.join(split_tokens(left).where(F.col("sets") <= FEW), "token")).distinct())
+    a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("odd").alias(f"odd{x}")) for x in "ab")
+    near = near_parities(F.col("odda"), F.col("oddb"), F.col("na"), F.col("nb"))
+    return settle(pairs.join(a, "a").join(b, "b").where(near).select("a", "b", "ra", "rb"))
 
 
 def pairs_of_few(left: DataFrame) -> DataFrame:
@@ -202,14 +230,29 @@ def references(members: DataFrame, sets: DataFrame) -> DataFrame:
     return held.groupBy("hub").agg(F.collect_list("e").alias("r"))  # no longer than two sets of an average size
 
 
-def pairs_by_delta(docs: DataFrame, found: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs of ``members(hub, node, n, root)`` of one hub that may link, through their differences from the hub's reference.
+def linked_places(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``pairs(hub, a, b, ra, rb)`` that link: the places in which two sets differ from each other are those in which only one differs from the reference."""
+
+    def side(x: str) -> DataFrame:
+        return rows.select("hub", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("m").alias(f"m{x}"), F.col("places").alias(f"p{x}"))
+
+    both = pairs.join(side("a"), ["hub", "a"]).join(side("b"), ["hub", "b"])
+    differ = F.col("ma") + F.col("mb") - 2 * F.size(F.array_intersect("pa", "pb"))
+    return both.where(9 * differ <= F.col("na") + F.col("nb")).select("a", "b", "ra", "rb")
+
+
+def links_by_delta(docs: DataFrame, found: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links ``a, b, ra, rb`` of ``members(hub, node, n, root)`` of one hub, found through their differences from the hub's reference; with the roots
+    they make the components that all links of these members make.
 
     Sets of a and b members link if they differ in (a + b) / 9 places at most. With m the places in which a set differs from
     the reference, two with 9 (m + m') <= a + b link for certain, and both with the set of the least 9 m - a, which is compared with all.
     All others that link have at least (9 (m + m') - (a + b)) / 18 of these places in common. So under one order of the places, rare ones
     first, the first common one is among the first b // 8 + 1 of the one with fewer and the first a // 4 + 1 of the other, and what stands
     before it in either is a difference. Places of one set alone come first and are never joined.
+
+    Sets that share such a place are compared with one of them first, the one nearest to the reference; pairs are made only of what that
+    leaves in different components. The larger a group is the more of it hangs together after that.
     """
     spark = docs.sparkSession
     sets = settle(sets_of(docs, found, members.select("node").distinct()))
@@ -229,40 +272,68 @@ def pairs_by_delta(docs: DataFrame, found: DataFrame, members: DataFrame) -> Dat
     often = settle(places.groupBy("hub", "e").agg(F.count("*").alias("c")).where("c > 1"))
     sweep(spark)
     order = join_small(places, often, ["hub", "e"], "inner").groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("c", "e"))).alias("order"))
-    ranked = rows.drop("places", "f").join(order, ["hub", "node"])
-    ranked = ranked.select("hub", "node", "n", "root", "m", (F.col("m") - F.size("order")).alias("alone"), F.posexplode("order").alias("pos", "o"))
-    ranked = ranked.select("hub", "node", "n", "root", "m", (F.col("alone") + F.col("pos")).alias("at"), F.col("o.e").alias("e"))
+    ranked = rows.drop("places").join(order, ["hub", "node"]).join(nodes.select("node", "odd"), "node")
+    ranked = ranked.select("hub", "node", "n", "root", "m", "f", "odd", (F.col("m") - F.size("order")).alias("alone"), F.posexplode("order").alias("pos", "o"))
+    ranked = ranked.select("hub", "node", "n", "root", "m", "f", "odd", (F.col("alone") + F.col("pos")).alias("at"), F.col("o.e").alias("e"))
     ranked = settle(ranked.where(F.col("at") <= F.floor(F.col("n") / 4)))
     sweep(spark)
-    x, y = ranked.alias("x"), ranked.where(F.col("at") <= F.floor(F.col("n") / 8)).alias("y")
+
+    def may_link(x: str, y: str) -> Column:
+        c = lambda side, name: F.col(f"{side}.{name}")
+        rest = F.least(c(x, "m") - c(x, "at"), c(y, "m") - c(y, "at"))
+        enough = 18 * rest >= 9 * (c(x, "m") + c(y, "m")) - (c(x, "n") + c(y, "n"))
+        return _fits(c(x, "n"), c(y, "n")) & enough & near_parities(c(x, "odd"), c(y, "odd"), c(x, "n"), c(y, "n"))
+
+    def named(x: str, y: str) -> list[Column]:
+        return [F.col("hub"), F.col(f"{x}.node").alias("a"), F.col(f"{y}.node").alias("b"), F.col(f"{x}.root").alias("ra"), F.col(f"{y}.root").alias("rb")]
+
+    pivots = ranked.groupBy("hub", "e").agg(F.min(F.struct("f", "node", "n", "root", "m", "odd", "at")).alias("x"), F.count("*").alias("c")).where("c > 1").drop("c")
+    stars = ranked.alias("y").join(pivots, ["hub", "e"]).where((F.col("x.root") != F.col("y.root")) & may_link("x", "y"))
+    stars = settle(stars.select(*named("x", "y")).distinct())
+    links = settle(near.unionByName(linked_places(rows, stars)))
+    sweep(spark)
+    tops = connected_components(links.select(F.col("ra").alias("src"), F.col("rb").alias("dst"))).select(F.col("root").alias("top"), F.col("node").alias("root"))
+    left = settle(join_small(ranked, tops, ["root"], "left").withColumn("top", F.coalesce("top", "root")))
+    per_top = left.groupBy("hub", "e", "top").agg(F.count("*").alias("c")).groupBy("hub", "e").agg(F.count("*").alias("c"))
+    left = settle(left.join(per_top.where("c > 1").drop("c"), ["hub", "e"]))
+    sweep(spark)
+    y = left.where(F.col("at") <= F.floor(F.col("n") / 8)).alias("y")
     fewer = F.struct("y.m", "y.node") < F.struct("x.m", "x.node")
-    rest = F.least(F.col("x.m") - F.col("x.at"), F.col("y.m") - F.col("y.at"))
-    enough = 18 * rest >= 9 * (F.col("x.m") + F.col("y.m")) - (F.col("x.n") + F.col("y.n"))
-    same = (F.col("x.hub") == F.col("y.hub")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.root") != F.col("y.root"))
-    pairs = x.join(y, same & fewer & _fits(F.col("x.n"), F.col("y.n")) & enough)
-    return near.unionByName(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb")))
+    pairs = left.alias("x").join(y, ["hub", "e"]).where((F.col("x.top") != F.col("y.top")) & fewer & may_link("x", "y"))
+    pairs = settle(pairs.select(*named("x", "y")).distinct())
+    return settle(links.unionByName(linked_places(rows, pairs)).distinct())
+
+
+def merged(roots: DataFrame, late: DataFrame) -> DataFrame:
+    """``node, root`` after the links ``late(a, b, ra, rb)`` between components of ``roots``."""
+    joined = connected_components(late.select(F.col("ra").alias("src"), F.col("rb").alias("dst")))
+    ends = late.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ra").alias("root")), F.struct(F.col("b").alias("node"), F.col("rb").alias("root")))).alias("e")).select("e.*")
+    up = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return settle(roots.unionByName(ends).distinct().join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
 
 
 def components(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``node, root`` of the sets that link with another; ``found`` is what ``marked`` gives, written out."""
     spark = docs.sparkSession
-    nodes = settle(found.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp")))
+    nodes = settle(found.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("odd").alias("odd")))
     index = index_of(found)
     sweep(spark)
     table = distances(index, nodes)
     star = linked(docs, found, settle(table.where((F.col("d") <= REACH) & F.col("fits")).select(F.col("hub").alias("a"), F.col("node").alias("b"))))
     sweep(spark)
     roots = connected_components(star.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    pairs = other_pairs(docs, found, index, table, roots)
+    members = members_of_many(index, table, roots)
+    sweep(spark)
+    if not members.isEmpty():
+        roots = merged(roots, links_by_delta(docs, found, members, nodes))
+        sweep(spark)
+    pairs = other_pairs(index, table, nodes, roots)
     sweep(spark)
     if pairs.isEmpty():
         return roots
     late = linked(docs, found, pairs)
     sweep(spark)
-    joined = connected_components(late.select(F.col("ra").alias("src"), F.col("rb").alias("dst")))
-    ends = late.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ra").alias("root")), F.struct(F.col("b").alias("node"), F.col("rb").alias("root")))).alias("e")).select("e.*")
-    up = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    return settle(roots.unionByName(ends).distinct().join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+    return merged(roots, late)
 
 
 def groups(docs: DataFrame) -> DataFrame:

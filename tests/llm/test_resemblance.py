@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
+import numpy as np
 
 from sieveline.llm import resemblance
 from sieveline.storage import read
@@ -100,3 +101,46 @@ def test_stage_drops_edited_copies(spark, sf):
     assert all(0.8 <= len(a[0] & s) / len(a[0] | s) < 1 for s in a[1:5])
     kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf)
     assert sorted(r.doc_id for r in kept.collect()) == [0, 9]
+
+
+def test_pairs_of_near_copies_grow_with_their_number(spark, monkeypatch):
+    """Copies of one text with two or three edited words each: with four times as many there are sixteen times the links, and still at most eight pairs a copy are verified."""
+    verified = []
+
+    def counted(verify):
+        def run(*given):
+            verified.append(given[-1].count())
+            return verify(*given)
+
+        return run
+
+    for name in ("linked", "linked_places"):
+        if hasattr(resemblance, name):
+            monkeypatch.setattr(resemblance, name, counted(getattr(resemblance, name)))
+
+    def copies(n):
+        rng = random.Random(6)
+        base = [f"w{rng.randrange(10**6)}" for _ in range(146)]
+        for k in range(n):
+            copy = list(base)
+            for at in rng.sample(range(len(base)), rng.choice([2, 3])):
+                copy[at] = f"e{rng.randrange(10**6)}"
+            yield k, " ".join(copy)
+
+    for n in (500, 2000):
+        rows = list(copies(n))
+        verified.clear()
+        got = {r.doc_id: r.component_id for r in resemblance.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        if n == 500:
+            assert got == plain_components(rows)
+        assert sum(verified) <= 8 * n, verified
+
+
+def test_parities_never_say_more_than_sets_differ():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 30, 3000):
+        s = np.unique(rng.integers(-(2**63), 2**63 - 1, n))
+        t = np.unique(np.concatenate([s[n // 3 :], rng.integers(-(2**63), 2**63 - 1, n // 4)]))
+        bits = sum((a ^ b).bit_count() for a, b in zip(*[np.array(resemblance.parities(x), np.int64).view(np.uint64).tolist() for x in (s, t)], strict=True))
+        assert bits <= len(np.setxor1d(s, t)) and resemblance.parities(s) == resemblance.parities(s.copy())
+        assert n != 30 or bits == len(np.setxor1d(s, t))
