@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -25,6 +26,8 @@ HITS = "array<struct<pos:int,neg:int,name:string>>"
 #: Bits of the bitmap of first words (2 MB); parts that the words of texts are dealt to: a first word that has more than a part's share of them is salted.
 BITS = 24
 PARTS = 256
+#: Bytes of texts whose hits a task holds at a time.
+PART_BYTES = 1 << 20
 
 Trie = dict[str, "Trie"]
 #: The key at which a node has the whole name, if one ends there; no word is empty.
@@ -71,6 +74,18 @@ def _array(found: list[list[tuple[int, int, str]]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(parts, ["pos", "neg", "name"]))
 
 
+def in_parts(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows whose texts, in column ``at``, have ``PART_BYTES`` in all or are one: hits of a text take many times its bytes."""
+    begin, size = 0, 0
+    for row, n in enumerate(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()):
+        if size and size + n > PART_BYTES:
+            yield batch.slice(begin, row - begin)
+            begin, size = row, 0
+        size += n
+    if batch.num_rows:
+        yield batch.slice(begin)
+
+
 def with_hits(texts: DataFrame, key: str, text: str, dictionary: DataFrame, name: str = "hits") -> DataFrame:
     """``texts`` with an array of HITS, in order, of ``dictionary``'s column name; ``dictionary`` is settled.
 
@@ -90,8 +105,9 @@ def with_hits(texts: DataFrame, key: str, text: str, dictionary: DataFrame, name
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = _sent(shared.value) if shared.value else {}
         for b in batches:
-            hits = _array([walk(t.split(" "), trie) if t else [] for t in b.column(at).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns, hits], names=[*columns, name])
+            for part in in_parts(b, at):
+                hits = _array([walk(t.split(" "), trie) if t else [] for t in part.column(at).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, hits], names=[*columns, name])
 
     return texts.mapInArrow(run, schema)
 

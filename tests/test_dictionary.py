@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +72,11 @@ def test_a_dictionary_that_is_sent_shuffles_nothing(spark):
     texts = spark.createDataFrame(some_texts(random.Random(1)), "i long, t string, name string, k int")
     plan = dictionary.with_hits(texts, "i", "t", spark.createDataFrame([("a b",)], "name string"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_hits_are_held_for_a_part_of_a_batch(monkeypatch):
+    monkeypatch.setattr(dictionary, "PART_BYTES", 10)
+    texts = ["abc", None, "defgh", "ij", "k" * 25, "", "lm", None]
+    parts = [p.column(1).to_pylist() for p in dictionary.in_parts(pa.record_batch({"i": list(range(8)), "t": texts}), 1)]
+    assert parts == [["abc", None, "defgh", "ij"], ["k" * 25], ["", "lm", None]]
+    assert list(dictionary.in_parts(pa.record_batch({"t": pa.array([], pa.string())}), 0)) == []
