@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from sieveline.llm.common import per_batch, texts
 from sieveline.operators.graph import connected_components
-from sieveline.storage import join_small, settle, sweep, write_out
+from sieveline.storage import join_small, settle, settle_measured, sweep, write_out
 
 SHINGLE = 5
 SEED = 42
@@ -290,7 +290,7 @@ def links_by_delta(docs: DataFrame, found: DataFrame, members: DataFrame, nodes:
     pivots = ranked.groupBy("hub", "e").agg(F.min(F.struct("f", "node", "n", "root", "m", "odd", "at")).alias("x"), F.count("*").alias("c")).where("c > 1").drop("c")
     stars = ranked.alias("y").join(pivots, ["hub", "e"]).where((F.col("x.root") != F.col("y.root")) & may_link("x", "y"))
     stars = settle(stars.select(*named("x", "y")).distinct())
-    links = settle(near.unionByName(linked_places(rows, stars)))
+    links = settle_measured(near.unionByName(linked_places(rows, stars)))
     sweep(spark)
     tops = connected_components(links.select(F.col("ra").alias("src"), F.col("rb").alias("dst"))).select(F.col("root").alias("top"), F.col("node").alias("root"))
     left = settle(join_small(ranked, tops, ["root"], "left").withColumn("top", F.coalesce("top", "root")))
@@ -301,7 +301,7 @@ def links_by_delta(docs: DataFrame, found: DataFrame, members: DataFrame, nodes:
     fewer = F.struct("y.m", "y.node") < F.struct("x.m", "x.node")
     pairs = left.alias("x").join(y, ["hub", "e"]).where((F.col("x.top") != F.col("y.top")) & fewer & may_link("x", "y"))
     pairs = settle(pairs.select(*named("x", "y")).distinct())
-    return settle(links.unionByName(linked_places(rows, pairs)).distinct())
+    return settle_measured(links.unionByName(linked_places(rows, pairs)).distinct())
 
 
 def merged(roots: DataFrame, late: DataFrame) -> DataFrame:
@@ -309,7 +309,7 @@ def merged(roots: DataFrame, late: DataFrame) -> DataFrame:
     joined = connected_components(late.select(F.col("ra").alias("src"), F.col("rb").alias("dst")))
     ends = late.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ra").alias("root")), F.struct(F.col("b").alias("node"), F.col("rb").alias("root")))).alias("e")).select("e.*")
     up = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    return settle(roots.unionByName(ends).distinct().join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+    return settle_measured(roots.unionByName(ends).distinct().join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
 
 
 def components(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.storage import settle
+from sieveline.storage import settle, settle_measured
 
 #: Nodes in a file of a round's checkpoint; few nodes would otherwise make a file for each partition.
 PER_FILE = 200_000
@@ -16,7 +16,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Each node has a label, at first itself. In a round it takes the least label of its neighbours, hands
     that on to the node it was labelled with, and then takes its label's own label, so that distances halve
-    and long chains need few rounds. It ends when no label changes. Every round is checkpointed. A node with many
+    and long chains need few rounds. It ends when no label changes. Every round is checkpointed, its labels with their real size, as the
+    planner's estimate would have twice the digits after each round. A node with many
     neighbours, and a label with many nodes, are only ever keys of a join with one row for them on the other side,
     which adaptive execution splits, or of a sum that starts before the shuffle. Nodes without an
     edge, and edges with a null end, are left out.
@@ -27,13 +28,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     labels = settle(labels)
     files = max(1, labels.count() // PER_FILE)
     for _ in range(max_rounds):
-        heard = e.join(labels, F.col("src") == F.col("node")).groupBy("dst").agg(F.min("label").alias("heard"))
+        heard = e.join(labels.hint("merge"), F.col("src") == F.col("node")).groupBy("dst").agg(F.min("label").alias("heard"))
         told = labels.join(heard, F.col("node") == F.col("dst")).select("node", "label", F.least("label", "heard").alias("low"))
         passed = told.groupBy(F.col("label").alias("to")).agg(F.min("low").alias("passed"))
         low = told.join(passed, F.col("node") == F.col("to"), "left").select("node", F.col("label").alias("old"), F.least("low", "passed").alias("label"))
         low = settle(low.coalesce(files))
         above = low.select(F.col("node").alias("up"), F.col("label").alias("root"))
-        labels = settle(low.join(above, F.col("label") == F.col("up")).select("node", "old", F.col("root").alias("label")).coalesce(files))
+        labels = settle_measured(low.join(above, F.col("label") == F.col("up")).select("node", "old", F.col("root").alias("label")).coalesce(files))
         moved = labels.where("label <> old").limit(1).count()
         labels = labels.select("node", "label")
         if not moved:
